@@ -76,7 +76,7 @@ def resolve(changes: DataFrame, rules: list[dict], mode: str = "strict", apply_r
         )
         matched = match_rules(changes, table).where(F.col("rule_no").isNotNull())
         details = table.withColumnRenamed("path", "root")
-            placed = lookup_join(matched, details, "rule_no", "inner", ["path"])
+        placed = matched.join(details, "rule_no")
         admitted = paths.survives_pruning("path", F.col("root"), F.col("exclude"), F.col("include"), mode)
         placed = (placed.where(admitted) if apply_rules else placed).drop("exclude", "include")
     else:

@@ -53,5 +53,5 @@ def shielded(absent: DataFrame, unlisted: DataFrame) -> DataFrame:
     of the absent rows, not on the rows."""
     keyed = absent.withColumn("_dir", paths.parent_dir("path"))
     climbs = keyed.select("_dir").distinct().select("_dir", F.explode(paths.ancestor_paths("_dir")).alias("path"))
-    hidden = lookup_join(climbs, unlisted.select("path").distinct(), "path", "left_semi", ["_dir"]).select("_dir").distinct()
-    return lookup_join(keyed, hidden, "_dir", "left_semi", ["path"]).drop("_dir")
+    hidden = climbs.join(unlisted.select("path"), "path", "left_semi").select("_dir").distinct()
+    return keyed.join(hidden, "_dir", "left_semi").drop("_dir")

@@ -62,10 +62,15 @@ def roots(tree: DataFrame) -> DataFrame:
 
 
 def hide_unreachable(folders: DataFrame, tree: DataFrame, reachable_roots: DataFrame) -> DataFrame:
-    """Folders whose root is among ``reachable_roots(root_id)``.  Every folder of
-    an import carries the same root id, hence the hot-key join."""
-    placed = folders.join(roots(tree), folders.id == F.col("folder_id")).drop("folder_id")
-    return lookup_join(placed, reachable_roots.select("root_id"), "root_id", "left_semi", ["id"]).drop("root_id")
+    """Folders whose root is among ``reachable_roots(root_id)``.
+
+    A folder's root is in its own closure rows, so reachability is settled there
+    and no join runs on the root id, which whole imports share.
+    """
+    reached = tree.join(
+        reachable_roots.select(F.col("root_id").alias("ancestor_id")), "ancestor_id", "left_semi"
+    ).select(F.col("folder_id").alias("id"))
+    return folders.join(reached, "id", "left_semi")
 
 
 def name_filter(folders: DataFrame, tree: DataFrame, text: str) -> DataFrame:
@@ -81,9 +86,11 @@ def name_filter(folders: DataFrame, tree: DataFrame, text: str) -> DataFrame:
 
 def with_root(folders: DataFrame, tree: DataFrame, *root_columns) -> DataFrame:
     """Each folder with its root's id and the given expressions of the root row."""
-    placed = folders.join(roots(tree), folders.id == F.col("folder_id")).drop("folder_id")
-    info = folders.where(F.col("parent_id").isNull()).select(F.col("id").alias("root_id"), *root_columns)
-    return lookup_join(placed, info, "root_id", "left", ["id"])
+    info = folders.where(F.col("parent_id").isNull()).select(F.col("id").alias("ancestor_id"), *root_columns)
+    # the closure is the left side: where one root owns most folders its rows
+    # may be split, and few roots are simply broadcast once their size is known
+    above = tree.join(info, "ancestor_id").withColumnsRenamed({"ancestor_id": "root_id", "folder_id": "id"}).drop("depth")
+    return folders.join(above, "id")
 
 
 def tree_order(folders: DataFrame, tree: DataFrame, flattened_roots: DataFrame | None = None) -> DataFrame:
@@ -102,10 +109,8 @@ def tree_order(folders: DataFrame, tree: DataFrame, flattened_roots: DataFrame |
     )
     if flattened_roots is None:
         return ordered
-    hidden = lookup_join(
-        ordered, flattened_roots.select(F.col("path").alias("root_path")).distinct().withColumn("_flat", F.lit(True)),
-        "root_path", "left", ["id"],
-    )
+    flat = flattened_roots.select(F.col("path").alias("root_path")).distinct().withColumn("_flat", F.lit(True))
+    hidden = ordered.join(flat, "root_path", "left")
     return hidden.where((F.col("depth") == 0) | F.col("_flat").isNull()).drop("_flat")
 
 
@@ -161,7 +166,7 @@ def derive_folders(
     child = fresh.select(
         F.col("path").alias("child_path"), paths.parent_dir("path").alias("path"), *[c.alias(n) for n, c in given.items()]
     )
-    placed = lookup_join(child, known, "path", "left", ["child_path"])
+    placed = child.join(known, "path", "left")
     return placed.select(
         F.xxhash64("child_path").alias("id"),
         F.coalesce("known_id", F.xxhash64("path")).alias("parent_id"),
@@ -206,6 +211,5 @@ def prune_complete(listing: DataFrame, folders: DataFrame, tree: DataFrame, root
     held = listing.select(holder.alias("_dir")).distinct()
     below = F.filter(paths.ancestor_paths("_dir"), lambda p: F.length(p) > len(root))
     climbs = held.select("_dir", F.explode(below).alias("path"))
-    pruned = lookup_join(climbs, complete, "path", "left_semi", ["_dir"]).select("_dir").distinct()
-    marked = listing.withColumn("_dir", holder)
-    return lookup_join(marked, pruned, "_dir", "left_anti", ["path"]).drop("_dir")
+    pruned = climbs.join(complete, "path", "left_semi").select("_dir").distinct()
+    return listing.withColumn("_dir", holder).join(pruned, "_dir", "left_anti").drop("_dir")

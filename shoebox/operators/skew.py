@@ -1,4 +1,11 @@
-"""Joins and orderings that hold when one key owns a large share of the rows."""
+"""Joins and orderings that hold when one key owns a large share of the rows.
+
+Two means are used.  Joins whose left side may be skewed but that read like any
+other are left to adaptive skew handling: it splits a large left partition and
+repeats the right one, which covers inner, left, semi and anti joins.  Joins
+where a hot key is certain by construction (the root is a prefix of every path,
+one directory holds the files) are salted here, independent of settings.
+"""
 
 from __future__ import annotations
 

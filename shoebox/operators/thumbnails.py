@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions import thumbs
-from shoebox.operators.skew import lookup_join
 
 
 def representatives(media: DataFrame) -> DataFrame:
@@ -20,7 +19,7 @@ def representatives(media: DataFrame) -> DataFrame:
 
 def with_settings(rows: DataFrame, settings: DataFrame) -> DataFrame:
     """Attach the inherited thumbnail policy of each row's folder."""
-    return lookup_join(rows, settings, "folder_id", "left", ["id"])
+    return rows.join(settings, "folder_id", "left")
 
 
 def cache_lookup(rows: DataFrame, cached: DataFrame, side: int, global_base: str, dot_dir: str = thumbs.DOT_DIR) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoebox.functions.json_cols import string_list
 from shoebox.schemas import timestamp
 
 EXTENSIONS = [".jpg", ".JPEG", ".png", ".webp", ".gif", ".bmp", ".tiff", ".avif", ".txt", ""]
@@ -28,10 +29,9 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def folders_raw(self) -> DataFrame:
-        """Folders with their pattern lists as JSON text, some of it broken."""
+    def tree(self) -> DataFrame:
+        """``(id, parent_id, path, segment)``; only customer folders have a segment."""
         region, nation, customer = self.table("region"), self.table("nation"), self.table("customer")
-        none = F.lit(None).cast("bigint")
         top = self.spark.createDataFrame([(1, None, "/lib"), (2, None, "/gone")], "id bigint, parent_id bigint, path string")
         r = region.select(
             (F.col("r_regionkey") + 10).cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("parent_id"),
@@ -51,9 +51,13 @@ class Fixtures:
         tree = c
         for level in (top, r, n):
             tree = tree.unionByName(level.withColumn("segment", blank))
+        return tree
+
+    def folders_raw(self) -> DataFrame:
+        """Folders with their pattern lists as JSON text, some of it broken."""
         root = F.col("parent_id").isNull()
-        return tree.select(
-            "id", F.coalesce("parent_id", none).alias("parent_id"), "path",
+        return self.tree().select(
+            "id", "parent_id", "path",
             root.alias("recursive"), (F.col("id") % 3 == 0).alias("scan_complete"),
             F.when(F.col("segment") == "BUILDING", '["private","/lib/x"]').when(F.col("segment") == "FURNITURE", "not json")
             .when(F.col("segment") == "MACHINERY", '["a",1]').otherwise("[]").alias("exclude"),
@@ -65,14 +69,12 @@ class Fixtures:
         )
 
     def folders(self) -> DataFrame:
-        from shoebox.functions.json_cols import string_list
-
         raw = self.folders_raw()
         return raw.withColumn("exclude", string_list(F.col("exclude"))).withColumn("include", string_list(F.col("include")))
 
     def tree_keys(self) -> DataFrame:
         """Folders without their settings: ``(id, parent_id, path)``."""
-        return self.folders_raw().select("id", "parent_id", "path")
+        return self.tree().select("id", "parent_id", "path")
 
     def media(self) -> DataFrame:
         orders, f = self.table("orders"), self.tree_keys().select(F.col("id").alias("folder_id"), "path")
@@ -101,7 +103,7 @@ class Fixtures:
         kept = media.where(~((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")))
         size = F.when(F.col("o_orderpriority") == "2-HIGH", F.col("file_size") + 1).otherwise(F.col("file_size"))
         old = kept.select(F.col("absolute_path").alias("path"), F.lit(False).alias("is_dir"), size.alias("size"), F.col("modified_at").alias("mtime"))
-        new = self.tree_keys().where(F.col("id") >= 1000).select(
+        new = self.tree().where(F.col("segment").isNotNull()).select(
             F.concat("path", F.lit("/new_"), F.col("id").cast("string"), F.lit(".png")).alias("path"), F.lit(False).alias("is_dir"),
             F.col("id").alias("size"), timestamp("2024-06-01 00:00:00").alias("mtime"),
         )
@@ -200,7 +202,7 @@ fx_listing AS (
          CASE WHEN o_orderpriority = '2-HIGH' THEN file_size + 1 ELSE file_size END AS size, modified_at AS mtime
   FROM fx_media JOIN orders ON id = o_orderkey + 1 WHERE NOT (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')
   UNION ALL
-  SELECT concat(path, '/new_', CAST(id AS VARCHAR), '.png'), FALSE, id, TIMESTAMP '2024-06-01 00:00:00' FROM fx_tree WHERE id >= 1000
+  SELECT concat(path, '/new_', CAST(id AS VARCHAR), '.png'), FALSE, id, TIMESTAMP '2024-06-01 00:00:00' FROM fx_tree WHERE segment IS NOT NULL
 ),
 fx_events AS (
   SELECT e.event_id, CAST(e.ts AS TIMESTAMP) AS ts, m.absolute_path AS path,

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.operators.skew import lookup_join
 from shoebox.schemas import IMPORT_RULES
 
 
@@ -37,4 +36,4 @@ def reachable(rules: DataFrame, existing_dirs: DataFrame) -> tuple[DataFrame, Da
 def needing_scan(rules: DataFrame, folders: DataFrame) -> DataFrame:
     """Imports with no folder yet, or one whose scan is incomplete."""
     done = folders.where("scan_complete").select("path")
-    return lookup_join(rules, done, "path", "left_anti", ["rule_no"]).select(*rules.columns)
+    return rules.join(done, "path", "left_anti").select(*rules.columns)
