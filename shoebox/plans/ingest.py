@@ -132,12 +132,12 @@ def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: st
     version = catalog.commit(
         {"folders": folder_rows, "media": new_media}, {"folders": folder_buckets, "media": buckets}
     )
-    # all of these read small written tables
+    # these read small written tables
     actions = {r.action: r["count"] for r in compared.groupBy("action").count().collect()}
-    missing = changed.where(~F.col("is_present")).count()
-    restored = actions.get("restored", 0)
-    processed = changed.where("is_present").count() - restored
-    failed = rejects.count() + listing.where(F.col("error").isNotNull()).count()
+    tally = changed.agg(F.count_if("is_present").alias("there"), F.count_if(~F.col("is_present")).alias("gone")).first()
+    failed = rejects.unionByName(listing.where(F.col("error").isNotNull()).select("path", "error")).count()
+    restored, missing = actions.get("restored", 0), tally.gone
+    processed = tally.there - restored
     listed = sum(n for a, n in actions.items() if a not in ("absent", "gone"))
     return spark.createDataFrame(
         [(root, listed, processed, failed, restored, missing, actions.get("same", 0), version)], METRICS

@@ -1,15 +1,18 @@
 """Catalogue tables as bucketed parquet snapshots with a commit log.
 
-A commit writes the buckets it touches to a new version folder and then appends
-one small record to the log; a bucket's current files are those of its latest
+A commit writes the buckets it touches to a new version folder and then adds one
+small record to the log; a bucket's current files are those of its latest
 committed version.  Readers never see half a commit, a change of a few rows
-rewrites a few buckets, and a replayed stream batch is recognised by its id.
-One writer per catalogue.
+rewrites a few buckets, and a replayed stream batch is recognised.  The log is
+cut into epochs whose first commit states every bucket, so opening a catalogue
+reads one epoch however long its history.  One writer per catalogue; an open
+``Catalog`` is a fixed snapshot until it commits or is refreshed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,56 +23,87 @@ from shoebox.schemas import TABLES
 # Buckets go by a unique column, so their sizes stay even whatever folder,
 # media row or import dominates.
 BUCKET_KEY = {"folders": "path", "media": "absolute_path", "configs": "name", "values": "id", "work_items": "id"}
-LOG_SCHEMA = "version bigint, table string, bucket int, has_rows boolean, buckets int, batch_id string"
+# One row per bucket a commit touches (version of its files, whether it has any),
+# or per stream (table null) with the last batch applied.
+LOG_SCHEMA = "version bigint, table string, bucket int, files_version bigint, has_rows boolean, buckets int, stream string, batch bigint"
+COMMITS_PER_EPOCH = 200
+
+
+@dataclass
+class State:
+    version: int = 0
+    buckets: int = 0
+    files: dict = field(default_factory=dict)  # (table, bucket) -> (version, has_rows)
+    streams: dict = field(default_factory=dict)  # stream -> last batch
 
 
 class Catalog:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
         self.spark, self.root = spark, root.rstrip("/")
-        log = self._log().agg(F.max("buckets").alias("n")).first()
-        self.buckets = log.n or buckets
+        self.refresh()
+        self.buckets = self.state.buckets or buckets
 
-    def _log(self) -> DataFrame:
+    def _json(self, path: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/commits/*")
+            return self.spark.read.schema(schema).json(path)
         except AnalysisException:
-            return self.spark.createDataFrame([], LOG_SCHEMA)
+            return self.spark.createDataFrame([], schema)
+
+    def refresh(self) -> None:
+        """Read the latest committed state: at most one row per bucket and stream."""
+        state = State()
+        # an epoch is announced just before its first commit, so the last one may be empty
+        epochs = self._json(f"{self.root}/epochs", "epoch bigint").distinct().orderBy(F.desc("epoch")).limit(2).collect()
+        for epoch in epochs:
+            log = self._json(f"{self.root}/commits/epoch={epoch.epoch}/*", LOG_SCHEMA)
+            last = F.max_by(F.struct("version", "files_version", "has_rows", "buckets", "batch"), "version").alias("at")
+            rows = log.groupBy("table", "bucket", "stream").agg(last).collect()
+            for row in rows:
+                at = row["at"]
+                state.version, state.buckets = max(state.version, at.version), at.buckets
+                if row.stream is not None:
+                    state.streams[row.stream] = at.batch
+                elif row.table is not None:
+                    state.files[row.table, row.bucket] = (at.files_version, at.has_rows)
+            if rows:
+                break
+        self.state = state
 
     def version(self) -> int:
-        return self._log().agg(F.max("version").alias("v")).first().v or 0
+        return self.state.version
 
-    def has_batch(self, batch_id: str) -> bool:
-        return not self._log().where(F.col("batch_id") == batch_id).isEmpty()
+    def has_batch(self, stream: str, batch: int) -> bool:
+        return self.state.streams.get(stream, -1) >= batch
 
     def bucket_of(self, table: str) -> Column:
         return F.pmod(F.xxhash64(BUCKET_KEY[table]), F.lit(self.buckets)).cast("int")
 
     def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         """Current rows, or those of some buckets only."""
-        log = self._log().where(F.col("table") == table)
-        if buckets is not None:
-            log = log.where(F.col("bucket").isin(buckets))
-        # at most one row per bucket reaches the driver
-        latest = log.groupBy("bucket").agg(F.max_by(F.struct("version", "has_rows"), "version").alias("at")).collect()
-        base = f"{self.root}/data/{table}"
-        files = [f"{base}/v={r['at'].version}/bucket={r.bucket}" for r in latest if r["at"].has_rows]
+        wanted = range(self.buckets) if buckets is None else buckets
+        held = {b: self.state.files.get((table, b), (0, False)) for b in wanted}
+        files = [f"{self.root}/data/{table}/v={v}/bucket={b}" for b, (v, has_rows) in sorted(held.items()) if has_rows]
         schema = TABLES[table]
         if not files:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*sorted(files))
+        return self.spark.read.schema(schema).parquet(*files)
 
     def touched(self, table: str, changes: DataFrame) -> list[int]:
         """Buckets a change set falls into; never more than there are buckets."""
         return sorted(r.b for r in changes.select(self.bucket_of(table).alias("b")).distinct().collect())
 
     def commit(
-        self, tables: dict[str, DataFrame], touched: dict[str, list[int]] | None = None, batch_id: str | None = None
+        self, tables: dict[str, DataFrame], touched: dict[str, list[int]] | None = None,
+        stream: str | None = None, batch: int | None = None,
     ) -> int:
-        """Publish new contents: whole tables, or only the ``touched`` buckets of them."""
-        version = self.version() + 1
-        records = []
+        """Publish new contents: whole tables, or only the ``touched`` buckets of
+        them.  A stream names itself and the batch it has just applied."""
+        version = self.state.version + 1
+        files = {}
         for table, rows in tables.items():
             scope = (touched or {}).get(table)
+            if scope == []:
+                continue
             path = f"{self.root}/data/{table}/v={version}"
             keyed = rows.select(*TABLES[table].names).withColumn("bucket", self.bucket_of(table))
             (
@@ -78,12 +112,20 @@ class Catalog:
                 .write.mode("overwrite").partitionBy("bucket").parquet(path)
             )
             filled = self._filled(path)
-            for bucket in range(self.buckets) if scope is None else scope:
-                records.append((version, table, bucket, bucket in filled, self.buckets, batch_id))
-        if not records:
-            records.append((version, "", -1, False, self.buckets, batch_id))
+            files |= {(table, b): (version, b in filled) for b in (range(self.buckets) if scope is None else scope)}
+        after = State(version, self.buckets, {**self.state.files, **files}, dict(self.state.streams))
+        if stream is not None:
+            after.streams[stream] = batch
+        epoch, first = divmod(version - 1, COMMITS_PER_EPOCH)
+        if first == 0:
+            self.spark.createDataFrame([(epoch,)], "epoch bigint").coalesce(1).write.mode("append").json(f"{self.root}/epochs")
+        stated = after.files if first == 0 else files
+        records = [(version, t, b, v, has_rows, self.buckets, None, None) for (t, b), (v, has_rows) in stated.items()]
+        records += [(version, None, None, None, None, self.buckets, s, n) for s, n in after.streams.items()]
+        records = records or [(version, None, None, None, None, self.buckets, None, None)]
         log = self.spark.createDataFrame(records, LOG_SCHEMA).coalesce(1)
-        log.write.mode("error").json(f"{self.root}/commits/v={version}")
+        log.write.mode("error").json(f"{self.root}/commits/epoch={epoch}/v={version}")
+        self.state = after
         return version
 
     def _filled(self, path: str) -> set[int]:

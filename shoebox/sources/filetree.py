@@ -23,6 +23,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCAN_SCHEMA = "path string, is_dir boolean, descend boolean, status string, error string"
 STAT_SCHEMA = "path string, is_dir boolean, size bigint, mtime_s bigint, error string"
 BATCH = 20_000
+# Enough work per task to pay for it, and no more tasks than a cluster can use.
+DIRS_PER_TASK = 64
+FILES_PER_TASK = 2_000
+MAX_TASKS = 20_000
 
 
 def _text(path) -> str:
@@ -56,7 +60,7 @@ def _scan_directories(batches):
             yield frame(rows)
 
 
-def _stat_files(batches):
+def stat_files(batches):
     import os
 
     import pandas as pd
@@ -67,7 +71,9 @@ def _stat_files(batches):
             try:
                 found = os.stat(path)
                 if os.path.isfile(path):
-                    rows.append((path, False, found.st_size, int(found.st_mtime // 1), None))
+                    # a time before 1970 counts as unknown
+                    seconds = int(found.st_mtime) if found.st_mtime >= 0 else None
+                    rows.append((path, False, found.st_size, seconds, None))
             except OSError as problem:
                 rows.append((path, False, None, None, str(problem)))
         yield pd.DataFrame(rows, columns=["path", "is_dir", "size", "mtime_s", "error"]).astype(
@@ -75,9 +81,13 @@ def _stat_files(batches):
         )
 
 
+def _tasks(spark: SparkSession, n: int, per_task: int) -> int:
+    return max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // per_task)), MAX_TASKS))
+
+
 def list_tree(
     spark: SparkSession, root: str, recursive: bool = True, exclude=(), include=(), mode: str = "strict",
-    skip: DataFrame | None = None, heif: bool = False, tasks: int = 64,
+    skip: DataFrame | None = None, heif: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``(listing, directories)`` of an import.
 
@@ -90,10 +100,11 @@ def list_tree(
     work = f"{checkpoint_root(spark)}/listing-{uuid.uuid4().hex}"
     frontier = spark.createDataFrame([(root,)], "path string")
     exclude, include = list(exclude), list(include)
-    level, levels = 0, []
+    level, levels, n_dirs, n_files = 0, [], 1, 0
+    keep = (F.col("status") == "entry") & ~F.col("is_dir") & paths.is_supported("path", heif)
     while True:
         target = f"{work}/level={level}"
-        found = frontier.repartition(tasks, "path").mapInPandas(_scan_directories, SCAN_SCHEMA)
+        found = frontier.repartition(_tasks(spark, n_dirs, DIRS_PER_TASK), "path").mapInPandas(_scan_directories, SCAN_SCHEMA)
         admitted = paths.is_admitted("path", exclude, include, mode)
         judged = found.withColumn(
             "status", F.when((F.col("status") == "entry") & ~admitted, "excluded").otherwise(F.col("status"))
@@ -108,8 +119,11 @@ def list_tree(
         judged.write.mode("overwrite").parquet(target)
         written = spark.read.schema(SCAN_SCHEMA).parquet(target)
         levels.append(target)
-        frontier = written.where((F.col("status") == "entry") & F.col("descend")).select("path")
-        if not recursive or frontier.isEmpty():
+        enter = (F.col("status") == "entry") & F.col("descend")
+        frontier = written.where(enter).select("path")
+        found = written.agg(F.count_if(enter).alias("dirs"), F.count_if(keep).alias("files")).first()
+        n_dirs, n_files = found.dirs, n_files + found.files
+        if not recursive or n_dirs == 0:
             break
         level += 1
     entries = spark.read.schema(SCAN_SCHEMA).parquet(*levels)
@@ -119,12 +133,12 @@ def list_tree(
     directories = states.unionByName(linked).select("path", "status", "error")
     if not recursive:
         directories = directories.where(F.col("path") == root)
-    files = entries.where((F.col("status") == "entry") & ~F.col("is_dir") & paths.is_supported("path", heif)).select("path")
+    files = entries.where(keep).select("path")
     # stat calls are the slow part on a network mount: spread them by path, so
     # the files of one huge directory are shared out as well
     listing = (
-        files.repartition(tasks, "path")
-        .mapInPandas(_stat_files, STAT_SCHEMA)
+        files.repartition(_tasks(spark, n_files, FILES_PER_TASK), "path")
+        .mapInPandas(stat_files, STAT_SCHEMA)
         .withColumn("mtime", F.timestamp_seconds("mtime_s").cast("timestamp_ntz"))
         .select("path", "is_dir", "size", "mtime", "error")
     )

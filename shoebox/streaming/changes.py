@@ -2,7 +2,7 @@
 
 Events are rows written by whatever watches the files.  Each micro-batch is
 collapsed to one change per path, resolved against the import rules and
-committed under its batch id, so a replayed batch changes nothing.
+committed under its batch number, so a replayed batch changes nothing.
 """
 
 from __future__ import annotations
@@ -47,16 +47,16 @@ def read_watched(spark: SparkSession, imports: list[dict], feeds: dict[str, str]
 
 def print_files(upserts: DataFrame) -> DataFrame:
     """Stat and fingerprint files by path; unreadable ones come back with ``error``."""
-    found = upserts.select("path").mapInPandas(filetree._stat_files, filetree.STAT_SCHEMA)
-    sized = found.where(F.col("error").isNull()).select(
-        "path", "size", F.timestamp_seconds("mtime_s").cast("timestamp_ntz").alias("mtime")
+    found = upserts.select("path").mapInPandas(filetree.stat_files, filetree.STAT_SCHEMA)
+    kept = stored(
+        found.select("path", "size", F.timestamp_seconds("mtime_s").cast("timestamp_ntz").alias("mtime"), "error"), "stats"
     )
-    kept = stored(sized, "stats")
-    return fingerprint.fingerprint_files(kept)
+    printed = fingerprint.fingerprint_files(kept.where(F.col("error").isNull()).drop("error"))
+    return printed.unionByName(kept.where(F.col("error").isNotNull()), allowMissingColumns=True)
 
 
 def apply_batch(
-    events: DataFrame, catalog: Catalog, rules: list[dict], now, batch_id: str,
+    events: DataFrame, catalog: Catalog, rules: list[dict], now, stream: str, batch: int,
     printer: Callable[[DataFrame], DataFrame] = print_files, order: str = "remove_wins", heif: bool = False,
 ) -> dict:
     """Apply one batch of events; counts and the folders touched.
@@ -64,7 +64,7 @@ def apply_batch(
     Upserts replace or add media rows, removes mark rows missing.  A file that
     cannot be read is counted and left alone.
     """
-    if catalog.has_batch(batch_id):
+    if catalog.has_batch(stream, batch):
         return {"upserted": 0, "missing": 0, "failed": 0, "folders": [], "replayed": True}
     spark = events.sparkSession
     collapsed = changes.collapse(changes.classify(events, heif), order)
@@ -122,7 +122,7 @@ def apply_batch(
     folder_rows, folder_buckets = catalog.change("folders", fresh, lambda old: replace_rows(old, fresh, "path"))
     catalog.commit(
         {"folders": folder_rows, "media": replace_rows(catalog.read("media", buckets), rows, "absolute_path")},
-        {"folders": folder_buckets, "media": buckets}, batch_id,
+        {"folders": folder_buckets, "media": buckets}, stream, batch,
     )
     tally = rows.agg(F.count_if("is_present").alias("up"), F.count_if(~F.col("is_present")).alias("gone")).first()
     return {
@@ -139,7 +139,7 @@ def run(
     batch unless told otherwise."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, catalog, rules, now, f"{name}-{batch_id}", printer, order)
+        apply_batch(batch, catalog, rules, now, name, batch_id, printer, order)
 
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return writer.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
