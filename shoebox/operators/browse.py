@@ -34,9 +34,10 @@ def in_folder(media: DataFrame, folder_id: int) -> DataFrame:
 
 
 def in_subtree(media: DataFrame, tree: DataFrame, folder_id: int) -> DataFrame:
-    """Media of a folder and all below.  A semi-join with media on the left:
-    when the subtree is small the scan is filtered in place, otherwise the
-    join's left side may be split where a folder is hot."""
+    """Media of a folder and all below; ``tree`` is the folder table or a closure.
+    A semi-join with media on the left: when the subtree is small the scan is
+    filtered in place, otherwise the join's left side may be split where a folder
+    is hot."""
     scope = subtree(tree, folder_id).select(F.col("id").alias("folder_id"))
     return media.join(scope, "folder_id", "left_semi").select(*media.columns)
 

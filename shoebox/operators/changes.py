@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions import paths
-from shoebox.operators.skew import lookup_join
 
 # Above this many import roots the rules are matched by a join on path prefixes
 # instead of being unrolled into the plan.
@@ -60,7 +59,7 @@ def match_rules(changes: DataFrame, rules: DataFrame) -> DataFrame:
     best = rules.groupBy(F.col("path").alias("_prefix")).agg(F.max("rule_no").alias("rule_no"))
     prefixes = F.concat(F.array(F.lit(""), F.lit("/")), paths.ancestor_paths("path"))
     asked = changes.select("path", F.explode(prefixes).alias("_prefix"))
-    hits = lookup_join(asked, best, "_prefix", "inner", ["path"])
+    hits = asked.join(best, "_prefix")
     longest = hits.groupBy("path").agg(F.max_by("rule_no", F.length("_prefix")).alias("rule_no"))
     return changes.join(longest, "path", "left")
 

@@ -52,8 +52,23 @@ def closure_recursive(folders: DataFrame) -> DataFrame:
 
 
 def subtree(tree: DataFrame, root_id: int) -> DataFrame:
-    """Ids of a folder and everything below it, from a closure."""
-    return tree.where(F.col("ancestor_id") == F.lit(root_id).cast("bigint")).select(F.col("folder_id").alias("id"))
+    """Ids of a folder and everything below it.
+
+    ``tree`` is a closure, which is then just filtered, or the folder table
+    itself: folders below the root's path, less those that belong to an import
+    nested there.  The second form reads two columns once and is the one to use
+    for a single folder; the root's path is a scalar subquery, not a join.
+    """
+    root = F.lit(root_id).cast("bigint")
+    if "ancestor_id" in tree.columns:
+        return tree.where(F.col("ancestor_id") == root).select(F.col("folder_id").alias("id"))
+    top = tree.where(F.col("id") == root).select("path").scalar()
+    below = F.startswith(F.col("path"), F.concat(top, F.lit("/")))
+    inside = tree.where((F.col("id") == root) | below).select("id", "parent_id", "path")
+    nested = inside.where(F.col("parent_id").isNull() & (F.col("id") != root)).select("path")
+    climbs = inside.where(F.col("id") != root).select("id", F.explode(paths.ancestor_paths("path")).alias("path"))
+    foreign = climbs.join(nested, "path", "left_semi").select("id")
+    return inside.join(foreign, "id", "left_anti").select("id")
 
 
 def roots(tree: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: st
     here = folders.where(F.col("path") == root).select("id").first()
     skip = None
     if here is not None:
-        below = hierarchy.subtree(hierarchy.closure(folders), here.id).where(F.col("id") != here.id)
+        below = hierarchy.subtree(folders, here.id).where(F.col("id") != here.id)
         skip = folders.where("scan_complete").join(below, "id", "left_semi").select("path")
     listing, directories = filetree.list_tree(
         spark, root, rule.get("recursive", True), rule.get("exclude", []), rule.get("include", []), mode, skip, heif
@@ -149,7 +149,7 @@ def rescan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode:
     folders = catalog.read("folders")
     here = folders.where(F.col("path") == rule["path"]).select("id").first()
     if here is not None:
-        below = hierarchy.subtree(hierarchy.closure(folders), here.id)
+        below = hierarchy.subtree(folders, here.id)
         catalog.commit({"folders": stored(hierarchy.set_scan_state(folders, below, False), "folders")})
     return scan_import(spark, catalog, rule, now, mode, heif)
 

@@ -209,7 +209,7 @@ def c5(fx):
 )
 def c6(fx):
     folders = fx.folders_raw().select("id", "parent_id", "path", "scan_complete")
-    kept = hierarchy.prune_complete(fx.listing(), folders, hierarchy.closure(folders), LIBRARY, "/lib")
+    kept = hierarchy.prune_complete(fx.listing(), folders, folders, LIBRARY, "/lib")
     return kept.select("path", "size")
 
 
@@ -324,13 +324,13 @@ def e1(fx):
 
 @query("E2_subtree_summaries", f"SELECT {SUMMARY}, row_number() OVER (ORDER BY id) AS position FROM fx_media WHERE folder_id IN {IN_LIBRARY}")
 def e2(fx):
-    rows = browse.in_subtree(fx.media(), hierarchy.closure(fx.tree_keys()), LIBRARY).select(*browse.SUMMARY_COLUMNS)
+    rows = browse.in_subtree(fx.media(), fx.tree_keys(), LIBRARY).select(*browse.SUMMARY_COLUMNS)
     return with_position(rows, [F.col("id")])
 
 
 @query("E3_subtree_semi", f"SELECT {MEDIA_FILE} FROM fx_media WHERE folder_id IN {IN_SCOPE}")
 def e3(fx):
-    return browse.media_files(browse.in_subtree(fx.media(), hierarchy.closure(fx.tree_keys()), SCOPE))
+    return browse.media_files(browse.in_subtree(fx.media(), fx.tree_keys(), SCOPE))
 
 
 @query(
@@ -342,7 +342,7 @@ def e3(fx):
     """,
 )
 def e4(fx):
-    media, tree = fx.media(), hierarchy.closure(fx.tree_keys())
+    media, tree = fx.media(), fx.tree_keys()
     wanted = fx.table("events").select((F.col("user_id") * 2).alias("id"))
     every = fx.table("orders").select(F.col("o_orderkey").alias("id"))
     below = browse.hydrate(media, wanted, tree, LIBRARY, True).withColumn("scope", F.lit("recursive"))
@@ -458,7 +458,7 @@ def f2(fx):
 
 @query("F2_count_one_subtree", f"SELECT count(*) AS n FROM fx_media WHERE folder_id IN {IN_SCOPE}")
 def f2_one(fx):
-    return browse.count_in_subtree(fx.media(), hierarchy.closure(fx.tree_keys()), SCOPE)
+    return browse.count_in_subtree(fx.media(), fx.tree_keys(), SCOPE)
 
 
 @query(
@@ -500,7 +500,7 @@ def f10(fx):
     listed = fx.listing().select(F.col("path").alias("absolute_path"))
     marked = changeset.mark_missing(media, listed, F.lit(True), now)
     folders = fx.folders_raw().select("id", "parent_id", "path", "scan_complete")
-    scope = hierarchy.subtree(hierarchy.closure(folders), LIBRARY)
+    scope = hierarchy.subtree(folders, LIBRARY)
     reset = folders.join(scope, "id", "left_semi")
     jobs = {
         "marked_missing": (marked, F.col("missing_since") == now),
@@ -563,7 +563,7 @@ def g3(fx):
     f"SELECT {MEDIA_FILE}, row_number() OVER (ORDER BY id) AS position FROM (SELECT * FROM fx_media WHERE folder_id IN {IN_LIBRARY} AND id > 50 ORDER BY id LIMIT 100)",
 )
 def g4(fx):
-    page = browse.page_of_subtree(fx.media(), hierarchy.closure(fx.tree_keys()), LIBRARY, 50, 100)
+    page = browse.page_of_subtree(fx.media(), fx.tree_keys(), LIBRARY, 50, 100)
     return with_position(page, [F.col("id")])
 
 

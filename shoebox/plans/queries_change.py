@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from shoebox.operators import annotate, changes, changeset, diff, fingerprint, hierarchy
+from shoebox.plans.ingest import stored
 from shoebox.plans.queries_browse import LIBRARY, RULES, SUMMARY, _fresh_catalog
 from shoebox.plans.registry import query
 from shoebox.schemas import timestamp
@@ -59,7 +60,8 @@ _SQL_UPSERTS = """
     """,
 )
 def i1(fx):
-    after = changeset.upsert_media(fx.media(), _upserts(fx), timestamp(NOW))
+    # a scan writes its change set before it merges it
+    after = changeset.upsert_media(fx.media(), stored(_upserts(fx), "upserts"), timestamp(NOW))
     fresh = F.col("created_at") == timestamp(NOW)
     # ids of new rows are hashes, which the SQL side cannot compute
     return after.select(F.when(~fresh, F.col("id")).alias("id"), *_MEDIA_OUT[1:])

@@ -38,10 +38,6 @@ def _labels(fx):
     return search.FrameScorer("labels", "classification", found)
 
 
-def _tree(fx):
-    return hierarchy.closure(fx.tree_keys())
-
-
 @query("K1_filename_scorer", f"SELECT media_id, score FROM {_FILENAME}")
 def k1(fx):
     return _as_double(search.contributions(fx.media(), [search.FILENAME], QUERY))
@@ -73,7 +69,7 @@ def k2(fx):
     registry = search.Registry.with_defaults()
     registry.register(_labels(fx))
     scorers = search.active_scorers(registry, ["filename", "labels", "other"], ["labels", "filename"])
-    return _as_double(search.search(fx.media(), _tree(fx), LIBRARY, True, QUERY, scorers))
+    return _as_double(search.search(fx.media(), fx.tree_keys(), LIBRARY, True, QUERY, scorers))
 
 
 @query(
@@ -84,7 +80,7 @@ def k2(fx):
     """,
 )
 def k3(fx):
-    media, tree = fx.media(), _tree(fx)
+    media, tree = fx.media(), fx.tree_keys()
     below = search.search(media, tree, SCOPE, True, QUERY, [search.FILENAME], ranked=False)
     here = search.search(media, tree, FOLDER, False, QUERY, [search.FILENAME], ranked=False)
     parts = [rows.select(F.lit(name).alias("scope"), "id", "score") for name, rows in (("recursive", below), ("direct", here))]
@@ -96,7 +92,7 @@ _BY_SCORE = "row_number() OVER (ORDER BY score DESC, lower(regexp_extract(relati
 
 @query("K4_summaries_by_score", f"SELECT id, score AS search_score, {_BY_SCORE} FROM fx_media JOIN {_FILENAME} ON media_id = id WHERE folder_id IN {IN_LIBRARY}")
 def k4(fx):
-    hits = search.search(fx.media(), _tree(fx), LIBRARY, True, QUERY, [search.FILENAME], ranked=False)
+    hits = search.search(fx.media(), fx.tree_keys(), LIBRARY, True, QUERY, [search.FILENAME], ranked=False)
     rows = search.as_summaries(hits, sort=False).select("id", "relative_path", "search_score")
     ordered = with_position(rows, browse.browse_order("score", descending=True))
     return _as_double(ordered, "search_score").select("id", "search_score", "position")

@@ -129,7 +129,7 @@ def d8(fx):
 )
 def d9(fx):
     folders = fx.folders_raw().select("id", "parent_id", "path", "scan_complete")
-    scope = hierarchy.subtree(hierarchy.closure(folders), 12)
+    scope = hierarchy.subtree(folders, 12)
     return hierarchy.set_scan_state(folders, scope, False).select("id", "path", "scan_complete")
 
 

@@ -8,11 +8,14 @@ on the data that gives it its meaning (a later listing lacks some files).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions.json_cols import string_list
 from shoebox.schemas import timestamp
+from shoebox.session import checkpoint_root
 
 EXTENSIONS = [".jpg", ".JPEG", ".png", ".webp", ".gif", ".bmp", ".tiff", ".avif", ".txt", ""]
 MISSING_SINCE = "2024-01-01 00:00:00"
@@ -20,6 +23,11 @@ NOW = "2024-07-01 00:00:00"
 GLOBAL_CACHE = "/cache/global"
 
 
+# The folder table is written once per application and data folder, as a
+# catalogue would hold it; everything else is derived on the fly.
+_WRITTEN_TREES: dict[tuple[str, str], str] = {}
+
+
 class Fixtures:
     """The views for one data folder."""
 
@@ -31,6 +39,15 @@ class Fixtures:
 
     def tree(self) -> DataFrame:
         """``(id, parent_id, path, segment)``; only customer folders have a segment."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _WRITTEN_TREES:
+            path = f"{checkpoint_root(self.spark)}/fixture-tree-{uuid.uuid4().hex}"
+            self._derive_tree().write.parquet(path)
+            _WRITTEN_TREES[key] = path
+        schema = "id bigint, parent_id bigint, path string, segment string"
+        return self.spark.read.schema(schema).parquet(_WRITTEN_TREES[key])
+
+    def _derive_tree(self) -> DataFrame:
         region, nation, customer = self.table("region"), self.table("nation"), self.table("customer")
         top = self.spark.createDataFrame([(1, None, "/lib"), (2, None, "/gone")], "id bigint, parent_id bigint, path string")
         r = region.select(
@@ -76,7 +93,8 @@ class Fixtures:
         """Folders without their settings: ``(id, parent_id, path)``."""
         return self.tree().select("id", "parent_id", "path")
 
-    def media(self) -> DataFrame:
+    def _files(self) -> DataFrame:
+        """Media rows with the order they stand for: orders meet folders once."""
         orders, f = self.table("orders"), self.tree_keys().select(F.col("id").alias("folder_id"), "path")
         key = F.col("o_orderkey")
         ext = F.element_at(F.array(*[F.lit(e) for e in EXTENSIONS]), (key % 10 + 1).cast("int"))
@@ -93,14 +111,16 @@ class Fixtures:
             F.col("o_orderdate").alias("modified_at"),
             (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("created_at"),
             present.alias("is_present"), F.when(~present, timestamp(MISSING_SINCE)).alias("missing_since"),
+            "o_orderstatus", "o_orderpriority",
         )
 
+    def media(self) -> DataFrame:
+        return self._files().drop("o_orderstatus", "o_orderpriority")
+
     def listing(self) -> DataFrame:
         """A later listing: urgent open orders' files are gone, high-priority ones
         changed size, and every customer folder gained a file."""
-        orders = self.table("orders").select((F.col("o_orderkey") + 1).alias("id"), "o_orderstatus", "o_orderpriority")
-        media = self.media().select("id", "absolute_path", "file_size", "modified_at").join(orders, "id")
-        kept = media.where(~((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")))
+        kept = self._files().where(~((F.col("o_orderstatus") == "O") & (F.col("o_orderpriority") == "1-URGENT")))
         size = F.when(F.col("o_orderpriority") == "2-HIGH", F.col("file_size") + 1).otherwise(F.col("file_size"))
         old = kept.select(F.col("absolute_path").alias("path"), F.lit(False).alias("is_dir"), size.alias("size"), F.col("modified_at").alias("mtime"))
         new = self.tree().where(F.col("segment").isNotNull()).select(

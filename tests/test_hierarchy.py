@@ -19,6 +19,9 @@ def test_both_closures_agree_with_nested_roots(make):
     found = pairs(hierarchy.closure(folders))
     assert found == pairs(hierarchy.closure_recursive(folders))
     assert (4, 5, 1) in found and (1, 5, 2) not in found and (7, 9, 1) not in found
+    for root in range(1, 10):
+        direct = sorted(r.id for r in hierarchy.subtree(folders, root).collect())
+        assert direct == sorted(r.id for r in hierarchy.subtree(hierarchy.closure(folders), root).collect())
     top = {r.folder_id: r.root_id for r in hierarchy.roots(hierarchy.closure(folders)).collect()}
     assert top == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8, 9: 8}
 
