@@ -17,19 +17,21 @@ def _col(value) -> Column:
 
 
 def file_name(path) -> Column:
-    return F.element_at(F.split(_col(path), "/"), -1)
+    return F.substring_index(_col(path), "/", -1)
 
 
 def parent_dir(path) -> Column:
     """Directory part; the parent of ``/a`` is ``/``, of a bare name the empty string."""
     path = _col(path)
-    cut = F.regexp_replace(path, "/[^/]*$", "")
+    cut = F.substr(path, F.lit(1), F.length(path) - F.length(file_name(path)) - 1)
     return F.when(~F.contains(path, F.lit("/")), F.lit("")).when(cut == "", F.lit("/")).otherwise(cut)
 
 
 def extension(path) -> Column:
     """Lower-cased extension, empty when there is none (a leading dot starts a name)."""
-    return F.lower(F.regexp_extract(_col(path), r"[^/]+\.([^./]*)$", 1))
+    name = file_name(path)
+    has_one = F.contains(F.substr(name, F.lit(2)), F.lit("."))
+    return F.when(has_one, F.lower(F.substring_index(name, ".", -1))).otherwise(F.lit(""))
 
 
 def is_supported(path, heif: bool = False) -> Column:
@@ -105,13 +107,43 @@ def is_admitted(path, exclude, include, mode: str = "strict") -> Column:
     return ~is_excluded(path, exclude) & is_included(path, include, mode)
 
 
+def _rejected_at_or_above(path: Column, root: Column, pattern: Column) -> Column:
+    """Does an exclude pattern hit the path or a directory between it and the
+    root?  What a directory contains as a substring its descendants contain too,
+    and an exact hit on a directory means the path lies below it, so the path
+    alone decides."""
+    exact = normalize(pattern)
+    below = is_under(path, exact) & (F.length(exact) > F.length(root))
+    return F.when(F.startswith(pattern, F.lit("/")), below).otherwise(F.contains(path, pattern))
+
+
 def survives_pruning(path, root, exclude, include, mode: str = "strict") -> Column:
     """True when neither the path nor any directory between it and the root is
-    rejected.  The root itself is always admitted.  Works on a flat listing
-    with no join: the prefixes are tested in place."""
-    root = _col(root)
-    below = F.filter(ancestor_paths(path), lambda p: F.length(p) > F.length(root))
-    return F.forall(below, lambda p: is_admitted(p, exclude, include, mode))
+    rejected.  The root itself is always admitted.  Works on a flat listing with
+    no join and, but for exact include patterns, without looking at the
+    directories one by one."""
+    path, root = _col(path), _col(root)
+    unrolled = isinstance(exclude, (list, tuple))
+    if unrolled:
+        rejected = F.lit(False)
+        for pattern in exclude:
+            rejected = rejected | _rejected_at_or_above(path, root, F.lit(pattern))
+    else:
+        rejected = F.exists(_col(exclude), lambda p: _rejected_at_or_above(path, root, p))
+    if isinstance(include, (list, tuple)) and not include:
+        return (path == root) | ~rejected
+    carries_down = mode == "subtree" or (
+        isinstance(include, (list, tuple)) and not any(p.startswith("/") for p in include)
+    )
+    if carries_down:
+        # admitted at the first level means admitted all the way down
+        prefix = F.when(root == "/", root).otherwise(F.concat(root, F.lit("/")))
+        first = F.concat(prefix, F.substring_index(relative_to(path, root), "/", 1))
+        admitted = is_included(first, include, mode)
+    else:
+        below = F.filter(ancestor_paths(path), lambda p: F.length(p) > F.length(root))
+        admitted = F.forall(below, lambda p: is_included(p, include, mode))
+    return (path == root) | (~rejected & admitted)
 
 
 def within_depth(path, root, recursive) -> Column:
@@ -120,17 +152,29 @@ def within_depth(path, root, recursive) -> Column:
     return recursive | (parent_dir(path) == _col(root)) | (_col(path) == _col(root))
 
 
-def longest_rule(path, rules: Iterable[tuple[int, str]]) -> Column:
-    """``rule_no`` of the longest import root above ``path``; a tie goes to the
-    later rule, no match gives null.
+def best_rule(path, rules: Iterable[dict]) -> Column:
+    """The longest import root above ``path`` as a struct ``(length, rule_no, root,
+    exclude, include)``; a tie goes to the later rule, no match gives null.
 
-    The rules come from configuration, so they are unrolled as literals: one
+    The rules come from configuration, so they travel as one literal array: a
     narrow projection, no join.  ``operators.changes.match_rules`` takes over
     when there are too many for that.
     """
     path = _col(path)
-    choice = F.lit(None).cast("int")
-    for rule_no, root in sorted(rules, key=lambda r: (len(r[1]), r[0])):
-        hit = F.lit(True) if root == "" else is_under(path, F.lit(root))
-        choice = F.when(hit, F.lit(rule_no)).otherwise(choice)
-    return choice
+    table = F.array(*[
+        F.struct(
+            F.lit(len(r["path"])).alias("length"), F.lit(r["rule_no"]).alias("rule_no"), F.lit(r["path"]).alias("root"),
+            _strings(r.get("exclude", [])).alias("exclude"), _strings(r.get("include", [])).alias("include"),
+        )
+        for r in rules
+    ])
+    return F.array_max(F.filter(table, lambda r: (r["root"] == "") | is_under(path, r["root"])))
+
+
+def _strings(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def longest_rule(path, rules: Iterable[tuple[int, str]]) -> Column:
+    """``rule_no`` of the longest import root above ``path``."""
+    return best_rule(path, [{"rule_no": n, "path": root} for n, root in rules])["rule_no"]

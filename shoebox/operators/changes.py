@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from shoebox.functions import paths
 
 # Above this many import roots the rules are matched by a join on path prefixes
-# instead of being unrolled into the plan.
-MAX_UNROLLED_RULES = 200
+# instead of travelling in the plan.
+MAX_LITERAL_RULES = 200
 
 
 def classify(events: DataFrame, heif: bool = False) -> DataFrame:
@@ -68,7 +68,7 @@ def resolve(changes: DataFrame, rules: list[dict], mode: str = "strict", apply_r
     """Attach ``root`` and ``relative_path`` (relative to the import root); drop
     paths under no import.  ``rules`` holds dicts with ``rule_no, path, exclude,
     include``."""
-    if len(rules) > MAX_UNROLLED_RULES:
+    if len(rules) > MAX_LITERAL_RULES:
         table = changes.sparkSession.createDataFrame(
             [(r["rule_no"], r["path"], list(r.get("exclude", [])), list(r.get("include", []))) for r in rules],
             "rule_no int, path string, exclude array<string>, include array<string>",
@@ -76,21 +76,14 @@ def resolve(changes: DataFrame, rules: list[dict], mode: str = "strict", apply_r
         matched = match_rules(changes, table).where(F.col("rule_no").isNotNull())
         details = table.withColumnRenamed("path", "root")
         placed = matched.join(details, "rule_no")
-        admitted = paths.survives_pruning("path", F.col("root"), F.col("exclude"), F.col("include"), mode)
-        placed = (placed.where(admitted) if apply_rules else placed).drop("exclude", "include")
     else:
-        number = paths.longest_rule("path", [(r["rule_no"], r["path"]) for r in rules])
-        matched = changes.withColumn("rule_no", number).where(F.col("rule_no").isNotNull())
-        root, admitted = F.lit(None).cast("string"), F.lit(True)
-        for rule in rules:
-            mine = F.col("rule_no") == rule["rule_no"]
-            root = F.when(mine, F.lit(rule["path"])).otherwise(root)
-            if apply_rules and (rule.get("exclude") or rule.get("include")):
-                keep = paths.survives_pruning(
-                    "path", F.lit(rule["path"]), list(rule.get("exclude", [])), list(rule.get("include", [])), mode
-                )
-                admitted = F.when(mine, keep).otherwise(admitted)
-        placed = matched.withColumn("root", root).where(admitted)
+        matched = changes.withColumn("_rule", paths.best_rule("path", rules)).where(F.col("_rule").isNotNull())
+        placed = matched.select(*changes.columns, "_rule.rule_no", "_rule.root", "_rule.exclude", "_rule.include")
+    if apply_rules:
+        placed = placed.where(
+            paths.survives_pruning("path", F.col("root"), F.col("exclude"), F.col("include"), mode)
+        )
+    placed = placed.drop("exclude", "include")
     return placed.withColumn("relative_path", paths.relative_to("path", F.col("root")))
 
 

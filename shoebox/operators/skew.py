@@ -9,7 +9,7 @@ one directory holds the files) are salted here, independent of settings.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.session import checkpointed
@@ -49,19 +49,21 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str, salt_on:
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Number the rows 1..n in a total order without gathering them in one task.
 
-    Range-partition and sort, pin the result with a checkpoint (so both branches
-    see the same cut points), count rows per partition, and add the number of
-    rows in earlier partitions to each row's place in its own.  Only one row per
-    partition is ever brought together.
+    Range-partition and sort, pin the result with a checkpoint (so both uses see
+    the same cut points), count rows per partition, and add the number of rows in
+    earlier partitions to each row's place in its own.  Only one row per
+    partition reaches the driver.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # monotonically_increasing_id holds the partition in the upper bits and the
     # row's place inside the partition in the lower 33
     pinned = checkpointed(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-    part = F.shiftright(F.col("_mid"), 33)
-    place = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = pinned.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = pinned.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    return numbered.withColumn(name, F.col("_start") + place + 1).drop("_mid", "_part", "_start", "_n")
+    part, place = F.shiftright(F.col("_mid"), 33), F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = pinned.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect()
+    starts, before = [], 0
+    for row in sorted(counts, key=lambda r: r["_part"]):
+        starts.append((row["_part"], before))
+        before += row["_n"]
+    offsets = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    numbered = pinned.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(name, F.col("_start") + place + 1).drop("_mid", "_part", "_start")

@@ -123,7 +123,13 @@ def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: st
     unlisted = unlisted.unionByName(listing.where(F.col("error").isNotNull()).select("path"))
     readable = listing.where(F.col("error").isNull())
     scope = media.where(F.startswith(F.col("absolute_path"), F.lit(root.rstrip("/") + "/")))
-    compared = stored(diff.compare(readable, scope), "diff")
+    # unchanged rows are counted as they pass and go no further
+    action = F.col("action")
+    watched, seen = changeset.counted(
+        diff.compare(readable, scope), f"diff-{uuid.uuid4().hex}",
+        listed=~action.isin("absent", "gone"), same=action == "same", restored=action == "restored",
+    )
+    compared = stored(watched.where(~action.isin("same", "gone")), "diff")
     rows, rejects = media_changes(compared, new_folders, unlisted, rule, now)
     changed = stored(rows, "media-changes")
     new_media, buckets = catalog.change("media", changed, lambda old: replace_rows(old, changed, "absolute_path"))
@@ -133,14 +139,12 @@ def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: st
         {"folders": folder_rows, "media": new_media}, {"folders": folder_buckets, "media": buckets}
     )
     # these read small written tables
-    actions = {r.action: r["count"] for r in compared.groupBy("action").count().collect()}
     tally = changed.agg(F.count_if("is_present").alias("there"), F.count_if(~F.col("is_present")).alias("gone")).first()
     failed = rejects.unionByName(listing.where(F.col("error").isNotNull()).select("path", "error")).count()
-    restored, missing = actions.get("restored", 0), tally.gone
-    processed = tally.there - restored
-    listed = sum(n for a, n in actions.items() if a not in ("absent", "gone"))
+    counts = seen.get
     return spark.createDataFrame(
-        [(root, listed, processed, failed, restored, missing, actions.get("same", 0), version)], METRICS
+        [(root, counts["listed"], tally.there - counts["restored"], failed, counts["restored"], tally.gone, counts["same"], version)],
+        METRICS,
     )
 
 

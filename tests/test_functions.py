@@ -150,3 +150,31 @@ def test_cache_locations(spark):
     assert set(temp) == {("/t" + key,)}
     off = values(spark, rows, schema, thumbs.write_path(*given, 256, "/g", disable_cache=True))
     assert set(off) == {(None,)}
+
+
+def test_pruning_shortcuts_equal_the_definition(spark):
+    """Against the plain rule: every prefix below the root must be admitted."""
+    import itertools
+
+    names = ["a", "ab", "b", "photos", "private"]
+    listed = ["/lib"] + ["/lib/" + "/".join(c) for n in (1, 2, 3) for c in itertools.product(names, repeat=n)]
+    df = spark.createDataFrame([(p,) for p in listed], "p string")
+
+    def hit(path, patterns, below):
+        return any((path == q or below and path.startswith(q + "/")) if q.startswith("/") else q in path for q in patterns)
+
+    def wanted(path, exclude, include, mode):
+        steps = path.split("/")
+        tested = ["/".join(steps[:i]) for i in range(3, len(steps) + 1)]
+        return all(not hit(t, exclude, False) and (not include or hit(t, include, mode == "subtree")) for t in tested)
+
+    excludes = [[], ["private"], ["/lib/a"], ["/lib/a/b", "hot"], ["/lib"], ["/"], ["lib"], [""]]
+    includes = [[], ["photos"], ["/lib/a"], ["/lib/a", "b"], ["/lib/ab", "/lib/ab/a", "photos"]]
+    for exclude, include, mode in itertools.product(excludes, includes, ("strict", "subtree")):
+        as_list = paths.survives_pruning("p", F.lit("/lib"), exclude, include, mode)
+        columns = [F.array(*[F.lit(x) for x in items]).cast("array<string>") for items in (exclude, include)]
+        as_column = paths.survives_pruning("p", F.lit("/lib"), *columns, mode)
+        expected = [wanted(p, exclude, include, mode) for p in listed]
+        got = df.select(as_list.alias("a"), as_column.alias("b")).collect()
+        assert [r.a for r in got] == expected, (exclude, include, mode)
+        assert [r.b for r in got] == expected, (exclude, include, mode)

@@ -46,13 +46,13 @@ def test_many_rules_match_like_few(spark):
     rules = [{"rule_no": 1, "path": "/lib"}, {"rule_no": 2, "path": "/lib/a", "exclude": ["zzz"]}, {"rule_no": 3, "path": "/gone", "exclude": ["x.png"]},
              {"rule_no": 4, "path": "/lib/a"}]
     few = changes.resolve(paths, rules)
-    limit = changes.MAX_UNROLLED_RULES
+    limit = changes.MAX_LITERAL_RULES
     try:
-        changes.MAX_UNROLLED_RULES = 0
+        changes.MAX_LITERAL_RULES = 0
         many = changes.resolve(paths, rules)
         found = sorted(map(tuple, many.select("path", "rule_no", "root", "relative_path").collect()))
     finally:
-        changes.MAX_UNROLLED_RULES = limit
+        changes.MAX_LITERAL_RULES = limit
     assert found == sorted(map(tuple, few.select("path", "rule_no", "root", "relative_path").collect()))
     assert found == [("/lib/a/x.png", 4, "/lib/a", "x.png"), ("/lib/ab/x.png", 1, "/lib", "ab/x.png")]
 
