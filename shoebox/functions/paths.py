@@ -152,29 +152,17 @@ def within_depth(path, root, recursive) -> Column:
     return recursive | (parent_dir(path) == _col(root)) | (_col(path) == _col(root))
 
 
-def best_rule(path, rules: Iterable[dict]) -> Column:
-    """The longest import root above ``path`` as a struct ``(length, rule_no, root,
-    exclude, include)``; a tie goes to the later rule, no match gives null.
+def longest_rule(path, rules: Iterable[tuple[int, str]]) -> Column:
+    """``rule_no`` of the longest import root above ``path``; a tie goes to the
+    later rule, no match gives null.
 
-    The rules come from configuration, so they travel as one literal array: a
-    narrow projection, no join.  ``operators.changes.match_rules`` takes over
-    when there are too many for that.
+    For a handful of configured rules and many paths: one narrow projection in
+    generated code, no join.  ``operators.changes.match_rules`` is the form for
+    rules held in a table.
     """
     path = _col(path)
-    table = F.array(*[
-        F.struct(
-            F.lit(len(r["path"])).alias("length"), F.lit(r["rule_no"]).alias("rule_no"), F.lit(r["path"]).alias("root"),
-            _strings(r.get("exclude", [])).alias("exclude"), _strings(r.get("include", [])).alias("include"),
-        )
-        for r in rules
-    ])
-    return F.array_max(F.filter(table, lambda r: (r["root"] == "") | is_under(path, r["root"])))
-
-
-def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
-
-
-def longest_rule(path, rules: Iterable[tuple[int, str]]) -> Column:
-    """``rule_no`` of the longest import root above ``path``."""
-    return best_rule(path, [{"rule_no": n, "path": root} for n, root in rules])["rule_no"]
+    choice = F.lit(None).cast("int")
+    for rule_no, root in sorted(rules, key=lambda r: (len(r[1]), r[0])):
+        hit = F.lit(True) if root == "" else is_under(path, F.lit(root))
+        choice = F.when(hit, F.lit(rule_no)).otherwise(choice)
+    return choice

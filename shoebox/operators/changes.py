@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import paths
 
-# Above this many import roots the rules are matched by a join on path prefixes
-# instead of travelling in the plan.
-MAX_LITERAL_RULES = 200
-
 
 def classify(events: DataFrame, heif: bool = False) -> DataFrame:
     """Keep events that matter, with ``kind`` upsert or remove.
@@ -39,9 +35,10 @@ def collapse(changes: DataFrame, order: str = "remove_wins") -> DataFrame:
 def debounce(changes: DataFrame, gap: str = "500 milliseconds", watermark: str | None = None) -> DataFrame:
     """Event-time debounce: events of a path closer together than ``gap`` form one
     change, remove winning.  With a watermark it runs as a stream."""
-    timed = changes.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = changes
     if watermark:
-        timed = timed.withWatermark("ts", watermark)
+        # watermarks want an instant; keep the session zone at UTC
+        timed = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     window = F.session_window("ts", gap)
     removed = F.bool_or(F.col("kind") == "remove")
     return timed.groupBy("path", window.alias("w")).agg(
@@ -50,41 +47,39 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds", watermark: str |
 
 
 def match_rules(changes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Attach ``rule_no`` of the longest import root above each path (unique
-    paths), the later rule on ties; null when none matches.
+    """Attach the columns of the longest import rule above each path (unique
+    paths), its ``path`` renamed ``root``; the later rule on ties, nulls when none
+    matches.
 
     Every path asks for its own prefixes in an equi-join, so many rules cost no
-    pairwise comparison.
+    pairwise comparison, and the best answer is an aggregate on the path, by
+    which collapsed changes are partitioned already.
     """
-    best = rules.groupBy(F.col("path").alias("_prefix")).agg(F.max("rule_no").alias("rule_no"))
+    carried = [c for c in rules.columns if c != "path"]
+    rule = F.struct(F.col("path").alias("root"), *carried)
+    best = rules.groupBy(F.col("path").alias("_prefix")).agg(F.max_by(rule, "rule_no").alias("_rule"))
     prefixes = F.concat(F.array(F.lit(""), F.lit("/")), paths.ancestor_paths("path"))
-    asked = changes.select("path", F.explode(prefixes).alias("_prefix"))
-    hits = asked.join(best, "_prefix")
-    longest = hits.groupBy("path").agg(F.max_by("rule_no", F.length("_prefix")).alias("rule_no"))
-    return changes.join(longest, "path", "left")
+    asked = changes.select("*", F.explode(prefixes).alias("_prefix")).join(best, "_prefix", "left")
+    others = [c for c in changes.columns if c != "path"]
+    depth = F.when(F.col("_rule").isNotNull(), F.length("_prefix"))
+    found = asked.groupBy("path").agg(
+        F.max_by("_rule", depth).alias("_rule"), *[F.any_value(c).alias(c) for c in others]
+    )
+    return found.select(*changes.columns, "_rule.root", *[f"_rule.{c}" for c in carried])
 
 
 def resolve(changes: DataFrame, rules: list[dict], mode: str = "strict", apply_rules: bool = True) -> DataFrame:
-    """Attach ``root`` and ``relative_path`` (relative to the import root); drop
-    paths under no import.  ``rules`` holds dicts with ``rule_no, path, exclude,
-    include``."""
-    if len(rules) > MAX_LITERAL_RULES:
-        table = changes.sparkSession.createDataFrame(
-            [(r["rule_no"], r["path"], list(r.get("exclude", [])), list(r.get("include", []))) for r in rules],
-            "rule_no int, path string, exclude array<string>, include array<string>",
-        )
-        matched = match_rules(changes, table).where(F.col("rule_no").isNotNull())
-        details = table.withColumnRenamed("path", "root")
-        placed = matched.join(details, "rule_no")
-    else:
-        matched = changes.withColumn("_rule", paths.best_rule("path", rules)).where(F.col("_rule").isNotNull())
-        placed = matched.select(*changes.columns, "_rule.rule_no", "_rule.root", "_rule.exclude", "_rule.include")
+    """Attach ``root``, ``rule_no`` and ``relative_path`` (relative to the import
+    root); drop paths under no import and those the import's lists reject.
+    ``rules`` holds dicts with ``rule_no, path, exclude, include``."""
+    table = changes.sparkSession.createDataFrame(
+        [(r["rule_no"], r["path"], list(r.get("exclude", [])), list(r.get("include", []))) for r in rules],
+        "rule_no int, path string, exclude array<string>, include array<string>",
+    )
+    placed = match_rules(changes, table).where(F.col("root").isNotNull())
     if apply_rules:
-        placed = placed.where(
-            paths.survives_pruning("path", F.col("root"), F.col("exclude"), F.col("include"), mode)
-        )
-    placed = placed.drop("exclude", "include")
-    return placed.withColumn("relative_path", paths.relative_to("path", F.col("root")))
+        placed = placed.where(paths.survives_pruning("path", F.col("root"), F.col("exclude"), F.col("include"), mode))
+    return placed.drop("exclude", "include").withColumn("relative_path", paths.relative_to("path", F.col("root")))
 
 
 def affected_folders(resolved: DataFrame) -> DataFrame:

@@ -395,7 +395,7 @@ def e8(fx):
 def e8_many(fx):
     """Every folder is an import root: matched by prefix, not pair by pair."""
     rules = fx.tree_keys().select(F.col("id").cast("int").alias("rule_no"), "path")
-    return changes.match_rules(fx.listing().select("path"), rules)
+    return changes.match_rules(fx.listing().select("path"), rules).select("path", "rule_no")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoebox.functions import json_cols, paths, text
+from shoebox.functions import json_cols, paths, text, times
 from shoebox.operators import annotate, hierarchy
 from shoebox.operators.skew import with_position
 from shoebox.plans.registry import query
@@ -248,7 +248,7 @@ def j9(fx):
 
 @query("J10_whole_seconds", "SELECT event_id, date_trunc('second', CAST(ts AS TIMESTAMP)) AS mtime FROM events")
 def j10(fx):
-    return fx.table("events").select("event_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("mtime"))
+    return fx.table("events").select("event_id", times.whole_seconds(F.col("ts")).alias("mtime"))
 
 
 @query(

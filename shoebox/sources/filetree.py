@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.functions import paths
+from shoebox.functions import paths, times
 from shoebox.session import checkpoint_root
 
 # executors get the helpers below by value, so the package need not be installed there
@@ -139,7 +139,7 @@ def list_tree(
     listing = (
         files.repartition(_tasks(spark, n_files, FILES_PER_TASK), "path")
         .mapInPandas(stat_files, STAT_SCHEMA)
-        .withColumn("mtime", F.timestamp_seconds("mtime_s").cast("timestamp_ntz"))
+        .withColumn("mtime", times.from_epoch(F.col("mtime_s")))
         .select("path", "is_dir", "size", "mtime", "error")
     )
     stored = f"{work}/files"

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.functions import paths
+from shoebox.functions import paths, times
 from shoebox.operators import changes, diff, fingerprint, hierarchy
 from shoebox.plans.ingest import stored
 from shoebox.schemas import CHANGE_EVENTS, MEDIA
@@ -49,7 +49,7 @@ def print_files(upserts: DataFrame) -> DataFrame:
     """Stat and fingerprint files by path; unreadable ones come back with ``error``."""
     found = upserts.select("path").mapInPandas(filetree.stat_files, filetree.STAT_SCHEMA)
     kept = stored(
-        found.select("path", "size", F.timestamp_seconds("mtime_s").cast("timestamp_ntz").alias("mtime"), "error"), "stats"
+        found.select("path", "size", times.from_epoch(F.col("mtime_s")).alias("mtime"), "error"), "stats"
     )
     printed = fingerprint.fingerprint_files(kept.where(F.col("error").isNull()).drop("error"))
     return printed.unionByName(kept.where(F.col("error").isNotNull()), allowMissingColumns=True)

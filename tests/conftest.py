@@ -13,12 +13,12 @@ from shoebox.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[4]",
+        "tests", "local[8]",
         {
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
-            # a small limit, so that the recursion guard is reached quickly
-            "spark.sql.cteRecursionLevelLimit": "200",
+            # tiny inputs: interpreting is quicker than compiling every plan
+            "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -178,3 +178,18 @@ def test_pruning_shortcuts_equal_the_definition(spark):
         got = df.select(as_list.alias("a"), as_column.alias("b")).collect()
         assert [r.a for r in got] == expected, (exclude, include, mode)
         assert [r.b for r in got] == expected, (exclude, include, mode)
+
+
+def test_times_ignore_the_session_zone(spark):
+    from shoebox.functions import times
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        # 02:30 on this day does not exist in that zone
+        got = spark.createDataFrame([(1710037800, "2024-03-10 02:30:00.75")], "s bigint, t string").select(
+            times.from_epoch(F.col("s")).cast("string").alias("a"),
+            times.whole_seconds(F.col("t").cast("timestamp_ntz")).cast("string").alias("b")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert tuple(got) == ("2024-03-10 02:30:00", "2024-03-10 02:30:00")

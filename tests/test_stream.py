@@ -41,20 +41,14 @@ def test_collapse(spark):
     assert kinds(changes.collapse(batch, "latest")) == {"/a.png": "upsert", "/b.png": "upsert"}
 
 
-def test_many_rules_match_like_few(spark):
-    paths = spark.createDataFrame([("/lib/a/x.png",), ("/lib/ab/x.png",), ("/library/x.png",), ("/gone/x.png",)], "path string").withColumn("kind", F.lit("upsert"))
+def test_rules_resolve(spark):
+    listed = spark.createDataFrame([("/lib/a/x.png",), ("/lib/ab/x.png",), ("/library/x.png",), ("/gone/x.png",)], "path string").withColumn("kind", F.lit("upsert"))
     rules = [{"rule_no": 1, "path": "/lib"}, {"rule_no": 2, "path": "/lib/a", "exclude": ["zzz"]}, {"rule_no": 3, "path": "/gone", "exclude": ["x.png"]},
              {"rule_no": 4, "path": "/lib/a"}]
-    few = changes.resolve(paths, rules)
-    limit = changes.MAX_LITERAL_RULES
-    try:
-        changes.MAX_LITERAL_RULES = 0
-        many = changes.resolve(paths, rules)
-        found = sorted(map(tuple, many.select("path", "rule_no", "root", "relative_path").collect()))
-    finally:
-        changes.MAX_LITERAL_RULES = limit
-    assert found == sorted(map(tuple, few.select("path", "rule_no", "root", "relative_path").collect()))
-    assert found == [("/lib/a/x.png", 4, "/lib/a", "x.png"), ("/lib/ab/x.png", 1, "/lib", "ab/x.png")]
+    found = changes.resolve(listed, rules).select("path", "kind", "rule_no", "root", "relative_path")
+    assert sorted(map(tuple, found.collect())) == [("/lib/a/x.png", "upsert", 4, "/lib/a", "x.png"), ("/lib/ab/x.png", "upsert", 1, "/lib", "ab/x.png")]
+    loose = changes.resolve(listed, [*rules, {"rule_no": 5, "path": ""}, {"rule_no": 6, "path": "/"}], apply_rules=False)
+    assert {r.path: r.rule_no for r in loose.collect()} == {"/lib/a/x.png": 4, "/lib/ab/x.png": 1, "/library/x.png": 6, "/gone/x.png": 3}
 
 
 @pytest.fixture
