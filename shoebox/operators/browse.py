@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import json_cols, paths
 from shoebox.operators.hierarchy import subtree
+from shoebox.operators.skew import semi_join_checked
 from shoebox.schemas import FOLDER_COLUMNS, MEDIA_FILE_COLUMNS, SUMMARY_COLUMNS
 
 SORT_KEYS = ("filename", "size", "date_created", "date_modified", "score")
@@ -35,11 +36,10 @@ def in_folder(media: DataFrame, folder_id: int) -> DataFrame:
 
 def in_subtree(media: DataFrame, tree: DataFrame, folder_id: int) -> DataFrame:
     """Media of a folder and all below; ``tree`` is the folder table or a closure.
-    A semi-join with media on the left: when the subtree is small the scan is
-    filtered in place, otherwise the join's left side may be split where a folder
-    is hot."""
+    The folders are counted: up to a limit the scan is filtered in place, beyond
+    it a salted join keeps a hot folder from filling one task."""
     scope = subtree(tree, folder_id).select(F.col("id").alias("folder_id"))
-    return media.join(scope, "folder_id", "left_semi").select(*media.columns)
+    return semi_join_checked(media, scope, "folder_id", ["id"]).select(*media.columns)
 
 
 def in_path_scope(media: DataFrame, folders: DataFrame, folder_id: int) -> DataFrame:
@@ -50,7 +50,7 @@ def in_path_scope(media: DataFrame, folders: DataFrame, folder_id: int) -> DataF
     scope = folders.where(
         (F.col("id") == F.lit(folder_id).cast("bigint")) | F.startswith(F.col("path"), F.concat(root_path, F.lit("/")))
     ).select(F.col("id").alias("folder_id"))
-    return media.join(scope, "folder_id", "left_semi").select(*media.columns)
+    return semi_join_checked(media, scope, "folder_id", ["id"]).select(*media.columns)
 
 
 def scoped(media: DataFrame, tree: DataFrame, folder_id: int, recursive: bool) -> DataFrame:

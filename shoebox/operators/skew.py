@@ -19,6 +19,8 @@ from shoebox.session import checkpointed
 # which is the bound that makes the broadcast below safe.
 HOT_FRACTION = 1_000
 SALTS = 64
+# Ids that may be broadcast after counting them: some tens of megabytes.
+BROADCAST_IDS = 1_000_000
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -46,6 +48,18 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str, salt_on:
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
+def semi_join_checked(left: DataFrame, keys: DataFrame, key: str, salt_on: list[str]) -> DataFrame:
+    """Keep the left rows whose ``key`` is in ``keys``, a frame of unique ids.
+
+    The ids are counted first, and no further than the limit.  Up to the limit
+    they are broadcast, so the left table is filtered where it is read; beyond it
+    the salted join takes over.
+    """
+    if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return left.join(F.broadcast(keys), key, "left_semi")
+    return lookup_join(left, keys, key, "left_semi", salt_on)
+
+
 def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Number the rows 1..n in a total order without gathering them in one task.
 
