@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join even where a later step must then shuffle again
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # sessions of a busy path are merged before the shuffle, not only after it
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
