@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import phrases, simhash
+from shoebox.llm import mixing, phrases, simhash
 from shoebox.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,31 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
+
+
+@_query
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mixture takes of every document."""
+    taken = mixing.copies(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+
+
+ORACLES["op7_mix"] = r"""
+WITH doc AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS i FROM doc GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][i % 3 + 1] AS w, source_size * 2.0::DOUBLE AS most FROM src),
+ranked AS (SELECT *, row_number() OVER (ORDER BY most / w, i) AS k FROM weighed),
+rest AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS per FROM ranked),
+level AS (SELECT per FROM rest WHERE w * per <= most ORDER BY k LIMIT 1),
+share AS (SELECT source, source_size, least(w * per, most) AS target FROM weighed, level),
+rated AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0 ELSE target / source_size END AS rate,
+    CAST(('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+  FROM doc JOIN share ON doc.source IS NOT DISTINCT FROM share.source)
+SELECT doc_id, size, source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated
+"""
