@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import mixing, phrases, simhash
+from shoebox.llm import mixing, phrases, simhash, tokens
 from shoebox.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +85,9 @@ rated AS (
 SELECT doc_id, size, source_size, target,
   CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM rated
 """
+
+
+@_query
+def op3_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum in the token files, as read back from them."""
+    return tokens.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
