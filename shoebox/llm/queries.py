@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import mixing, phrases, simhash, tokens
-from shoebox.llm.common import table
+from shoebox.llm import langid, mixing, phrases, simhash, tokens
+from shoebox.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,12 @@ SELECT doc_id, size, source_size, target,
 def op3_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and checksum in the token files, as read back from them."""
     return tokens.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out("doc_id", 4, 2)))
+    found = langid.identify(docs, model, keep=["doc_id"])
+    return found.withColumn("held_out", held_out("doc_id", 4, 2)).select("doc_id", "held_out", "lang_pred", "score")

@@ -9,8 +9,10 @@ protocol makes the files whole or absent when an executor is lost.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from shoebox.llm.common import scratch
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
 # chunks a worker remembers; the memory is cleared when it is full
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 SHARDS = (
     "bucket int, shard int, first long, n_ids long, planes string, block int, doc_ids array<long>, "
@@ -82,11 +84,11 @@ def unpack(payload: bytes, ends: list[int], n: int, planes: str = "byte", block:
 # --- tokenising -------------------------------------------------------------
 
 class _Words:
-    """Ids of texts by a tokenizer that never joins over a blank or a line feed: pieces
-    between them are encoded once by the library and remembered.
+    """Ids of texts by the library's own normalizer, pre-tokenizer and model.
 
-    A separate special token stands between new pieces, so that one call encodes many.
-    Texts that themselves spell a special token go to the library whole.
+    A lower-casing tokenizer that marks word ends and drops white space never joins over
+    a blank, so pieces between blanks are encoded once and remembered.  Every other
+    tokenizer, and texts that spell a special token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -94,14 +96,20 @@ class _Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        self.special = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
-        ends = self.tokenizer.encode("a a", add_special_tokens=False).ids
-        apart = ends == self.tokenizer.encode("a", add_special_tokens=False).ids * 2
-        self.mark = next(((k, t.content) for k, t in added.items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None) if apart else None
+        self.special = re.compile("|".join(re.escape(t.content) for t in added.values()) or r"(?!)")
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.by_piece = bool(
+            spec["model"].get("end_of_word_suffix") and "Lowercase" in steps
+            and split.get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in split["pattern"]["Regex"]
+        )
+        self.normalize, self.cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.word = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.mark is None:
+        if not self.by_piece:
             return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         out: list = [None] * len(texts)
         pieces, places = [], []
@@ -113,23 +121,28 @@ class _Words:
                 places.append(i)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = set().union(*pieces).difference(self.known)
-        if new:
-            self._learn(list(new))
+        for new in set().union(*pieces).difference(self.known):
+            self.known[new] = self._piece(new)
         get = self.known.__getitem__
         for i, words in zip(places, pieces, strict=True):
             out[i] = np.frombuffer(b"".join(map(get, words)), "<u4")
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        number, mark = self.mark
-        for low in range(0, len(new), 4096):
-            some = new[low : low + 4096]
-            ids = np.array(self.tokenizer.encode(mark.join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == number)
-            starts, stops = np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist()
-            raw = ids.tobytes()
-            self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(some, starts, stops, strict=True))
+    def _piece(self, piece: str) -> bytes:
+        """A stop or comma right after a letter is always a word of its own."""
+        core = piece.rstrip(".,")
+        if core != piece and core and core[-1].isalpha():
+            return self._core(core) + self._core(piece[len(core) :])
+        return self._core(piece)
+
+    def _core(self, core: str) -> bytes:
+        plain = core.isascii()
+        core = core.lower() if plain else core
+        found = self.known.get(core)
+        if found is None:
+            words = [core] if plain and core.isalpha() else [word for word, _ in self.cut(self.normalize(core))]
+            found = self.known[core] = array("I", [t.id for word in words for t in self.word(word)]).tobytes()
+        return found
 
 
 _encoders: dict[str, _Words] = {}
