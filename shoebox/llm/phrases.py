@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import stored
+from shoebox.llm.common import fresh, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # a word after lower-casing A-Z, stated for text that is not lower-cased yet
@@ -133,6 +133,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     return _matches(plan, postings)
 
 
+def without_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 10) -> DataFrame:
+    """Rows of ``docs`` in which no window of an item occurs."""
+    hit = stored(phrase_matches(docs, items, doc_id, text, length).select("doc_id", "print").distinct(), "contaminated")
+    print_, id_ = fresh(docs.columns, "_print"), fresh(docs.columns, "_id")
+    hit = hit.select(F.col("doc_id").alias(id_), F.col("print").alias(print_))
+    here = F.xxhash64(docs[text], docs[doc_id].isNull())
+    return docs.join(hit, (here == hit[print_]) & docs[doc_id].eqNullSafe(hit[id_]), "left_anti")
+
+
 def proximity_matches(docs: DataFrame, items: DataFrame, share: float = 0.8, doc_id: str = "doc_id", text: str = "text", length: int = 10) -> DataFrame:
     """``(doc_id, print, pos, window, share)``: places where the window's rarest term stands
     among at least ``share`` of its distinct terms, in any order, within the words

@@ -363,9 +363,9 @@ def links(prints: DataFrame, reach: int = 2, leaf_size: int = 2_000, sample: int
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, reach: int = 2, extra: list[str] | None = None) -> DataFrame:
-    """One row per input row: ``doc_id``, ``extra`` columns, ``fingerprint`` and
-    ``component_id``, the smallest id whose document is reachable over links of at most
-    ``reach`` differing bits.
+    """One row per input row: ``doc_id``, ``extra`` columns, ``fingerprint``, ``component_id``,
+    the smallest id whose document is reachable over links of at most ``reach`` differing
+    bits, and ``root``, the smallest fingerprint so reachable.
 
     Null text is empty; texts without words share fingerprint zero and are linked.
     Repeated rows and repeated ids each give a row.  A null id is never smallest unless
@@ -378,9 +378,22 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     roots = components(forest, "simhash-components").withColumnRenamed("node", "fingerprint")
     named = least.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     best = named.groupBy("root").agg(F.min("_least").alias("component_id"))
-    names = named.join(best, "root").select("fingerprint", "component_id")
+    names = named.join(best, "root").select("fingerprint", "component_id", "root")
     return rows.join(names, "fingerprint")
 
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, reach: int = 2) -> DataFrame:
+    """``docs`` with one row of every group left: that of the smallest id, and of rows with
+    that id the one whose text hashes lowest.  A null id stays only if its group has no
+    other; of wholly repeated rows one stays."""
+    print_, id_ = fresh(docs.columns, "_print"), fresh(docs.columns, "_id")
+    keyed = docs.withColumn(id_, F.coalesce(F.col(doc_id).cast("string"), F.lit("-"))).withColumn(print_, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    found = groups(keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(id_).alias("id"), F.col(print_).alias("print")),
+                   shingle=shingle, reach=reach, extra=["id", "print"])
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print", "id")).alias("first")
+    stay = found.groupBy("root").agg(first).select(F.col("first.id").alias(id_), F.col("first.print").alias(print_)).distinct()
+    return keyed.join(stay, [id_, print_]).dropDuplicates([id_, print_]).select(*docs.columns)
+
+
 def fingerprint_hex(column: str = "fingerprint"):
     return F.lower(F.lpad(F.hex(column), 16, "0"))
