@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import langid, mixing, phrases, simhash, tokens
+from shoebox.llm import langid, mixing, phrases, simhash, tokens, toxicity
 from shoebox.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,13 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs.where(~held_out("doc_id", 4, 2)))
     found = langid.identify(docs, model, keep=["doc_id"])
     return found.withColumn("held_out", held_out("doc_id", 4, 2)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    known = table(spark, sf_dir, "labels").where(~held_out("doc_id", 5, 0))
+    found = toxicity.score(docs, toxicity.train(docs, known), keep=["doc_id"])
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", predicted.alias("predicted"))
