@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from shoebox.llm.common import fresh, id_text, stored
 from shoebox.operators.skew import with_position
 
-WORD = r"[^\x20\x09-\x0D]+"
+BETWEEN = r"[\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 
 
 def size_of(text: str = "text") -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), BETWEEN), "")).cast("long")
 
 
 def draw(doc_id: str, seed: int = 42) -> Column:
