@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import langid, mixing, phrases, simhash, tokens, toxicity
+from shoebox.llm import langid, mixing, phrases, simhash, subspace, tokens, toxicity
 from shoebox.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(docs, toxicity.train(docs, known), keep=["doc_id"])
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@_query
+def op4_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding."""
+    return subspace.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op4_subspace"] = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound AS a JOIN sound AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (
+  SELECT vec_id, vec_id AS r FROM embeddings
+  UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON reach.r = link.a),
+least AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN degree ON degree.a = vec_id
+"""
