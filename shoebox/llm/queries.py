@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import langid, mixing, phrases, simhash, subspace, tokens, toxicity
+from shoebox.llm import langid, mincut, mixing, phrases, simhash, subspace, tokens, toxicity
 from shoebox.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,9 @@ degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM least LEFT JOIN degree ON degree.a = vec_id
 """
+
+
+@_query
+def op5_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return mincut.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
