@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import langid, mincut, mixing, phrases, simhash, subspace, tokens, toxicity
+from shoebox.llm import langid, licenses, mincut, mixing, phrases, simhash, subspace, tokens, toxicity
 from shoebox.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,34 @@ FROM least LEFT JOIN degree ON degree.a = vec_id
 def op5_mincut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return mincut.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+@_query
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, as a whole text and by notices."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    """The same reduction in SQL, for the documents and the known texts alike."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    words = f"regexp_replace(lower(regexp_replace(text, {quote('(?im)' + licenses.COPYRIGHT_LINE)}, '', 'g')), {quote(licenses.NOT_WORDS)}, ' ', 'g')"
+    for other, usual in licenses.SPELLINGS:
+        words = f"replace({words}, {quote(other)}, {quote(usual)})"
+    values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in licenses.KNOWN)
+    whole = r"trim(regexp_replace(lines, '[ \n]+', ' ', 'g'))"
+    return f"""
+WITH known AS (
+  SELECT sha256({whole}) AS digest, min(license_id) AS license_id, max(notice) AS notice
+  FROM (SELECT license_id, {words} AS lines, NOT contains(text, chr(10)) AS notice FROM (VALUES {values}) AS t(license_id, text)) GROUP BY 1),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {words} AS lines FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+line AS (SELECT r, sha256(trim(unnest(string_split(lines, chr(10))))) AS digest FROM doc),
+said AS (
+  SELECT r, string_agg(license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT DISTINCT r, license_id FROM line JOIN known USING (digest) WHERE notice) GROUP BY r)
+SELECT doc_id, sha256({whole}) AS digest, license_id, coalesce(notices, '') AS notices
+FROM doc LEFT JOIN known ON known.digest = sha256({whole}) LEFT JOIN said USING (r)
+"""
+
+
+ORACLES["op10_licenses"] = _license_sql()
