@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import langid, licenses, mincut, mixing, phrases, simhash, subspace, tokens, toxicity
+from shoebox.llm import langid, licenses, mincut, mixing, phrases, quotes, simhash, subspace, tokens, toxicity
 from shoebox.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,9 @@ FROM doc LEFT JOIN known ON known.digest = sha256({whole}) LEFT JOIN said USING
 
 
 ORACLES["op10_licenses"] = _license_sql()
+
+
+@_query
+def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, in reply order."""
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
