@@ -104,8 +104,9 @@ class _Words:
             spec["model"].get("end_of_word_suffix") and "Lowercase" in steps
             and split.get("behavior") == "Removed" and r"[^\s\p{L}\p{N}]+" in split["pattern"]["Regex"]
         )
-        self.normalize, self.cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
-        self.word = self.tokenizer.model.tokenize
+        if self.by_piece:
+            self.normalize, self.cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.word = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -129,9 +130,9 @@ class _Words:
         return out
 
     def _piece(self, piece: str) -> bytes:
-        """A stop or comma right after a letter is always a word of its own."""
+        """A stop or comma right after what is a letter once normalised is always a word of its own."""
         core = piece.rstrip(".,")
-        if core != piece and core and core[-1].isalpha():
+        if core != piece and core and (core[-1] if core[-1].isascii() else self.normalize(core)[-1:]).isalpha():
             return self._core(core) + self._core(piece[len(core) :])
         return self._core(piece)
 
