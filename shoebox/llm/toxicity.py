@@ -159,7 +159,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-    toxic_docs: int = 6_000, clean_docs: int = 12_000, least_odds: float = 1.5, doubt: float = 3.0,
+    toxic_docs: int = 6_000, clean_docs: int = 12_000, least_odds: float = 1.8, doubt: float = 2.5,
 ) -> Model:
     """Learn word beginnings and their weights from labelled rows.
 
