@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -44,6 +45,12 @@ def normalize(path) -> Column:
     return F.regexp_replace(collapsed, r"(.)/\.?$", "$1")
 
 
+def clean(path: str) -> str:
+    """What ``normalize`` does, for a path that came from the driver."""
+    collapsed = re.sub(r"/(?:\.?/)+", "/", path)
+    return re.sub(r"(.)/\.?$", r"\1", collapsed)
+
+
 def is_under(path, root) -> Column:
     """Component-wise prefix test: the root itself or anything below it."""
     path, root = _col(path), _col(root)
@@ -162,7 +169,7 @@ def longest_rule(path, rules: Iterable[tuple[int, str]]) -> Column:
     """
     path = _col(path)
     choice = F.lit(None).cast("int")
-    for rule_no, root in sorted(rules, key=lambda r: (len(r[1]), r[0])):
+    for rule_no, root in sorted(((n, clean(r)) for n, r in rules), key=lambda r: (len(r[1]), r[0])):
         hit = F.lit(True) if root == "" else is_under(path, F.lit(root))
         choice = F.when(hit, F.lit(rule_no)).otherwise(choice)
     return choice

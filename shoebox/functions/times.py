@@ -14,4 +14,5 @@ def from_epoch(seconds: Column) -> Column:
 
 
 def whole_seconds(ts: Column) -> Column:
-    return F.substr(ts.cast("timestamp_ntz").cast("string"), F.lit(1), F.lit(19)).cast("timestamp_ntz")
+    naive = ts.cast("timestamp_ntz")
+    return naive - F.make_dt_interval(secs=F.extract(F.lit("SECOND"), naive) % 1)

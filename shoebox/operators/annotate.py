@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions import json_cols
-from shoebox.operators.changeset import delete_where, missing_from, update_where
+from shoebox.operators.changeset import delete_where, merged, update_where
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -23,11 +23,8 @@ def upsert_values(values: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Set ``value_json`` per (media, config); a replaced value keeps its id and
     creation time."""
     key = ["media_file_id", "searchable_config_id"]
-    kept = update_where(values, new.select(*key, "value_json"), key, value_json=F.col("new_value_json"), updated_at=now)
-    fresh = missing_from(values, new, key).select(
-        F.xxhash64(*key).alias("id"), *key, "value_json", now.alias("created_at"), now.alias("updated_at")
-    )
-    return kept.unionByName(fresh)
+    set_now = {"value_json": F.col("new_value_json"), "updated_at": now}
+    return merged(values, new.select(*key, "value_json"), key, set_now, {"id": F.xxhash64(*key), "created_at": now})
 
 
 def delete_values_of_media(values: DataFrame, media_ids: DataFrame) -> DataFrame:
@@ -52,12 +49,13 @@ def new_items(
     """Work items to add: one per present media row and requested (kind, params)
     pair, except where the same item is pending already.  Items in any other
     state do not block.  The pairs are a literal list, so targets are fanned out
-    in place."""
-    wanted = F.array(*[F.struct(F.lit(kind).alias("job_kind"), F.lit(params).alias("params_json")) for kind, params in requests])
+    in place; media ids are unique, so distinct pairs give distinct items."""
+    pairs = list(dict.fromkeys(requests))
+    wanted = F.array(*[F.struct(F.lit(kind).alias("job_kind"), F.lit(params).alias("params_json")) for kind, params in pairs])
     targets = media.where("is_present").select(F.col("id").alias("media_file_id"), F.inline(wanted))
     key = ["media_file_id", "job_kind", "params_json"]
     pending = items.where(F.col("status") == "pending").select(*key)
-    fresh = targets.distinct().join(pending, key, "left_anti")
+    fresh = targets.join(pending, key, "left_anti")
     return fresh.select(
         F.xxhash64(*key, now.cast("string")).alias("id"), "media_file_id",
         F.lit(config_id).cast("bigint").alias("searchable_config_id"), "job_kind", "params_json",
@@ -122,27 +120,25 @@ def run_models(
     """Call the model on the media of claimed items, in Arrow batches.
 
     ``model`` gets a frame with the item and media columns and returns one JSON
-    text per row.  A batch that raises is tried row by row, so one bad row fails
-    alone.  Result: ``(id, media_file_id, searchable_config_id, value_json, error)``.
+    text per row.  A batch that raises is halved, so one bad row fails alone.  Result: ``(id, media_file_id, searchable_config_id, value_json, error)``.
     """
 
+    def attempt(pdf):
+        """Values and errors; a batch that raises is halved until the bad rows stand alone."""
+        try:
+            return list(model(pdf)), [None] * len(pdf)
+        except Exception as problem:
+            if len(pdf) == 1:
+                return [None], [str(problem)]
+            half = len(pdf) // 2
+            first, second = attempt(pdf.iloc[:half]), attempt(pdf.iloc[half:])
+            return first[0] + second[0], first[1] + second[1]
+
     def work(batches):
         for pdf in batches:
             out = pdf[["id", "media_file_id", "searchable_config_id"]].reset_index(drop=True)
-            values, errors = [], []
-            try:
-                values, errors = list(model(pdf)), [None] * len(pdf)
-            except Exception:
-                values, errors = [], []
-                for i in range(len(pdf)):
-                    try:
-                        values.append(list(model(pdf.iloc[i : i + 1]))[0])
-                        errors.append(None)
-                    except Exception as problem:
-                        values.append(None)
-                        errors.append(str(problem))
             out["searchable_config_id"] = out["searchable_config_id"].astype("Int64")
-            out["value_json"], out["error"] = values, errors
+            out["value_json"], out["error"] = attempt(pdf) if len(pdf) else ([], [])
             yield out
 
     known = claimed.where(F.col("job_kind").isin(*MODEL_KINDS))

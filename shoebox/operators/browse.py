@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import json_cols, paths
 from shoebox.operators.hierarchy import subtree
-from shoebox.operators.skew import semi_join_checked
 from shoebox.schemas import FOLDER_COLUMNS, MEDIA_FILE_COLUMNS, SUMMARY_COLUMNS
 
 SORT_KEYS = ("filename", "size", "date_created", "date_modified", "score")
@@ -36,10 +35,10 @@ def in_folder(media: DataFrame, folder_id: int) -> DataFrame:
 
 def in_subtree(media: DataFrame, tree: DataFrame, folder_id: int) -> DataFrame:
     """Media of a folder and all below; ``tree`` is the folder table or a closure.
-    The folders are counted: up to a limit the scan is filtered in place, beyond
-    it a salted join keeps a hot folder from filling one task."""
+    Media stand on the left of a semi-join: adaptive execution broadcasts a scope that
+    proves small, and else splits the media of a hot folder."""
     scope = subtree(tree, folder_id).select(F.col("id").alias("folder_id"))
-    return semi_join_checked(media, scope, "folder_id", ["id"]).select(*media.columns)
+    return media.join(scope, "folder_id", "left_semi").select(*media.columns)
 
 
 def in_path_scope(media: DataFrame, folders: DataFrame, folder_id: int) -> DataFrame:
@@ -50,7 +49,7 @@ def in_path_scope(media: DataFrame, folders: DataFrame, folder_id: int) -> DataF
     scope = folders.where(
         (F.col("id") == F.lit(folder_id).cast("bigint")) | F.startswith(F.col("path"), F.concat(root_path, F.lit("/")))
     ).select(F.col("id").alias("folder_id"))
-    return semi_join_checked(media, scope, "folder_id", ["id"]).select(*media.columns)
+    return media.join(scope, "folder_id", "left_semi").select(*media.columns)
 
 
 def scoped(media: DataFrame, tree: DataFrame, folder_id: int, recursive: bool) -> DataFrame:
@@ -171,11 +170,15 @@ def sort_media(rows: DataFrame, key: str, descending: bool = False) -> DataFrame
     return rows.orderBy(*browse_order(key, descending))
 
 
-def page_of_folder(media: DataFrame, folder_id: int, after_id: int, size: int) -> DataFrame:
-    """The next ``size`` rows after an id: a filter and a top-k, no full sort."""
-    return media_files(in_folder(media, folder_id).where(F.col("id") > after_id)).orderBy("id").limit(size)
+def _after(media: DataFrame, after_id: int | None) -> DataFrame:
+    return media if after_id is None else media.where(F.col("id") > after_id)
 
 
-def page_of_subtree(media: DataFrame, tree: DataFrame, folder_id: int, after_id: int, size: int) -> DataFrame:
-    later = media.where(F.col("id") > after_id)
-    return media_files(in_subtree(later, tree, folder_id)).orderBy("id").limit(size)
+def page_of_folder(media: DataFrame, folder_id: int, after_id: int | None, size: int) -> DataFrame:
+    """The next ``size`` rows after an id: a filter and a top-k, no full sort.  Ids are
+    signed, so a first page has no bound: ``after_id`` is None."""
+    return media_files(in_folder(_after(media, after_id), folder_id)).orderBy("id").limit(size)
+
+
+def page_of_subtree(media: DataFrame, tree: DataFrame, folder_id: int, after_id: int | None, size: int) -> DataFrame:
+    return media_files(in_subtree(_after(media, after_id), tree, folder_id)).orderBy("id").limit(size)

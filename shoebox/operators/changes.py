@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.functions import paths
+from shoebox.operators.skew import lookup_join
 
 
 def classify(events: DataFrame, heif: bool = False) -> DataFrame:
@@ -46,20 +47,24 @@ def debounce(changes: DataFrame, gap: str = "500 milliseconds", watermark: str |
     ).select("path", "kind", "n_events", F.col("w.start").cast("timestamp_ntz").alias("first_ts"))
 
 
-def match_rules(changes: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(changes: DataFrame, rules: DataFrame, given: bool = False) -> DataFrame:
     """Attach the columns of the longest import rule above each path (unique
-    paths), its ``path`` renamed ``root``; the later rule on ties, nulls when none
-    matches.
+    paths), its normalised ``path`` renamed ``root``; the later rule on ties, nulls when
+    none matches.
 
     Every path asks for its own prefixes in an equi-join, so many rules cost no
     pairwise comparison, and the best answer is an aggregate on the path, by
-    which collapsed changes are partitioned already.
+    which collapsed changes are partitioned already.  An import root is a prefix of
+    every path below it, so the join spreads hot prefixes; rules ``given`` by the driver
+    as a list are few and are broadcast instead.
     """
     carried = [c for c in rules.columns if c != "path"]
+    rules = rules.withColumn("path", paths.normalize("path"))
     rule = F.struct(F.col("path").alias("root"), *carried)
     best = rules.groupBy(F.col("path").alias("_prefix")).agg(F.max_by(rule, "rule_no").alias("_rule"))
     prefixes = F.concat(F.array(F.lit(""), F.lit("/")), paths.ancestor_paths("path"))
-    asked = changes.select("*", F.explode(prefixes).alias("_prefix")).join(best, "_prefix", "left")
+    wanted = changes.select("*", F.explode(prefixes).alias("_prefix"))
+    asked = wanted.join(F.broadcast(best), "_prefix", "left") if given else lookup_join(wanted, best, "_prefix", "left", ["path"])
     others = [c for c in changes.columns if c != "path"]
     depth = F.when(F.col("_rule").isNotNull(), F.length("_prefix"))
     found = asked.groupBy("path").agg(
@@ -76,7 +81,7 @@ def resolve(changes: DataFrame, rules: list[dict], mode: str = "strict", apply_r
         [(r["rule_no"], r["path"], list(r.get("exclude", [])), list(r.get("include", []))) for r in rules],
         "rule_no int, path string, exclude array<string>, include array<string>",
     )
-    placed = match_rules(changes, table).where(F.col("root").isNotNull())
+    placed = match_rules(changes, table, given=True).where(F.col("root").isNotNull())
     if apply_rules:
         placed = placed.where(paths.survives_pruning("path", F.col("root"), F.col("exclude"), F.col("include"), mode))
     return placed.drop("exclude", "include").withColumn("relative_path", paths.relative_to("path", F.col("root")))

@@ -37,28 +37,42 @@ def missing_from(table: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame
     return rows.join(held, key, "left_anti")
 
 
+def checked_media(rows: DataFrame) -> DataFrame:
+    """The rows themselves; writing one without a folder fails the job."""
+    lost = F.raise_error(F.concat(F.lit("media row without a folder: "), F.col("absolute_path"))).cast("bigint")
+    return rows.withColumn("folder_id", F.when(F.col("folder_id").isNull(), lost).otherwise(F.col("folder_id"))).select(*rows.columns)
+
+
+def check_new_ids(rows: DataFrame, table: DataFrame, key: str = "absolute_path") -> None:
+    """New ids are 64-bit hashes.  Fail if a changed row has the id of another row, new
+    or old; the table is read for ids only, and two rows at most reach the driver."""
+    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).where("n > 1").select("id", "a", "b")
+    held = table.select("id", F.col(key).alias("b")).join(rows.select("id", F.col(key).alias("a")), "id").where("a <> b").select("id", "a", "b")
+    clash = twice.unionByName(held).limit(1).collect()
+    if clash:
+        raise ValueError(f"id {clash[0].id} belongs to {clash[0].a} and {clash[0].b}")
+
+
 def upsert_media(media: DataFrame, changes: DataFrame, now: Column, key: list[str] | None = None) -> DataFrame:
     """Insert or replace by key.  A replaced row keeps its id and creation time;
     either way the row is present afterwards.  New ids are hashes of the path."""
     key = key or MEDIA_KEY
     replaced = [c for c in [*MEDIA_KEY, *UPDATED_BY_SCAN] if c not in key]
-    values = {c: F.col(f"new_{c}") for c in replaced}
-    values |= {"is_present": F.lit(True), "missing_since": F.lit(None).cast("timestamp_ntz")}
-    kept = update_where(media, changes.select(*key, *replaced), key, **values)
-    fresh = missing_from(media, changes, key)
-    inserted = fresh.select(
-        *[_inserted(c, now).alias(c) for c in media.columns]
+    values = {c: F.col(f"new_{c}") for c in replaced} | {"is_present": F.lit(True), "missing_since": F.lit(None).cast("timestamp_ntz")}
+    return merged(media, changes.select(*key, *replaced), key, values, {"id": F.xxhash64("absolute_path"), "created_at": now})
+
+
+def merged(table: DataFrame, changes: DataFrame, key: list[str], values: dict[str, Column], first: dict[str, Column]) -> DataFrame:
+    """Insert or replace by key in one full outer join.  A row in ``changes`` sets
+    ``values`` (its other columns are visible as ``new_...``); a row new to the table also
+    gets ``first``, expressions over the columns as set."""
+    extra = [c for c in changes.columns if c not in key]
+    side = changes.select(*key, *[F.col(c).alias(f"new_{c}") for c in extra], F.lit(True).alias("_hit"))
+    joined = table.withColumn("_held", F.lit(True)).join(side, key, "full_outer")
+    put = joined.select(
+        *[F.when(F.col("_hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns], "_held"
     )
-    return kept.unionByName(inserted)
-
-
-def _inserted(column: str, now: Column) -> Column:
-    return {
-        "id": F.xxhash64("absolute_path"),
-        "created_at": now,
-        "is_present": F.lit(True),
-        "missing_since": F.lit(None).cast("timestamp_ntz"),
-    }.get(column, F.col(column))
+    return put.select(*[F.when(F.col("_held").isNull(), first[c]).otherwise(F.col(c)).alias(c) if c in first else F.col(c) for c in table.columns])
 
 
 def mark_missing(media: DataFrame, listed: DataFrame, scope: Column, now: Column) -> DataFrame:

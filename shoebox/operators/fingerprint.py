@@ -23,7 +23,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # One task hashes about this much, or this many files, whichever comes first.
 BYTES_PER_TASK = 2 << 30
 FILES_PER_TASK = 20_000
-MAX_TASKS = 100_000
 
 
 def format_of(path) -> Column:
@@ -117,7 +116,7 @@ def fingerprint_tasks(files: DataFrame) -> int:
     """Tasks for the given ``(path, size)`` rows: enough that none holds too many
     bytes or files.  One aggregate over a table that is already written."""
     load = files.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    return int(min(MAX_TASKS, max(1, -(-(load.bytes or 0) // BYTES_PER_TASK), -(-load.n // FILES_PER_TASK))))
+    return int(max(1, -(-(load.bytes or 0) // BYTES_PER_TASK), -(-load.n // FILES_PER_TASK)))
 
 
 def fingerprint_files(files: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -73,9 +73,14 @@ def active_scorers(registry: Registry, enabled: Iterable[str], requested: Iterab
     return [scorer for scorer in registry if scorer.name in wanted]
 
 
-def enabled_names(configs: DataFrame) -> list[str]:
-    """Names of enabled scorers: as many as there are scorers installed."""
-    return [row.name for row in configs.where("enabled").select("name").collect()]
+def active_configs(configs: DataFrame, requested: DataFrame) -> DataFrame:
+    """Enabled configurations among the ``requested(name)``."""
+    return configs.where("enabled").join(requested.select("name"), "name", "left_semi").select(*configs.columns)
+
+
+def enabled_names(configs: DataFrame, registry: Registry) -> list[str]:
+    """Names of enabled scorers that are installed: no more than there are installed."""
+    return [row.name for row in configs.where("enabled").where(F.col("name").isin(registry.names())).select("name").collect()]
 
 
 def contributions(media: DataFrame, scorers: list, query: str) -> DataFrame:
@@ -126,7 +131,7 @@ def search_in_catalog(
     query: str, requested: Iterable[str],
 ) -> DataFrame:
     """Search with the scorers that are requested, enabled and registered."""
-    scorers = active_scorers(registry, enabled_names(configs), requested)
+    scorers = active_scorers(registry, enabled_names(configs, registry), requested)
     return search(media, tree, folder_id, recursive, query, scorers)
 
 

@@ -14,61 +14,49 @@ from pyspark.sql import functions as F
 
 from shoebox.session import checkpointed
 
-# A key is hot when it owns more than 1/HOT_FRACTION of the rows.  By
-# pigeonhole there are fewer than HOT_FRACTION hot keys whatever the data size,
-# which is the bound that makes the broadcast below safe.
-HOT_FRACTION = 1_000
-SALTS = 64
-# Ids that may be broadcast after counting them: some tens of megabytes.
-BROADCAST_IDS = 1_000_000
+# Fewer than HOT_KEYS keys can own more than 1/HOT_KEYS of the rows, whatever the data
+# size, so looking at that many is enough and bounds what is broadcast.
+HOT_KEYS = 1_000
+# rows one sub-key of a hot key should get
+ROWS_PER_SALT = 1_000_000
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys owning more than 1/HOT_FRACTION of the rows: fewer than HOT_FRACTION
-    of them.  Counts are combined map-side, so the shuffle carries one row per
-    key and map task."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg((F.sum("_n") / HOT_FRACTION).alias("_n")).scalar()
-    return counts.where(F.col("_n") > total).where(F.col(key).isNotNull()).select(key)
+    """``(key, _salts)``: the most frequent keys, each with as many sub-keys as its own
+    rows call for; keys that fit one are not listed.  Counts are combined map-side, so the
+    shuffle carries one row per key and map task, and the choice is a top-k."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    salts = F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int")
+    top = counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS)
+    return top.where(F.col("_n") > ROWS_PER_SALT).select(key, salts.alias("_salts"))
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str, salt_on: list[str]) -> DataFrame:
     """Join many rows to a table whose ``key`` is unique, spreading hot keys.
 
-    Left rows of a hot key are spread over SALTS sub-keys by a hash of their own
-    columns ``salt_on`` (stable, so a recomputed task lands rows in the same
-    place), and only the lookup rows of hot keys are repeated.  ``how`` is one
-    of inner, left, left_semi, left_anti.
+    Left rows of a hot key are spread over its sub-keys by a hash of their own columns
+    ``salt_on`` (stable, so a recomputed task lands rows in the same place), and only the
+    lookup rows of hot keys are repeated.  ``how`` is one of inner, left, left_semi,
+    left_anti.
     """
-    hot = F.broadcast(hot_keys(left, key).withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(*salt_on), F.lit(SALTS)).cast("int")
-    spread = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    hot = F.broadcast(hot_keys(left, key))
+    salt = F.pmod(F.xxhash64(*salt_on), F.col("_salts")).cast("int")
+    spread = left.join(hot, key, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return spread.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
-def semi_join_checked(left: DataFrame, keys: DataFrame, key: str, salt_on: list[str]) -> DataFrame:
-    """Keep the left rows whose ``key`` is in ``keys``, a frame of unique ids.
-
-    The ids are counted first, and no further than the limit.  Up to the limit
-    they are broadcast, so the left table is filtered where it is read; beyond it
-    the salted join takes over.
-    """
-    if keys.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        return left.join(F.broadcast(keys), key, "left_semi")
-    return lookup_join(left, keys, key, "left_semi", salt_on)
-
-
-def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Number the rows 1..n in a total order without gathering them in one task.
+def with_position(df: DataFrame, order: list[Column] | None = None, name: str = "position") -> DataFrame:
+    """Number the rows 1..n in a total order without gathering them in one task; without
+    ``order``, in the order a sorted ``df`` has already.
 
     Range-partition and sort, pin the result with a checkpoint (so both uses see
     the same cut points), count rows per partition, and add the number of rows in
     earlier partitions to each row's place in its own.  Only one row per
     partition reaches the driver.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     # monotonically_increasing_id holds the partition in the upper bits and the
     # row's place inside the partition in the lower 33
     pinned = checkpointed(ranged.withColumn("_mid", F.monotonically_increasing_id()))

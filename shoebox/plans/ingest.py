@@ -19,6 +19,7 @@ from shoebox.schemas import FOLDERS, MEDIA
 from shoebox.session import checkpoint_root
 from shoebox.sources import filetree
 from shoebox.sources.catalog import Catalog, replace_rows
+from shoebox.sources.imports import with_clean_root
 
 METRICS = "root string, listed bigint, processed bigint, rejected bigint, restored bigint, missing bigint, unchanged bigint, version bigint"
 
@@ -106,6 +107,7 @@ def media_changes(compared: DataFrame, folders: DataFrame, unlisted: DataFrame,
 
 def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: str = "strict", heif: bool = False) -> DataFrame:
     """Scan one import into the catalogue; a one-row frame of counts."""
+    rule = with_clean_root(rule)
     root = rule["path"]
     folders, media = catalog.read("folders"), catalog.read("media")
     # folders finished by an earlier, interrupted scan are not entered again
@@ -131,7 +133,8 @@ def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: st
     )
     compared = stored(watched.where(~action.isin("same", "gone")), "diff")
     rows, rejects = media_changes(compared, new_folders, unlisted, rule, now)
-    changed = stored(rows, "media-changes")
+    changed = stored(changeset.checked_media(rows), "media-changes")
+    changeset.check_new_ids(changed, media)
     new_media, buckets = catalog.change("media", changed, lambda old: replace_rows(old, changed, "absolute_path"))
     grown = stored(changed_folders(folders, new_folders), "folder-changes")
     folder_rows, folder_buckets = catalog.change("folders", grown, lambda old: replace_rows(old, grown, "path"))
@@ -149,17 +152,21 @@ def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: st
 
 
 def rescan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: str = "strict", heif: bool = False) -> DataFrame:
-    """Forget which folders are complete, then scan everything."""
-    folders = catalog.read("folders")
+    """Forget which folders are complete, then scan everything; the counts say how many
+    folders were ``reset``."""
+    rule = with_clean_root(rule)
+    folders, reset = catalog.read("folders"), 0
     here = folders.where(F.col("path") == rule["path"]).select("id").first()
     if here is not None:
-        below = hierarchy.subtree(folders, here.id)
+        below = stored(hierarchy.subtree(folders, here.id), "reset")
+        reset = folders.where("scan_complete").join(below, "id", "left_semi").count()
         catalog.commit({"folders": stored(hierarchy.set_scan_state(folders, below, False), "folders")})
-    return scan_import(spark, catalog, rule, now, mode, heif)
+    return scan_import(spark, catalog, rule, now, mode, heif).withColumn("reset", F.lit(reset).cast("bigint"))
 
 
 def scan_all(spark: SparkSession, catalog: Catalog, rules: list[dict], now, **options) -> DataFrame:
     """Scan, in order, the imports that are new or incomplete."""
+    rules = [with_clean_root(r) for r in rules]
     done = {r.path for r in catalog.read("folders").where("scan_complete").join(
         spark.createDataFrame([(r["path"],) for r in rules], "path string"), "path", "left_semi").select("path").collect()}
     reports = [scan_import(spark, catalog, rule, now, **options) for rule in rules if rule["path"] not in done]
@@ -170,10 +177,13 @@ def scan_all(spark: SparkSession, catalog: Catalog, rules: list[dict], now, **op
 
 
 def purge(catalog: Catalog) -> int:
-    """Drop missing media for good, with their values and work items."""
-    media = browse.present(catalog.read("media"))
-    return catalog.commit({
+    """Drop missing media for good, with their values and work items; how many went."""
+    held = catalog.read("media")
+    media = browse.present(held)
+    gone = held.count() - media.count()
+    catalog.commit({
         "media": media,
         "values": changeset.cascade_media(catalog.read("values"), media),
         "work_items": changeset.cascade_media(catalog.read("work_items"), media),
     })
+    return gone

@@ -81,7 +81,7 @@ def _customer_imports(fx):
 @query(
     "A8_reachable_imports",
     """
-    , dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM fx_listing WHERE size > 100000),
+    , dirs AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM fx_listing),
     rules AS (SELECT CAST(id AS INTEGER) AS rule_no, CASE WHEN segment = 'FURNITURE' THEN '' ELSE path END AS path
               FROM fx_tree WHERE segment IS NOT NULL)
     SELECT rule_no, r.path, CASE WHEN r.path = '' THEN 'no path configured' WHEN d.path IS NULL THEN 'not reachable' END AS reason
@@ -89,7 +89,7 @@ def _customer_imports(fx):
     """,
 )
 def a8(fx):
-    dirs = fx.listing().where(F.col("size") > 100000).select(paths.parent_dir("path").alias("path"))
+    dirs = fx.listing().select(paths.parent_dir("path").alias("path"))
     good, bad = imports.reachable(_customer_imports(fx), dirs)
     return good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
 
@@ -190,12 +190,18 @@ steps AS (
     "C5_directory_pruning",
     _PREFIXES
     + f"""
-    SELECT path, size FROM fx_listing WHERE path NOT IN (
+    SELECT 'exclude' AS lists, path, size FROM fx_listing WHERE path NOT IN (
       SELECT path FROM steps WHERE length(prefix) > length('/lib') AND {_sql_match('prefix', EXCLUDE)})
+    UNION ALL SELECT 'both', path, size FROM fx_listing WHERE path NOT IN (
+      SELECT path FROM steps WHERE length(prefix) > length('/lib') AND ({_sql_match('prefix', EXCLUDE)} OR NOT {_sql_match('prefix', INCLUDE)}))
     """,
 )
 def c5(fx):
-    return fx.listing().where(paths.survives_pruning("path", F.lit("/lib"), EXCLUDE, [])).select("path", "size")
+    parts = [
+        fx.listing().where(paths.survives_pruning("path", F.lit("/lib"), EXCLUDE, include)).select(F.lit(name).alias("lists"), "path", "size")
+        for name, include in (("exclude", []), ("both", INCLUDE))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query(
@@ -250,10 +256,10 @@ def c10(fx):
 
 @query(
     "C11_folder_by_path",
-    "SELECT id, parent_id, path FROM fx_tree WHERE path IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM fx_listing WHERE size > 100000)",
+    "SELECT id, parent_id, path FROM fx_tree WHERE path IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM fx_listing)",
 )
 def c11(fx):
-    wanted = fx.listing().where(F.col("size") > 100000).select(paths.parent_dir("path").alias("path"))
+    wanted = fx.listing().select(paths.parent_dir("path").alias("path"))
     return browse.folders_by_paths(fx.tree_keys(), wanted)
 
 
@@ -373,13 +379,13 @@ RULES = [
 @query(
     "E8_longest_import",
     """
-    , rules(rule_no, root) AS (VALUES (1, '/lib'), (2, '/lib/ASIA'), (3, ''), (4, '/gone'))
+    , rules(rule_no, root) AS (VALUES (1, '/lib'), (2, '/lib/ASIA'), (3, ''), (4, '/gone'), (5, '/lib/EUROPE'))
     SELECT path, CAST(arg_max(rule_no, (length(root), rule_no)) AS INTEGER) AS rule_no
     FROM fx_listing JOIN rules ON root = '' OR path = root OR starts_with(path, concat(root, '/')) GROUP BY path
     """,
 )
 def e8(fx):
-    number = paths.longest_rule("path", [(r["rule_no"], r["path"]) for r in RULES])
+    number = paths.longest_rule("path", [*[(r["rule_no"], r["path"]) for r in RULES], (5, "/lib/EUROPE//")])
     return fx.listing().select("path", number.alias("rule_no"))
 
 
@@ -541,7 +547,7 @@ def _register_sort(key: str, descending: bool):
 
     @query(f"G1_sort_{key}_{'desc' if descending else 'asc'}", sql)
     def g1(fx):
-        ordered = with_position(_scored(fx), browse.browse_order(key, descending))
+        ordered = with_position(browse.sort_media(_scored(fx), key, descending))
         return ordered.select("id", F.col("search_score").cast("double").alias("search_score"), "file_size", "position")
 
 

@@ -195,12 +195,12 @@ def i10(fx):
     "I11_delete_values",
     """
     SELECT 'media' AS part, id FROM fx_values WHERE media_file_id NOT IN (SELECT id FROM fx_media WHERE NOT is_present)
-    UNION ALL SELECT 'config', id FROM fx_values WHERE searchable_config_id NOT IN (SELECT l_linenumber FROM lineitem WHERE l_quantity > 1000)
+    UNION ALL SELECT 'config', id FROM fx_values WHERE searchable_config_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
     """,
 )
 def i11(fx):
     gone = fx.media().where(~F.col("is_present")).select("id")
-    configs = fx.table("lineitem").where("l_quantity > 1000").select(F.col("l_linenumber").cast("bigint").alias("id"))
+    configs = fx.table("nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("bigint").alias("id"))
     by_media = annotate.delete_values_of_media(fx.values(), gone).select(F.lit("media").alias("part"), "id")
     by_config = annotate.delete_values_of_configs(fx.values(), configs).select(F.lit("config").alias("part"), "id")
     return by_media.unionByName(by_config)
@@ -419,11 +419,12 @@ def l5(fx):
     """Events read as a stream and committed batch by batch to a fresh catalogue."""
     spark, now = fx.spark, timestamp(NOW)
     work = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
-    fx.events().coalesce(1).write.parquet(f"{work}/events")
+    # several files and batches; the events of a path stay together
+    fx.events().repartition(6, "path").write.parquet(f"{work}/events")
     catalog = _fresh_catalog(fx)
     catalog.commit({"folders": fx.folders(), "media": fx.media()})
     rules = [{"rule_no": 1, "path": "/lib"}]
-    feed = stream.read_events(spark, f"{work}/events")
+    feed = stream.read_events(spark, f"{work}/events", per_batch=3)
     running = stream.run(feed, catalog, rules, now, f"{work}/progress", trigger={"availableNow": True}, printer=_printer)
     running.awaitTermination()
     return catalog.read("media").drop("created_at")

@@ -112,14 +112,12 @@ def m2(fx):
 
 @query(
     "E6_active_scorers",
-    "SELECT name, row_number() OVER (ORDER BY name) AS position FROM fx_configs WHERE enabled AND name IN (SELECT concat('scorer-', source) FROM documents WHERE lang = 'en')",
+    "SELECT name, row_number() OVER (ORDER BY name) AS position FROM fx_configs WHERE enabled AND name IN (SELECT concat('scorer-', source) FROM documents)",
 )
 def e6(fx):
-    """Which registered scorers would run, by name."""
-    wanted = [f"scorer-{r.source}" for r in fx.table("documents").where("lang = 'en'").select("source").distinct().collect()]
-    registry = search.Registry(search.RowScorer(name, "text", text.filename_score) for name in sorted(wanted))
-    active = search.active_scorers(registry, search.enabled_names(fx.configs()), wanted)
-    return fx.spark.createDataFrame([(s.name, n) for n, s in enumerate(active, start=1)], "name string, position bigint")
+    """Which requested scorers are enabled, by name."""
+    wanted = fx.table("documents").select(F.concat(F.lit("scorer-"), "source").alias("name"))
+    return with_position(search.active_configs(fx.configs(), wanted).select("name"), [F.col("name")])
 
 
 # thumbnails ---------------------------------------------------------------

@@ -1,16 +1,18 @@
 """Catalogue tables as bucketed parquet snapshots with a commit log.
 
-A commit writes the buckets it touches to a new version folder and then adds one
-small record to the log; a bucket's current files are those of its latest
-committed version.  Readers never see half a commit, a change of a few rows
-rewrites a few buckets, and a replayed stream batch is recognised.  The log is
-cut into epochs whose first commit states every bucket, so opening a catalogue
-reads one epoch however long its history.  One writer per catalogue; an open
-``Catalog`` is a fixed snapshot until it commits or is refreshed.
+A commit writes the buckets it touches to a folder of its own that nothing else ever
+writes to, and then publishes one small record that names it; a bucket's current files
+are those its latest record names.  Readers never see half a commit, a commit that
+fails leaves what was committed as it was, and a replayed stream batch is recognised.
+The log is cut into epochs whose first commit states every bucket, so opening a
+catalogue reads one epoch however long its history.  One writer at a time; an open
+``Catalog`` is a fixed snapshot until it commits or is refreshed, and a commit from a
+snapshot that is no longer the latest is refused.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -23,17 +25,25 @@ from shoebox.schemas import TABLES
 # Buckets go by a unique column, so their sizes stay even whatever folder,
 # media row or import dominates.
 BUCKET_KEY = {"folders": "path", "media": "absolute_path", "configs": "name", "values": "id", "work_items": "id"}
-# One row per bucket a commit touches (version of its files, whether it has any),
+# One row per bucket a commit touches (folder of its files, whether it has any),
 # or per stream (table null) with the last batch applied.
-LOG_SCHEMA = "version bigint, table string, bucket int, files_version bigint, has_rows boolean, buckets int, stream string, batch bigint"
+LOG_SCHEMA = "version bigint, table string, bucket int, folder string, has_rows boolean, buckets int, stream string, batch bigint"
 COMMITS_PER_EPOCH = 200
 
 
+# Fixed value: the one scorer every catalogue starts with.
+FILENAME_CONFIG = (1, "filename", "text", True, "{}", None)
+
+
+class StaleCatalog(RuntimeError):
+    """The catalogue has moved on since this handle read it."""
+
+
 @dataclass
 class State:
     version: int = 0
     buckets: int = 0
-    files: dict = field(default_factory=dict)  # (table, bucket) -> (version, has_rows)
+    files: dict = field(default_factory=dict)  # (table, bucket) -> (folder, has_rows)
     streams: dict = field(default_factory=dict)  # stream -> last batch
 
 
@@ -44,19 +54,22 @@ class Catalog:
         self.buckets = self.state.buckets or buckets
 
     def _json(self, path: str, schema: str) -> DataFrame:
+        """Log files; none is an empty log, any other trouble is raised."""
         try:
             return self.spark.read.schema(schema).json(path)
-        except AnalysisException:
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
     def refresh(self) -> None:
         """Read the latest committed state: at most one row per bucket and stream."""
         state = State()
-        # an epoch is announced just before its first commit, so the last one may be empty
-        epochs = self._json(f"{self.root}/epochs", "epoch bigint").distinct().orderBy(F.desc("epoch")).limit(2).collect()
+        epochs = [r.epoch for r in self._json(f"{self.root}/epochs", "epoch bigint").distinct().orderBy(F.desc("epoch")).collect()]
+        # an epoch is announced just before its first commit, so the last ones may be empty
         for epoch in epochs:
-            log = self._json(f"{self.root}/commits/epoch={epoch.epoch}/*", LOG_SCHEMA)
-            last = F.max_by(F.struct("version", "files_version", "has_rows", "buckets", "batch"), "version").alias("at")
+            log = self._json(f"{self.root}/commits/epoch={epoch}/*", LOG_SCHEMA)
+            last = F.max_by(F.struct("version", "folder", "has_rows", "buckets", "batch"), "version").alias("at")
             rows = log.groupBy("table", "bucket", "stream").agg(last).collect()
             for row in rows:
                 at = row["at"]
@@ -64,9 +77,11 @@ class Catalog:
                 if row.stream is not None:
                     state.streams[row.stream] = at.batch
                 elif row.table is not None:
-                    state.files[row.table, row.bucket] = (at.files_version, at.has_rows)
+                    state.files[row.table, row.bucket] = (at.folder, at.has_rows)
             if rows:
                 break
+        if epochs and epochs != [0] and not state.version:
+            raise RuntimeError(f"the commit log of {self.root} announces epochs {epochs} but holds no commit")
         self.state = state
 
     def version(self) -> int:
@@ -81,11 +96,13 @@ class Catalog:
     def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
         """Current rows, or those of some buckets only."""
         wanted = range(self.buckets) if buckets is None else buckets
-        held = {b: self.state.files.get((table, b), (0, False)) for b in wanted}
-        files = [f"{self.root}/data/{table}/v={v}/bucket={b}" for b, (v, has_rows) in sorted(held.items()) if has_rows]
+        held = {b: self.state.files.get((table, b), ("", False)) for b in wanted}
+        files = [f"{self.root}/data/{table}/{folder}/bucket={b}" for b, (folder, has_rows) in sorted(held.items()) if has_rows]
         schema = TABLES[table]
         if not files:
-            return self.spark.createDataFrame([], schema)
+            # a catalogue that never wrote configurations has the file-name scorer
+            fresh = table == "configs" and not any(t == "configs" for t, _ in self.state.files)
+            return self.spark.createDataFrame([FILENAME_CONFIG] if fresh else [], schema)
         return self.spark.read.schema(schema).parquet(*files)
 
     def touched(self, table: str, changes: DataFrame) -> list[int]:
@@ -97,41 +114,53 @@ class Catalog:
         stream: str | None = None, batch: int | None = None,
     ) -> int:
         """Publish new contents: whole tables, or only the ``touched`` buckets of
-        them.  A stream names itself and the batch it has just applied."""
+        them.  A stream names itself and the batch it has just applied.  Nothing is
+        overwritten: a commit from a stale handle fails and changes nothing."""
         version = self.state.version + 1
-        files = {}
+        epoch, first = divmod(version - 1, COMMITS_PER_EPOCH)
+        record = f"{self.root}/commits/epoch={epoch}/v={version}"
+        if not self._json(record, LOG_SCHEMA).isEmpty():
+            raise StaleCatalog(f"version {version} of {self.root} has been committed by another handle")
+        folder, files = f"v={version}-{uuid.uuid4().hex}", {}
         for table, rows in tables.items():
             scope = (touched or {}).get(table)
             if scope == []:
                 continue
-            path = f"{self.root}/data/{table}/v={version}"
+            path = f"{self.root}/data/{table}/{folder}"
             keyed = rows.select(*TABLES[table].names).withColumn("bucket", self.bucket_of(table))
             (
                 keyed.repartition("bucket")
                 .sortWithinPartitions("bucket", BUCKET_KEY[table])
-                .write.mode("overwrite").partitionBy("bucket").parquet(path)
+                .write.mode("error").partitionBy("bucket").parquet(path)
             )
             filled = self._filled(path)
-            files |= {(table, b): (version, b in filled) for b in (range(self.buckets) if scope is None else scope)}
+            files |= {(table, b): (folder, b in filled) for b in (range(self.buckets) if scope is None else scope)}
         after = State(version, self.buckets, {**self.state.files, **files}, dict(self.state.streams))
         if stream is not None:
             after.streams[stream] = batch
-        epoch, first = divmod(version - 1, COMMITS_PER_EPOCH)
         if first == 0:
             self.spark.createDataFrame([(epoch,)], "epoch bigint").coalesce(1).write.mode("append").json(f"{self.root}/epochs")
         stated = after.files if first == 0 else files
-        records = [(version, t, b, v, has_rows, self.buckets, None, None) for (t, b), (v, has_rows) in stated.items()]
+        records = [(version, t, b, at, has_rows, self.buckets, None, None) for (t, b), (at, has_rows) in stated.items()]
         records += [(version, None, None, None, None, self.buckets, s, n) for s, n in after.streams.items()]
         records = records or [(version, None, None, None, None, self.buckets, None, None)]
         log = self.spark.createDataFrame(records, LOG_SCHEMA).coalesce(1)
-        log.write.mode("error").json(f"{self.root}/commits/epoch={epoch}/v={version}")
+        try:
+            log.write.mode("error").json(record)
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            raise StaleCatalog(f"version {version} of {self.root} has been committed by another handle") from problem
         self.state = after
         return version
 
     def _filled(self, path: str) -> set[int]:
         try:
             written = self.spark.read.schema("bucket int").parquet(path)
-        except AnalysisException:
+        except AnalysisException as problem:
+            # an empty table writes no bucket folder
+            if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return set()
         return {r.bucket for r in written.select("bucket").distinct().collect()}
 

@@ -23,10 +23,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCAN_SCHEMA = "path string, is_dir boolean, descend boolean, status string, error string"
 STAT_SCHEMA = "path string, is_dir boolean, size bigint, mtime_s bigint, error string"
 BATCH = 20_000
-# Enough work per task to pay for it, and no more tasks than a cluster can use.
+# Enough work per task to pay for it.
 DIRS_PER_TASK = 64
 FILES_PER_TASK = 2_000
-MAX_TASKS = 20_000
 
 
 def _text(path) -> str:
@@ -82,7 +81,7 @@ def stat_files(batches):
 
 
 def _tasks(spark: SparkSession, n: int, per_task: int) -> int:
-    return max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // per_task)), MAX_TASKS))
+    return max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-n // per_task))))
 
 
 def list_tree(

@@ -156,7 +156,7 @@ class Fixtures:
         doc = F.col("doc_id")
         stamp = timestamp("2024-01-01 00:00:00")
         return self.table("labels").select(
-            (doc + 1).alias("id"), (doc + 1).alias("media_file_id"), F.lit(1).cast("bigint").alias("searchable_config_id"),
+            (doc + 1).alias("id"), (doc + 1).alias("media_file_id"), (doc % 5 + 1).alias("searchable_config_id"),
             F.concat(F.lit('{"label":'), F.col("quality").cast("string"), F.lit("}")).alias("value_json"),
             stamp.alias("created_at"), stamp.alias("updated_at"),
         )
@@ -241,7 +241,7 @@ fx_work_items AS (
   FROM orders
 ),
 fx_values AS (
-  SELECT l.doc_id + 1 AS id, l.doc_id + 1 AS media_file_id, CAST(1 AS BIGINT) AS searchable_config_id,
+  SELECT l.doc_id + 1 AS id, l.doc_id + 1 AS media_file_id, l.doc_id % 5 + 1 AS searchable_config_id,
          concat('{"label":', CAST(l.quality AS VARCHAR), '}') AS value_json,
          TIMESTAMP '2024-01-01 00:00:00' AS created_at, TIMESTAMP '2024-01-01 00:00:00' AS updated_at
   FROM labels l

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoebox.functions import paths
 from shoebox.schemas import IMPORT_RULES
 
 
+def with_clean_root(rule: dict) -> dict:
+    """The rule with its root as paths are compared: ``/x/`` and ``/x//`` are ``/x``."""
+    return {**rule, "path": paths.clean(rule["path"])}
+
+
 def import_rules(spark: SparkSession, entries: list[dict]) -> DataFrame:
     """Configured imports with defaults filled in.  ``blacklist`` is an older name
     of ``exclude``."""
@@ -15,7 +21,7 @@ def import_rules(spark: SparkSession, entries: list[dict]) -> DataFrame:
     for number, entry in enumerate(entries, start=1):
         thumbs = entry.get("thumbnails", {})
         rows.append((
-            number, entry.get("path", ""), entry.get("recursive", True), entry.get("flatten", False),
+            number, paths.clean(entry.get("path", "")), entry.get("recursive", True), entry.get("flatten", False),
             entry.get("exclude", entry.get("blacklist", [])), entry.get("include", []),
             thumbs.get("cache_mode", "global"), thumbs.get("cache_folder", ""), thumbs.get("cache_fallback", "disable"),
         ))

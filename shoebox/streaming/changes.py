@@ -8,16 +8,18 @@ committed under its batch number, so a replayed batch changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions import paths, times
-from shoebox.operators import changes, diff, fingerprint, hierarchy
+from shoebox.operators import changes, changeset, diff, fingerprint, hierarchy
 from shoebox.plans.ingest import stored
-from shoebox.schemas import CHANGE_EVENTS, MEDIA
+from shoebox.schemas import CHANGE_EVENTS, MEDIA, timestamp
 from shoebox.sources import filetree
 from shoebox.sources.catalog import Catalog, replace_rows
+from shoebox.sources.imports import with_clean_root
 
 
 def read_events(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
@@ -39,7 +41,7 @@ def read_watched(spark: SparkSession, imports: list[dict], feeds: dict[str, str]
         except Exception as problem:
             problems.append((rule["path"], str(problem)))
             continue
-        root = F.lit(rule["path"])
+        root = F.lit(with_clean_root(rule)["path"])
         mine = events.where(paths.is_under("path", root) & paths.within_depth("path", root, rule.get("recursive", True)))
         streams = mine if streams is None else streams.unionByName(mine)
     return streams, problems
@@ -47,7 +49,9 @@ def read_watched(spark: SparkSession, imports: list[dict], feeds: dict[str, str]
 
 def print_files(upserts: DataFrame) -> DataFrame:
     """Stat and fingerprint files by path; unreadable ones come back with ``error``."""
-    found = upserts.select("path").mapInPandas(filetree.stat_files, filetree.STAT_SCHEMA)
+    # spread by path, as a burst often comes from one directory
+    spread = upserts.select("path").repartition("path")
+    found = spread.mapInPandas(filetree.stat_files, filetree.STAT_SCHEMA)
     kept = stored(
         found.select("path", "size", times.from_epoch(F.col("mtime_s")).alias("mtime"), "error"), "stats"
     )
@@ -64,9 +68,11 @@ def apply_batch(
     Upserts replace or add media rows, removes mark rows missing.  A file that
     cannot be read is counted and left alone.
     """
-    if catalog.has_batch(stream, batch):
-        return {"upserted": 0, "missing": 0, "failed": 0, "folders": [], "replayed": True}
     spark = events.sparkSession
+    if catalog.has_batch(stream, batch):
+        none = spark.createDataFrame([], "folder_id bigint")
+        return {"upserted": 0, "missing": 0, "failed": 0, "folders": none, "replayed": True}
+    rules = [with_clean_root(r) for r in rules]
     collapsed = changes.collapse(changes.classify(events, heif), order)
     resolved = stored(changes.resolve(collapsed, rules), "resolved")
 
@@ -117,7 +123,7 @@ def apply_batch(
     gone = held.where(F.col("kind") == "remove").select(
         *[{"is_present": F.lit(False), "missing_since": now}.get(c, F.col(c)).alias(c) for c in MEDIA.names]
     )
-    rows = stored(written.select(*MEDIA.names).unionByName(gone), "media-changes")
+    rows = stored(changeset.checked_media(written.select(*MEDIA.names).unionByName(gone)), "media-changes")
     buckets = catalog.touched("media", rows)
     folder_rows, folder_buckets = catalog.change("folders", fresh, lambda old: replace_rows(old, fresh, "path"))
     catalog.commit(
@@ -132,14 +138,20 @@ def apply_batch(
 
 
 def run(
-    events: DataFrame, catalog: Catalog, rules: list[dict], now, checkpoint: str, name: str = "changes",
+    events: DataFrame, catalog: Catalog, rules: list[dict], now: Column | Callable[[], Column] | None, checkpoint: str, name: str = "changes",
     trigger: dict | None = None, printer: Callable[[DataFrame], DataFrame] = print_files, order: str = "remove_wins",
 ):
     """Start the stream.  The trigger is the debounce: 500 ms of events make one
-    batch unless told otherwise."""
+    batch unless told otherwise.  Every batch is stamped with the time it is applied at;
+    ``now`` may give the time instead, once for all or, as a function, batch by batch.  A
+    batch that is replayed after its commit changes nothing, stamps included."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, catalog, rules, now, name, batch_id, printer, order)
+        if now is None:
+            stamp = timestamp(datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
+        else:
+            stamp = now() if callable(now) else now
+        apply_batch(batch, catalog, rules, stamp, name, batch_id, printer, order)
 
     writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
     return writer.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()

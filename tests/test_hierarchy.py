@@ -119,6 +119,7 @@ def test_browse_scopes_and_pages(make):
     assert [r.id for r in browse.page_of_folder(media, 2, 2, 1).collect()] == [3]
     assert [r.id for r in browse.page_of_folder(media, 2, 5, 10).collect()] == []
     assert [r.id for r in browse.page_of_subtree(media, tree, 1, 1, 3).collect()] == [2, 3, 5]
+    assert [r.id for r in browse.page_of_folder(media, 2, None, 2).collect()] == [2, 3]
     assert browse.count_in_subtree(media, tree, 1).first().n == 5
     assert browse.count_in_folder(media, 2).first().n == 3
     assert {r.folder_id: r.n for r in browse.counts_by_subtree(media, tree).collect()} == {1: 5, 2: 3, 3: 1}

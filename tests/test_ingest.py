@@ -9,7 +9,7 @@ from shoebox.operators import fingerprint
 from shoebox.plans import ingest
 from shoebox.schemas import timestamp
 from shoebox.sources import filetree, imports
-from shoebox.sources.catalog import Catalog, replace_rows
+from shoebox.sources.catalog import Catalog, StaleCatalog, replace_rows
 
 
 
@@ -255,3 +255,59 @@ def test_log_epochs(spark, make, tmp_path, monkeypatch):
     # an epoch announced by a commit that never finished is passed over
     spark.createDataFrame([(9,)], "epoch bigint").write.mode("append").json(str(tmp_path / "c" / "epochs"))
     assert Catalog(spark, str(tmp_path / "c")).state == catalog.state
+
+
+def test_a_stale_writer_destroys_nothing(spark, make, tmp_path):
+    root = str(tmp_path / "c")
+    first = Catalog(spark, root, buckets=4)
+    rows = make.media([{"id": i, "relative_path": f"{i}.png"} for i in range(30)])
+    first.commit({"media": rows})
+    winner, loser = Catalog(spark, root), Catalog(spark, root)
+    winner.commit({"media": rows.withColumn("file_size", F.lit(2).cast("bigint"))})
+    with pytest.raises(StaleCatalog):
+        loser.commit({"media": rows.limit(1)})
+    for handle in (winner, Catalog(spark, root)):
+        assert handle.version() == 2 and handle.read("media").where("file_size = 2").count() == 30
+    loser.refresh()
+    assert loser.commit({"media": rows.limit(1)}) == 3 and Catalog(spark, root).read("media").count() == 1
+
+
+def test_a_log_that_cannot_be_read_is_not_empty(spark, tmp_path):
+    root = str(tmp_path / "c")
+    spark.createDataFrame([(4,)], "epoch bigint").coalesce(1).write.json(f"{root}/epochs")
+    with pytest.raises(RuntimeError):
+        Catalog(spark, root)
+
+
+def test_roots_are_normalised(spark, tree, tmp_path, now):
+    """However the root is spelled, the tables are the same; pages return every row once."""
+    from shoebox.operators import browse, hierarchy, search
+
+    tables = []
+    for n, root in enumerate((tree, f"{tree}/", f"{tree}//")):
+        catalog = Catalog(spark, str(tmp_path / f"c{n}"), buckets=2)
+        ingest.scan_import(spark, catalog, {"path": root}, now)
+        tables.append([sorted(map(str, catalog.read(t).collect())) for t in ("media", "folders")])
+        assert not ingest.scan_all(spark, catalog, [{"path": root}], now).collect()
+    assert tables[0] == tables[1] == tables[2]
+    media, folders = catalog.read("media"), catalog.read("folders")
+    top = folders.where(F.col("path") == tree).first().id
+    seen, after = [], None
+    while page := browse.page_of_subtree(media, hierarchy.closure(folders), top, after, 3).collect():
+        seen += [r.id for r in page]
+        after = seen[-1]
+    assert sorted(seen) == sorted(r.id for r in media.collect()) and min(seen) < 0
+    # a catalogue that was never told about scorers finds files by name
+    scorers = search.Registry([search.FILENAME])
+    found = search.search_in_catalog(media, folders, catalog.read("configs"), scorers, top, True, "deep", ["filename"])
+    assert [r.relative_path for r in found.collect()] == ["a/b/c/deep.png"]
+
+
+def test_colliding_ids_fail(spark, make):
+    from shoebox.operators import changeset
+
+    old = make.media([{"id": 5, "relative_path": "a"}])
+    changeset.check_new_ids(make.media([{"id": 5, "relative_path": "a"}, {"id": 6, "relative_path": "b"}]), old)
+    for clash in ([{"id": 5, "relative_path": "b"}], [{"id": 6, "relative_path": "b"}, {"id": 6, "relative_path": "c"}]):
+        with pytest.raises(ValueError):
+            changeset.check_new_ids(make.media(clash), old)

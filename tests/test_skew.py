@@ -1,11 +1,24 @@
+import pytest
 from pyspark.sql import functions as F
 
-from shoebox.operators import skew
+from shoebox.operators import changes, skew
+
+
+@pytest.fixture(autouse=True)
+def small_salts(monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SALT", 400)
 
 
 def test_hot_keys_are_few_and_right(spark):
     rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
-    assert [r.k for r in skew.hot_keys(rows, "k").collect()] == [7]
+    assert [tuple(r) for r in skew.hot_keys(rows, "k").collect()] == [(7, 26)]
+
+
+def test_one_rule_owns_all_paths(spark):
+    paths = spark.range(2_000).select(F.concat(F.lit("/lib/"), F.col("id").cast("string"), F.lit(".png")).alias("path"))
+    rules = spark.createDataFrame([(1, "/lib//"), (2, "/lib/7.png"), (3, "/x/")], "rule_no int, path string")
+    got = {r.path: (r.root, r.rule_no) for r in changes.match_rules(paths, rules).collect()}
+    assert len(got) == 2_000 and got.pop("/lib/7.png") == ("/lib/7.png", 2) and set(got.values()) == {("/lib", 1)}
 
 
 def test_lookup_join_equals_plain_join(spark):
@@ -41,24 +54,15 @@ def test_positions(spark):
     assert sorted((r.v, r.position) for r in got.collect()) == [(4_999 - i, 1 + i) for i in reversed(range(5_000))]
     empty = skew.with_position(rows.where("id < 0"), [F.col("v")])
     assert empty.count() == 0
+    kept = skew.with_position(rows.orderBy(F.col("v").desc()))
+    assert sorted((r.v, r.position) for r in kept.collect()) == [(4_999 - i, 1 + i) for i in reversed(range(5_000))]
 
 
-def test_checked_semi_join_has_another_way(spark, monkeypatch):
-    left = spark.range(3_000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"))
-    keys = spark.range(100).select(F.col("id").alias("k"))
-    small = skew.semi_join_checked(left, keys, "k", ["id"])
-    monkeypatch.setattr(skew, "BROADCAST_IDS", 10)
-    large = skew.semi_join_checked(left, keys, "k", ["id"])
-    wanted = sorted(r.id for r in left.where("k < 100").collect())
-    assert sorted(r.id for r in small.collect()) == sorted(r.id for r in large.collect()) == wanted
-
-
-def test_hot_folder_scope(make, spark, monkeypatch):
-    """A folder with a third of the files, through the salted way."""
+def test_hot_folder_scope(make, spark):
+    """A folder with a third of the files."""
     from shoebox.operators import browse
 
     folders = make.folders([{"id": 1, "path": "/r"}] + [{"id": i, "parent_id": 1, "path": f"/r/f{i}"} for i in range(2, 50)] + [{"id": 99, "path": "/x"}])
     media = make.media([{"id": i, "folder_id": 2 if i % 3 == 0 else 99 if i % 3 == 1 else 2 + i % 48, "relative_path": f"{i}"} for i in range(600)])
     wanted = sorted(r.id for r in media.where("folder_id <> 99").collect())
-    monkeypatch.setattr(skew, "BROADCAST_IDS", 5)
     assert sorted(r.id for r in browse.in_subtree(media, folders, 1).collect()) == wanted
