@@ -2,8 +2,7 @@
 
 The listing and the catalogue meet once, in one full outer join on the unique
 absolute path.  Its result is written to the checkpoint folder; everything after
-works on the changed rows only, and the commit rewrites only the buckets those
-fall into.
+works on the changed rows only, and the commit writes just those.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from shoebox.operators import browse, changeset, diff, fingerprint, hierarchy
 from shoebox.schemas import FOLDERS, MEDIA
 from shoebox.session import checkpoint_root
 from shoebox.sources import filetree
-from shoebox.sources.catalog import Catalog, replace_rows
+from shoebox.sources.catalog import Catalog
 from shoebox.sources.imports import with_clean_root
 
 METRICS = "root string, listed bigint, processed bigint, rejected bigint, restored bigint, missing bigint, unchanged bigint, version bigint"
@@ -135,12 +134,8 @@ def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: st
     rows, rejects = media_changes(compared, new_folders, unlisted, rule, now)
     changed = stored(changeset.checked_media(rows), "media-changes")
     changeset.check_new_ids(changed, media)
-    new_media, buckets = catalog.change("media", changed, lambda old: replace_rows(old, changed, "absolute_path"))
     grown = stored(changed_folders(folders, new_folders), "folder-changes")
-    folder_rows, folder_buckets = catalog.change("folders", grown, lambda old: replace_rows(old, grown, "path"))
-    version = catalog.commit(
-        {"folders": folder_rows, "media": new_media}, {"folders": folder_buckets, "media": buckets}
-    )
+    version = catalog.commit(changes={"folders": grown, "media": changed})
     # these read small written tables
     tally = changed.agg(F.count_if("is_present").alias("there"), F.count_if(~F.col("is_present")).alias("gone")).first()
     failed = rejects.unionByName(listing.where(F.col("error").isNotNull()).select("path", "error")).count()

@@ -13,7 +13,7 @@ from shoebox.plans.registry import query
 from shoebox.schemas import MEDIA, timestamp
 from shoebox.session import checkpoint_root
 from shoebox.sources import imports
-from shoebox.sources.catalog import Catalog, replace_rows
+from shoebox.sources.catalog import Catalog
 from shoebox.sources.fixtures import NOW
 
 FOLDER, SCOPE, LIBRARY = 1005, 12, 1
@@ -48,7 +48,7 @@ def a3(fx):
     """,
 )
 def a4(fx):
-    """Commit everything, then a change set that rewrites only its buckets."""
+    """Commit everything, then the rows that change."""
     catalog, now = _fresh_catalog(fx), timestamp(NOW)
     media = fx.media()
     catalog.commit({"media": media})
@@ -56,8 +56,7 @@ def a4(fx):
     rows = changeset.mark_missing_by_key(
         catalog.read("media").join(removed, "absolute_path", "left_semi"), removed, now, ["absolute_path"]
     ).select(*MEDIA.names)
-    new, buckets = catalog.change("media", rows, lambda old: replace_rows(old, rows, "absolute_path"))
-    catalog.commit({"media": new}, {"media": buckets})
+    catalog.commit(changes={"media": rows})
     return catalog.read("media")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
 
 from shoebox.operators import annotate, changes, changeset, diff, fingerprint, hierarchy
+from shoebox.plans import annotation, ingest
 from shoebox.plans.ingest import stored
-from shoebox.plans.queries_browse import LIBRARY, RULES, SUMMARY, _fresh_catalog
+from shoebox.plans.queries_browse import LIBRARY, RULES, SCOPE, SUBTREE, SUMMARY, _fresh_catalog
 from shoebox.plans.registry import query
 from shoebox.schemas import timestamp
 from shoebox.session import checkpoint_root, checkpointed
@@ -195,14 +197,15 @@ def i10(fx):
     "I11_delete_values",
     """
     SELECT 'media' AS part, id FROM fx_values WHERE media_file_id NOT IN (SELECT id FROM fx_media WHERE NOT is_present)
-    UNION ALL SELECT 'config', id FROM fx_values WHERE searchable_config_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
+    UNION ALL SELECT 'config', id FROM fx_values WHERE id % 5 NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
     """,
 )
 def i11(fx):
     gone = fx.media().where(~F.col("is_present")).select("id")
     configs = fx.table("nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("bigint").alias("id"))
     by_media = annotate.delete_values_of_media(fx.values(), gone).select(F.lit("media").alias("part"), "id")
-    by_config = annotate.delete_values_of_configs(fx.values(), configs).select(F.lit("config").alias("part"), "id")
+    spread = fx.values().withColumn("searchable_config_id", F.col("id") % 5)
+    by_config = annotate.delete_values_of_configs(spread, configs).select(F.lit("config").alias("part"), "id")
     return by_media.unionByName(by_config)
 
 
@@ -326,6 +329,32 @@ def m3(fx):
     return after.join(values.select("media_file_id", "value_json"), "media_file_id", "left").select("id", "status", "error", "value_json")
 
 
+@query(
+    "M3_annotation_job",
+    f"""
+    SELECT m.id AS media_file_id, CASE WHEN format IS NULL THEN 'failed' ELSE 'done' END AS status, CASE WHEN format IS NULL THEN 'no format' END AS error,
+           CASE WHEN format IS NOT NULL THEN concat('{{"size":', file_size, '}}') END AS value_json
+    FROM fx_media m WHERE is_present AND folder_id IN {SUBTREE.format(SCOPE)}
+    """,
+)
+def m3_job(fx):
+    """Work asked for a folder and all below it, claimed, run and recorded by commits."""
+
+    def model(pdf):
+        if pdf["format"].isna().any():
+            raise ValueError("no format")
+        return pdf["file_size"].map(lambda n: '{"size":%d}' % n)
+
+    now, catalog = timestamp(NOW), _fresh_catalog(fx)
+    catalog.commit({"media": fx.media(), "folders": fx.folders()})
+    request = [("tagger", '{"model_name":"m0"}')]
+    asked = annotation.enqueue(catalog, request, now, SCOPE, config_id=7)
+    annotation.run_batch(catalog, model, asked // 2 + 1, now)
+    annotation.run_batch(catalog, model, asked, now)
+    items = catalog.read("work_items").select("media_file_id", "status", "error")
+    return items.join(catalog.read("values").select("media_file_id", "value_json"), "media_file_id", "left")
+
+
 # change events ------------------------------------------------------------
 
 _CLASSIFIED = """
@@ -446,3 +475,56 @@ def m1(fx):
     path = F.concat(F.lit("/docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), ext)
     files = fx.table("documents").select(path.alias("path"), F.encode("text", "UTF-8").alias("content"))
     return fingerprint.fingerprint_content(files)
+
+
+_PICTURE = "unhex(concat('89504E470D0A1A0A0000000D49484452', printf('%08X', page_id % 90 + 1), printf('%08X', page_id % 70 + 2), '0802000000'))"
+
+
+def _write_files(batches):
+    """Write rows of (path, content) as files."""
+    import os
+
+    import pandas as pd
+
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as out:
+                out.write(content)
+        yield pd.DataFrame({"n": [len(pdf)]})
+
+
+@query(
+    "I17_ingest_files",
+    f"""
+    , files AS (
+      SELECT concat('d', page_id % 7, '/', page_id, CASE page_id % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.gif' ELSE '.PNG' END) AS relative_path, page_id,
+             CASE WHEN page_id % 3 = 1 THEN encode(html) ELSE {_PICTURE} || encode(html) END AS content
+      FROM pages)
+    SELECT relative_path, CAST(octet_length(content) AS BIGINT) AS file_size, sha256(content) AS content_hash,
+           CAST(CASE WHEN page_id % 3 <> 1 THEN page_id % 90 + 1 END AS INTEGER) AS width,
+           CAST(CASE WHEN page_id % 3 <> 1 THEN page_id % 70 + 2 END AS INTEGER) AS height,
+           CASE WHEN page_id % 3 = 1 THEN 'gif' ELSE 'png' END AS format, TRUE AS is_present,
+           (SELECT count(*) FROM files) AS unchanged
+    FROM files
+    """,
+)
+def i17_ingest(fx):
+    """Pages as files, some with a picture's header: written by the executors, scanned,
+    and scanned again after the folders' states are reset."""
+    spark, now = fx.spark, timestamp(NOW)
+    root = re.sub("^file:/+", "/", f"{checkpoint_root(spark)}/files-{uuid.uuid4().hex}")
+    n = F.col("page_id")
+    name = F.concat(
+        F.lit(f"{root}/d"), (n % 7).cast("string"), F.lit("/"), n.cast("string"), F.when(n % 3 == 0, ".png").when(n % 3 == 1, ".gif").otherwise(".PNG")
+    )
+    size = F.concat(F.lpad(F.hex(n % 90 + 1), 8, "0"), F.lpad(F.hex(n % 70 + 2), 8, "0"))
+    header = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), size, F.lit("0802000000")))
+    html = F.encode("html", "UTF-8")
+    content = F.when(n % 3 == 1, html).otherwise(F.concat(header, html))
+    fx.table("pages").select(name.alias("path"), content.alias("content")).repartition("path").mapInPandas(_write_files, "n bigint").agg(F.sum("n")).collect()
+    catalog, rule = _fresh_catalog(fx), {"path": f"{root}/"}
+    ingest.scan_import(spark, catalog, rule, now)
+    again = ingest.rescan_import(spark, catalog, rule, now).first()
+    media = catalog.read("media").select("relative_path", "file_size", "content_hash", "width", "height", "format", "is_present")
+    return media.withColumn("unchanged", F.lit(again.unchanged))

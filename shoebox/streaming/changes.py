@@ -18,7 +18,7 @@ from shoebox.operators import changes, changeset, diff, fingerprint, hierarchy
 from shoebox.plans.ingest import stored
 from shoebox.schemas import CHANGE_EVENTS, MEDIA, timestamp
 from shoebox.sources import filetree
-from shoebox.sources.catalog import Catalog, replace_rows
+from shoebox.sources.catalog import Catalog
 from shoebox.sources.imports import with_clean_root
 
 
@@ -124,12 +124,7 @@ def apply_batch(
         *[{"is_present": F.lit(False), "missing_since": now}.get(c, F.col(c)).alias(c) for c in MEDIA.names]
     )
     rows = stored(changeset.checked_media(written.select(*MEDIA.names).unionByName(gone)), "media-changes")
-    buckets = catalog.touched("media", rows)
-    folder_rows, folder_buckets = catalog.change("folders", fresh, lambda old: replace_rows(old, fresh, "path"))
-    catalog.commit(
-        {"folders": folder_rows, "media": replace_rows(catalog.read("media", buckets), rows, "absolute_path")},
-        {"folders": folder_buckets, "media": buckets}, stream, batch,
-    )
+    catalog.commit(changes={"folders": fresh, "media": rows}, stream=stream, batch=batch)
     tally = rows.agg(F.count_if("is_present").alias("up"), F.count_if(~F.col("is_present")).alias("gone")).first()
     return {
         "upserted": tally.up, "missing": tally.gone, "failed": printed.where(F.col("error").isNotNull()).count(),

@@ -9,7 +9,7 @@ from shoebox.operators import fingerprint
 from shoebox.plans import ingest
 from shoebox.schemas import timestamp
 from shoebox.sources import filetree, imports
-from shoebox.sources.catalog import Catalog, StaleCatalog, replace_rows
+from shoebox.sources.catalog import Catalog, StaleCatalog
 
 
 
@@ -217,17 +217,17 @@ def test_non_recursive_import(spark, tree, catalog, now):
     assert done["processed"] == 5 and catalog.read("folders").count() == 1
 
 
-def test_commit_is_atomic_and_touches_few_buckets(spark, make, catalog):
+def test_commit_is_atomic_and_costs_what_changed(spark, make, catalog):
     media = make.media([{"id": i, "relative_path": f"{i}.png"} for i in range(40)])
     assert catalog.version() == 0 and catalog.read("media").count() == 0
     catalog.commit({"media": media})
     change = media.where("id = 3").withColumn("file_size", F.lit(99).cast("bigint"))
-    new, buckets = catalog.change("media", change, lambda old: replace_rows(old, change, "absolute_path"))
-    assert len(buckets) == 1
     # written but not committed: readers do not see it
-    new.withColumn("bucket", F.lit(0)).write.parquet(f"{catalog.root}/data/media/v=2")
+    change.withColumn("bucket", F.lit(0)).write.parquet(f"{catalog.root}/data/media/v=2")
     assert catalog.read("media").where("file_size = 99").count() == 0
-    catalog.commit({"media": new}, {"media": buckets}, "feed", 5)
+    catalog.commit(changes={"media": change}, stream="feed", batch=5)
+    # the second commit wrote one row
+    assert [rows for (_, b), (_, rows) in catalog.state.files.items() if b < 0] == [1]
     assert [r.id for r in catalog.read("media").where("file_size = 99").collect()] == [3]
     assert catalog.read("media").count() == 40 and catalog.version() == 2
     assert catalog.has_batch("feed", 5) and not catalog.has_batch("feed", 6) and not catalog.has_batch("other", 0)
@@ -246,8 +246,7 @@ def test_log_epochs(spark, make, tmp_path, monkeypatch):
     catalog.commit({"media": media}, stream="feed", batch=7)
     for n in range(4):
         row = media.where(f"id = {n}").withColumn("file_size", F.lit(50).cast("bigint"))
-        new, buckets = catalog.change("media", row, lambda old, row=row: replace_rows(old, row, "absolute_path"))
-        catalog.commit({"media": new}, {"media": buckets})
+        catalog.commit(changes={"media": row})
     again = Catalog(spark, str(tmp_path / "c"))
     assert (again.version(), again.buckets, again.has_batch("feed", 7)) == (5, 2, True)
     assert again.state == catalog.state
@@ -311,3 +310,25 @@ def test_colliding_ids_fail(spark, make):
     for clash in ([{"id": 5, "relative_path": "b"}], [{"id": 6, "relative_path": "b"}, {"id": 6, "relative_path": "c"}]):
         with pytest.raises(ValueError):
             changeset.check_new_ids(make.media(clash), old)
+
+
+def test_changes_stay_small_until_they_add_up(spark, make, tmp_path):
+    """500 changed paths of a large table write 500 rows; the table is written anew only
+    when changes add up, and reads the same throughout."""
+    one = make.media([{"id": 0, "relative_path": "x"}])
+    big = spark.range(100_000).select(
+        *[{"id": F.col("id"), "absolute_path": F.concat(F.lit("/r/"), F.col("id").cast("string"))}.get(c, F.lit(one.first()[c]).cast(one.schema[c].dataType)).alias(c) for c in one.columns]
+    )
+    catalog = Catalog(spark, str(tmp_path / "c"), buckets=4)
+    catalog.commit({"media": big})
+    for n in range(3):
+        rows = big.where(F.col("id") < 500).withColumn("file_size", F.lit(100 + n).cast("bigint"))
+        catalog.commit(changes={"media": rows})
+    again = Catalog(spark, catalog.root)
+    assert [rows for (_, b), (_, rows) in sorted(again.state.files.items()) if b < 0] == [500] * 3
+    assert again.read("media").count() == 100_000 and again.read("media").where("file_size = 102").count() == 500
+    some = again.touched("media", big.where("id = 7"))
+    assert again.read("media", some).where("id = 7").first().file_size == 102
+    again.commit(changes={"media": big.where("id >= 91000").withColumn("file_size", F.lit(9).cast("bigint"))})
+    assert not again._changes("media") and Catalog(spark, catalog.root).state == again.state
+    assert [again.read("media").where(f"file_size = {n}").count() for n in (9, 102)] == [9_000, 500]
