@@ -46,9 +46,11 @@ BOILERPLATE_NAMES = frozenset(
     "nav navbar navigation menu sidebar footer header masthead ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored "
     "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "recommendations comment comments commentlist disqus reply replies respond discussion breadcrumb breadcrumbs pagination pager copyright widget toolbar "
-    "search skip tags toc form complementary contentinfo hidden".split()
+    "search skip tags toc form complementary contentinfo paywall disclaimer announcement outbrain taboola adsense adslot".split()
 )
-CONTENT_NAMES = frozenset("article main content post entry story body text maincontent articlebody".split())
+CONTENT_NAMES = frozenset("article main content post entry story maincontent articlebody articlecontent postcontent".split())
+# words before a name that deny it (has-sidebar, no-header), and after it (comments-open)
+DENIED_BEFORE, DENIED_AFTER = frozenset("has with no without hide".split()), frozenset("open closed enabled disabled".split())
 # what opening a tag ends: an open one of the same kind, up to a container
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)),
@@ -79,24 +81,44 @@ class Block:
     edges: list = field(default_factory=list)
 
 
-def _kind(tag: str, attributes: str) -> int:
+def _said(value: str) -> tuple[bool, bool]:
+    """Whether the names in an attribute mean content, and whether boilerplate."""
+    good = bad = False
+    for name in value.split():
+        words = _NAME.findall(name)
+        if not words or words[-1] in DENIED_AFTER:
+            continue
+        known = [w for k, w in enumerate(words) if not (k and words[k - 1] in DENIED_BEFORE)]
+        fine = any(w in CONTENT_NAMES for w in known)
+        # a compound such as post-comments or sidebar-content is boilerplate; post-header holds the title
+        poor = any(w in BOILERPLATE_NAMES and not (fine and w in ("header", "heading")) for w in known)
+        bad = bad or poor
+        good = good or (fine and not poor and "header" not in known)
+    return good, bad
+
+
+def _kind(tag: str, attributes: str, inside: int) -> int:
     """What a tag and its names say: content, boilerplate, or nothing (also if they
-    contradict each other)."""
-    good, bad = tag in CONTENT_TAGS, tag in BOILERPLATE_TAGS or tag == "header"
-    if attributes and "=" in attributes or "hidden" in attributes:
+    contradict each other); ``inside`` is what the nearest telling ancestor said."""
+    if tag in BOILERPLATE_TAGS:
+        return -1
+    good = bad = False
+    if "=" in attributes or "hidden" in attributes:
         if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
-            bad = True
+            return -1
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id", "role", "itemprop"):
-                words = set(_NAME.findall(value))
-                bad = bad or not words.isdisjoint(BOILERPLATE_NAMES)
-                good = good or not words.isdisjoint(CONTENT_NAMES)
+                fine, poor = _said(value)
+                good, bad = good or fine, bad or poor
             elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return -1
-    if tag in BOILERPLATE_TAGS:
-        return -1
-    return int(good) - int(bad) if not (good and bad) else (-1 if tag in CONTENT_TAGS else 0)
+    if tag == "header":
+        # an article's own header holds its title
+        return 0 if inside > 0 and not (bad and not good) else -1
+    if tag in CONTENT_TAGS:
+        return -1 if bad else 1
+    return int(good) - int(bad)
 
 
 def parse(page: str) -> list[Block]:
@@ -176,9 +198,7 @@ def parse(page: str) -> list[Block]:
                     seek = seek.parent
         if tag in VOID or (attributes or attributes2 or "").endswith("/") and tag not in ("p", "div", "a", "span"):
             continue
-        said = 0 if tag in ("html", "body") else _kind(tag, attributes or attributes2 or "")
-        if tag == "header" and said < 0 and node.kind > 0 and not attributes and not attributes2:
-            said = 0  # the header of the article itself
+        said = 0 if tag in ("html", "body") else _kind(tag, attributes or attributes2 or "", node.kind)
         child = Element(tag, node, said or node.kind, None, node.heading or tag in HEADINGS, node.linked or tag == "a", node.depth + 1)
         child.teller = child if said else node.teller
         node = child
@@ -190,6 +210,7 @@ def parse(page: str) -> list[Block]:
 def classify(blocks: list[Block]) -> None:
     """Log odds of being content, by fixed weights."""
     marked = sum(len(b.text) for b in blocks if b.element.kind > 0)
+    plain = sum(len(b.text) for b in blocks if b.element.kind == 0)
     for b in blocks:
         size, element = len(b.text), b.element
         density = b.links / size
@@ -207,10 +228,10 @@ def classify(blocks: list[Block]) -> None:
             score += 3.5
         elif element.kind < 0:
             score -= 7.0 + 0.9 * math.log1p(size / 25)
-        elif marked:
-            score -= 3.5  # the page says where its content is
+        elif 2 * marked >= plain:
+            score -= 3.5 + 0.9 * math.log1p(size / 25)  # the page says where its content is
         else:
-            score -= 0.7
+            score -= 1.5 if marked else 0.7
         b.score = score
 
 
