@@ -254,14 +254,16 @@ def _near(homes: np.ndarray, rings: np.ndarray, vantage, points: np.ndarray, rea
                     yield i + a, part[j]
 
 
-def links(prints: DataFrame, reach: int = 2, leaf_size: int = 2_000, sample: int = 65_536) -> DataFrame:
+def links(prints: DataFrame, reach: int = 2, leaf_size: int = 2_000, sample: int = 1 << 20) -> DataFrame:
     """A spanning forest ``(a, b)`` of all pairs within ``reach`` bits among the distinct
     values of the only column of ``prints``.
 
     The tree is laid out on at most ``sample`` fingerprints (the lowest by hash); every
     fingerprint is dealt to leaves and compared.  A leaf with more than twice
     ``leaf_size`` points of its own is cut into shards, each meeting the later ones, so a
-    task holds one shard and streams the rest.
+    task holds one shard at a time and streams the rest.  Each level of the tree sends
+    some two fifths of the visitors both ways, so what is dealt grows a little faster
+    than the number of distinct fingerprints (about its power 1.4).
     """
     spark, fp = prints.sparkSession, prints.columns[0]
     prints = prints.select(F.col(fp).alias("fp"))
@@ -302,8 +304,7 @@ def links(prints: DataFrame, reach: int = 2, leaf_size: int = 2_000, sample: int
                         })
 
     dealt = prints.mapInArrow(deal, "shard int, role byte, fp long")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), first)
-    ordered = dealt.repartition(parts, "shard").sortWithinPartitions("shard", "role")
+    ordered = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "role")
 
     def compare(batches):
         shard, homes, rings, forest, waiting = None, None, None, None, []
