@@ -129,16 +129,22 @@ def tree_order(folders: DataFrame, tree: DataFrame, flattened_roots: DataFrame |
     return hidden.where((F.col("depth") == 0) | F.col("_flat").isNull()).drop("_flat")
 
 
-def inherited_settings(folders: DataFrame, tree: DataFrame) -> DataFrame:
-    """Thumbnail policy of each folder, taken from its root with defaults."""
-    return with_root(
-        folders.select("id", "parent_id", "path", "thumbnail_cache_mode", "thumbnail_cache_folder", "thumbnail_cache_fallback"),
-        tree,
-        F.col("path").alias("root_path"),
+def inherited_settings(folders: DataFrame) -> DataFrame:
+    """Thumbnail policy of each folder, taken from the root nearest above it, with defaults.
+
+    A folder looks its own path prefixes up among the root rows, of which there are as
+    many as imports; no closure is built.  Folders stand on the left, where a root that
+    owns most of them may be split."""
+    policy = F.struct(
+        F.col("id").alias("root_id"), F.col("path").alias("root_path"),
         F.coalesce("thumbnail_cache_mode", F.lit("global")).alias("cache_mode"),
         F.coalesce("thumbnail_cache_folder", F.lit("")).alias("cache_folder"),
         F.col("thumbnail_cache_fallback").alias("cache_fallback"),
-    ).select(F.col("id").alias("folder_id"), "root_id", "root_path", "cache_mode", "cache_folder", "cache_fallback")
+    )
+    tops = folders.where(F.col("parent_id").isNull()).select("path", policy.alias("_policy"))
+    climbs = folders.select(F.col("id").alias("folder_id"), F.explode(paths.ancestor_paths("path")).alias("path"))
+    nearest = F.max_by("_policy", F.length("path"))
+    return climbs.join(tops, "path").groupBy("folder_id").agg(nearest.alias("_p")).select("folder_id", "_p.*")
 
 
 def _literal(value) -> Column:

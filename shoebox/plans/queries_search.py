@@ -216,7 +216,7 @@ _REPS = f"(SELECT content_hash, min(id) AS id FROM fx_media WHERE is_present GRO
 )
 def n5(fx):
     folders = fx.folders_raw()
-    settings = hierarchy.inherited_settings(folders, hierarchy.closure(folders))
+    settings = hierarchy.inherited_settings(folders)
     todo = thumbnails.render_list(fx.media(), settings, fx.cached(SIDE), SIDE, GLOBAL_CACHE)
     return todo.select("content_hash", "id", "absolute_path", "root_path", "thumb_width", "thumb_height")
 
@@ -234,6 +234,6 @@ def n5(fx):
 )
 def n5_hits(fx):
     folders = fx.folders_raw()
-    settings = hierarchy.inherited_settings(folders, hierarchy.closure(folders))
+    settings = hierarchy.inherited_settings(folders)
     rows = thumbnails.with_settings(thumbnails.representatives(fx.media()), settings)
     return thumbnails.cache_lookup(rows, fx.cached(SIDE), SIDE, GLOBAL_CACHE).select("content_hash", "cached_at")

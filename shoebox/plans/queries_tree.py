@@ -88,7 +88,7 @@ def d5_flat(fx):
 )
 def d6(fx):
     folders = fx.folders_raw()
-    return hierarchy.inherited_settings(folders, hierarchy.closure(folders))
+    return hierarchy.inherited_settings(folders)
 
 
 _DERIVED = """

@@ -81,7 +81,7 @@ def test_settings_come_from_the_root(make, mode):
         {"id": 1, "path": "/imports/photos", "thumbnail_cache_mode": mode, "thumbnail_cache_folder": "/c" if mode else None, "thumbnail_cache_fallback": "global"},
         {"id": 2, "parent_id": 1, "path": "/imports/photos/vacation", "thumbnail_cache_mode": "disabled"},
     ])
-    got = hierarchy.inherited_settings(folders, hierarchy.closure(folders)).where("folder_id = 2").first()
+    got = hierarchy.inherited_settings(folders).where("folder_id = 2").first()
     assert (got.root_path, got.cache_mode, got.cache_folder, got.cache_fallback) == (
         "/imports/photos", mode or "global", "/c" if mode else "", "global")
 
