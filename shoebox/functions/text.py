@@ -25,8 +25,8 @@ def trim_query(text: str) -> str:
 
 def tokens(query: Column) -> Column:
     """The column form of ``split_query``, lower-cased."""
-    parts = F.split(query, r"(?U)\s+")
-    return F.transform(F.filter(parts, lambda t: t != ""), lambda t: F.lower(t))
+    # white space bounds every letter's context, so lowering the whole text lowers each token
+    return F.array_remove(F.split(F.lower(query), r"(?U)\s+"), "")
 
 
 def trimmed(query: Column) -> Column:
@@ -47,9 +47,9 @@ def filename_score(path: Column, text: str) -> Column:
 
 def parse_kind(kind: Column) -> Column:
     """``text | tags | classification | vector:N`` to a struct ``(kind, dims)``;
-    null for anything else."""
+    null for anything else, and for more dimensions than a bigint holds."""
     # an optional plus sign and leading zeros are legal, a bare 'vector' is not
-    dims = F.try_to_number(F.nullif(F.regexp_extract(kind, r"^vector:\+?0*([0-9]{1,18})$", 1), F.lit("")), F.lit("9" * 18))
+    dims = F.regexp_extract(kind, r"^vector:\+?0*([0-9]+)$", 1).try_cast("bigint")
     plain = kind.isin("text", "tags", "classification")
     return F.when(plain, F.struct(kind.alias("kind"), F.lit(None).cast("bigint").alias("dims"))).when(
         dims.isNotNull(), F.struct(F.lit("vector").alias("kind"), dims.cast("bigint").alias("dims"))
