@@ -258,7 +258,7 @@ def links(prints: DataFrame, reach: int = 2, leaf_size: int = 2_000, sample: int
     """A spanning forest ``(a, b)`` of all pairs within ``reach`` bits among the distinct
     values of the only column of ``prints``.
 
-    The tree is laid out on at most ``sample`` fingerprints (the lowest by hash); every
+    The tree is laid out on about ``sample`` fingerprints at most (the lowest by hash); every
     fingerprint is dealt to leaves and compared.  A leaf with more than twice
     ``leaf_size`` points of its own is cut into shards, each meeting the later ones, so a
     task holds one shard at a time and streams the rest.  Each level of the tree sends
@@ -269,7 +269,9 @@ def links(prints: DataFrame, reach: int = 2, leaf_size: int = 2_000, sample: int
     prints = prints.select(F.col(fp).alias("fp"))
     total = prints.count()
     wanted = max(1, -(-total // leaf_size))
-    points = prints.orderBy(F.xxhash64("fp"), "fp").limit(min(sample, 64 * wanted)).toPandas()["fp"].to_numpy(np.int64)
+    share = min(1.0, min(sample, 64 * wanted) / max(total, 1))
+    low = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(share * (1 << 30))
+    points = prints.where(low).toPandas()["fp"].to_numpy(np.int64)
     tree = Tree(points.view(np.uint64), min(wanted, max(1, sample // 64)))
     tree = spark.sparkContext.broadcast(tree)
 
