@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], column: int = -1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of a text column (a longer text
+    alone), so that a worker holds little beside the batch it was sent, and gives back
+    what Arrow no longer uses."""
+    for batch in batches:
+        index = batch.num_columns + column if column < 0 else column
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(index)), 0).cast(pa.int64())).to_numpy()
+        low = 0
+        while low < batch.num_rows:
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(ends.searchsorted(before + most, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
+        pa.default_memory_pool().release_unused()
+
+
 def id_text(doc_id: str) -> Column:
     """An id as text; a null id counts as empty text."""
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import fresh, id_text
+from shoebox.llm.common import fresh, id_text, small_batches
 
 NOTHING = "und"
 SLOTS = 1 << 21
@@ -143,7 +143,7 @@ def train(
     sample = known.where(F.col("at") < share[F.col("lang")]).select(number[F.col("lang")].alias("lang"), "text")
 
     def count(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             which, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for a, b in _slices(texts):
                 h, owner = grams(texts[a:b])
@@ -193,7 +193,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             names, scores = shared.value.predict(batch.column(batch.num_columns - 1).to_pylist())
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

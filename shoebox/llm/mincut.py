@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import fresh
+from shoebox.llm.common import fresh, small_batches
 
 _RAW = "script|style|noscript|template|svg|iframe|object|title|textarea|select|button|canvas|audio|video|map|datalist"
 _TOKEN = re.compile(
@@ -372,7 +372,7 @@ def extract(pages: DataFrame, page: str = "html", keep: list[str] | None = None)
     schema = pages.select(*keep, F.lit("").alias(text), F.lit(0).cast("long").alias(n)).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [main_text(p) for p in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import components, fresh, stored
+from shoebox.llm.common import components, fresh, small_batches, stored
 
 # fixed values of the XXH64 algorithm
 P1, P2, P3, P4, P5 = (
@@ -151,7 +151,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None
     schema = docs.select(*keep).withColumn("fingerprint", F.lit(0).cast("long")).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             parts = [fingerprints(texts[a:b], shingle) for a, b in _sliced(texts)]
             values = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)

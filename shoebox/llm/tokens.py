@@ -13,7 +13,6 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +20,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import scratch
+from shoebox.llm.common import scratch, small_batches
 
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
 # chunks a worker remembers; the memory is cleared when it is full
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 SHARDS = (
     "bucket int, shard int, first long, n_ids long, planes string, block int, doc_ids array<long>, "
@@ -83,6 +82,21 @@ def unpack(payload: bytes, ends: list[int], n: int, planes: str = "byte", block:
 
 # --- tokenising -------------------------------------------------------------
 
+# a stop or comma that ends a word, right after a letter or digit
+_STOP = re.compile(r"[.,](?<=[^\W_][.,])(?=[ \n]|\Z)")
+
+
+def _plainer(text: str) -> str:
+    """The same words with fewer spellings, for a lower-casing tokenizer: western texts in
+    lower case (character by character, and in composed form already), with the stops
+    that are words of their own set apart."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return _STOP.sub(r" \g<0>", text.lower())
+
+
 class _Words:
     """Ids of texts by the library's own normalizer, pre-tokenizer and model.
 
@@ -118,7 +132,7 @@ class _Words:
             if self.special.search(text):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
             else:
-                pieces.append(text.replace("\n", " ").split(" "))
+                pieces.append(_plainer(text).replace("\n", " ").split(" "))
                 places.append(i)
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -155,18 +169,6 @@ def _encoder(path: str) -> _Words:
     return _encoders[path]
 
 
-def _slices(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
-    some, size = [], 0
-    for text in texts:
-        if some and size + len(text) > most:
-            yield some
-            some, size = [], 0
-        some.append(text)
-        size += len(text)
-    if some:
-        yield some
-
-
 # --- writing and reading ----------------------------------------------------
 
 def write(
@@ -190,12 +192,12 @@ def write(
 
     def encode(batches):
         words = _encoder(tokenizer)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, ties, texts = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist())
             low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
             part = ties.astype(np.float64) / 2.0**63
             bucket = low + np.minimum((part * (high - low)).astype(np.int64), np.maximum(high - low - 1, 0))
-            lists = [x for some in _slices(texts) for x in words.encode(some)]
+            lists = words.encode(texts)
             narrow = np.dtype("<u4") if max((int(x.max()) for x in lists if len(x)), default=0) > 65535 or end_id > 65535 else np.dtype("<u2")
             raw = [np.append(x, end_id).astype(narrow).tobytes() for x in lists]
             yield pa.RecordBatch.from_pydict({
@@ -224,7 +226,7 @@ def write(
             number, first, names, parts, size = number + 1, first + len(ids), [], [], 0
             return out
 
-        for batch in batches:
+        for batch in small_batches(batches, 4, 4 << 20):
             for at, name, width, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
                 if names and (at != bucket or size >= SHARD_IDS):
                     yield flush()
@@ -250,7 +252,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
 
     def decode(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 9, 4 << 20):
             for row in batch.to_pylist():
                 ids = unpack(row["payload"], row["plane_ends"], row["n_ids"], row["planes"], row["block"])
                 stops = np.cumsum(row["lengths"])

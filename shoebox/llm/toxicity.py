@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import fresh, id_text, stored
+from shoebox.llm.common import fresh, id_text, small_batches, stored
 
 # Letters of other scripts that look like Latin ones, and what digits and signs
 # stand for.  "1" may be an i or an l, so both, and all that look like them, become i.
@@ -185,7 +185,7 @@ def train(
     sample = picked.where("text is not null").join(chosen, "id").select("id", "text", "y")
 
     def keys(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             texts, out = batch.column(1).to_pylist(), []
             for folded in (f for some in _slices(texts) for f in fold(some)):
                 words = folded.split()
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             values = shared.value.scores(batch.column(batch.num_columns - 1).to_pylist()) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=schema.names)
 
