@@ -25,7 +25,7 @@ from shoebox.llm.common import scratch, small_batches
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
 # chunks a worker remembers; the memory is cleared when it is full
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 SHARDS = (
     "bucket int, shard int, first long, n_ids long, planes string, block int, doc_ids array<long>, "
