@@ -144,12 +144,21 @@ def without_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, share: float = 0.8, doc_id: str = "doc_id", text: str = "text", length: int = 10) -> DataFrame:
-    """``(doc_id, print, pos, window, share)``: places where the window's rarest term stands
-    among at least ``share`` of its distinct terms, in any order, within the words
-    ``index`` keeps around it."""
-    plan, _, postings = _plan(docs, items, doc_id, text, length)
-    near = postings.where("around is not null").join(plan.select("term", "window"), "term")
+    """``(doc_id, print, pos, window, share)``: places where one of the window's anchors
+    stands among at least ``share`` of its distinct terms, in any order, within the words
+    ``index`` keeps around it.  Anchors are the k + 1 rarest terms that occur at all, where
+    ``share`` lets k be missing: whatever is missing, one of them is there."""
+    owned = stored(windows(items, "item_id", "text", length), "windows")
     asked = F.array_distinct(F.split("window", " "))
+    distinct = owned.select("window").distinct()
+    terms = stored(distinct.select("window", F.explode(asked).alias("word")).select("window", F.lower("word").alias("term")).distinct(), "window-terms")
+    freq = stored(frequencies(docs, terms.select("term").distinct(), doc_id, text), "term-frequencies")
+    by = terms.join(freq, "term").groupBy("window").agg(F.sort_array(F.collect_list(F.struct("freq", "term"))).alias("by"))
+    missing = F.size(F.filter(F.sequence(F.lit(1), F.size(asked)), lambda m: (F.size(asked) - m) / F.size(asked) >= share))
+    anchors = by.select("window", F.explode(F.slice("by", F.lit(1), missing + 1)).alias("anchor"))
+    plan = stored(anchors.select("window", F.col("anchor.term").alias("term")), "window-anchors")
+    wanted = plan.select("term").distinct()
+    near = index(docs, wanted, wanted, doc_id, text, length).where("around is not null").join(plan, "term")
     there = F.array_intersect(asked, F.split(exact(F.concat_ws(" ", "around")), " "))
     scored = near.withColumn("share", F.size(there) / F.size(asked))
     return scored.where(F.col("share") >= share).select("doc_id", "print", "pos", "window", "share").distinct()
