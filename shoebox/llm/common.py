@@ -38,6 +38,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote for ``df``, once nothing will read it any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], column: int = -1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of a text column (a longer text
     alone), so that a worker holds little beside the batch it was sent, and gives back

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import langid, licenses, mincut, mixing, phrases, quotes, simhash, subspace, tokens, toxicity
+from shoebox.llm import langid, licenses, manifest, mincut, mixing, phrases, quotes, resample, simhash, subspace, tokens, toxicity
 from shoebox.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,98 @@ ORACLES["op10_licenses"] = _license_sql()
 def op1_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without its quotes, in reply order."""
     return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+# CRC-32 of a list of byte values ``{bytes}``, its step table coming from ``crc(steps)``
+_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS steps)"""
+_CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@_query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in the manifest, tried out on tampered texts."""
+    docs = table(spark, sf_dir, "documents")
+    found = manifest.manifest(docs, tampered={"text": manifest.without_line_feeds("doc_id", "text")})
+    root = manifest.folded(F.col("tampered_leaf"), F.col("segment"))
+    proof = manifest.proof_digest(F.col("segment"))
+    shown = found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), root.alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars")) + " || " + _FIELD + ")"
+ORACLES["op11_manifest"] = f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaf AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_LEAF.format("text")} AS leaf,
+    CASE WHEN {_CRC.format(bytes="[ord(d) for d in string_split(coalesce(CAST(doc_id AS VARCHAR), ''), '') if d <> '']")} % 2 = 0
+      THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS tampered
+  FROM documents, crc),
+placed AS (
+  SELECT r, doc_id, leaf, tampered, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, tampered) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n FROM leaf),
+node AS (
+  SELECT tree, 0 AS level, pos, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, level, pos // 3, n),
+top AS (SELECT tree AS pos, digest, count(*) OVER () AS n FROM node WHERE n = 1),
+above AS (
+  SELECT 0 AS level, pos, n, digest FROM top
+  UNION ALL
+  SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM above WHERE n > 1 GROUP BY level, pos // 3, n),
+every AS (
+  SELECT tree, level, pos, n, digest FROM node UNION ALL SELECT -1, level, pos, n, digest FROM above),
+sibling AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM every AS a JOIN every AS b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+climb AS (
+  SELECT r AS row, tree AS own, tree, 0 AS level, pos, n, tampered AS folded, '' AS proof FROM placed
+  UNION ALL
+  SELECT row, own, CASE WHEN c.n > 1 THEN c.tree ELSE -1 END, CASE WHEN c.n > 1 THEN c.level + 1 ELSE 0 END,
+    CASE WHEN c.n > 1 THEN c.pos // 3 ELSE own END, CASE WHEN c.n > 1 THEN (c.n + 2) // 3 ELSE (SELECT count(*) FROM top) END,
+    CASE WHEN c.n > 1 THEN sha256(l || folded || s.r) ELSE folded END, CASE WHEN c.n > 1 THEN proof || l || s.r ELSE proof END
+  FROM climb AS c LEFT JOIN sibling AS s ON s.tree = c.tree AND s.level = c.level AND s.pos = c.pos WHERE c.n > 1 OR c.tree >= 0)
+SELECT doc_id, leaf, top.digest AS subroot, root.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.digest AS verified
+FROM climb JOIN placed ON placed.r = climb.row JOIN top ON top.pos = climb.own, (SELECT digest FROM above WHERE n = 1) AS root
+WHERE climb.tree = -1 AND climb.n = 1
+"""
+
+
+@_query
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document towards the benchmark's features."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("n_words")
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op12_resample"] = f"""
+WITH {_CRC_TABLE},
+word AS (
+  SELECT row_number() OVER () AS r, true AS own, doc_id, coalesce({_WORDS}, []) AS w FROM documents
+  UNION ALL SELECT 0, false, NULL, coalesce({_WORDS}, []) FROM benchmark),
+run AS (SELECT r, own, unnest(list_concat(w,
+  list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+  list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS run FROM word),
+counted AS (SELECT r, own, run, count(*) AS n FROM run GROUP BY ALL),
+byte AS (SELECT run, hex(encode(run)) AS h FROM (SELECT DISTINCT run FROM counted)),
+hashed AS (
+  SELECT run, {_CRC.format(bytes="list_transform(range(strlen(h) // 2), lambda i: instr('123456789ABCDEF', h[2 * i + 1]) * 16 + instr('123456789ABCDEF', h[2 * i + 2]))")} % 10000 AS bucket
+  FROM byte, crc),
+cell AS (SELECT r, own, bucket, sum(n) AS n FROM counted JOIN hashed USING (run) GROUP BY ALL),
+tally AS (SELECT bucket, sum(n) FILTER (own) AS s, sum(n) FILTER (NOT own) AS t FROM cell GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE)) / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS g
+  FROM tally, (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM tally)),
+weight AS (SELECT r, sum(n) AS n_features, sum(n * g) AS weight FROM cell JOIN gain USING (bucket) WHERE own GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) >= 20 AS able, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM word LEFT JOIN weight USING (r) WHERE word.own),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS k, 5 * count(*) OVER (PARTITION BY able) // 100 AS most FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= most THEN k END AS rank FROM ranked
+"""
