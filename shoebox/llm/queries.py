@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import langid, licenses, manifest, mincut, mixing, phrases, quotes, resample, simhash, subspace, tokens, toxicity
+from shoebox.llm import langid, licenses, manifest, mincut, mixing, phrases, quotes, repeats, resample, simhash, subspace, tokens, toxicity
 from shoebox.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,6 +238,14 @@ WHERE climb.tree = -1 AND climb.n = 1
 """
 
 
+@_query
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that earlier ones have."""
+    found = repeats.cut_repeats(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight, score and rank of every document towards the benchmark's features."""
