@@ -9,17 +9,22 @@ from shoebox.functions import paths
 from shoebox.operators.skew import lookup_join
 
 
-def classify(events: DataFrame, heif: bool = False) -> DataFrame:
-    """Keep events that matter, with ``kind`` upsert or remove.
+def change_kind(heif: bool = False) -> Column:
+    """What an event means for its path: upsert, remove, or null for nothing.
 
     Create and modify mean upsert while the path exists, else remove; remove
-    means remove; access is ignored; anything else goes by existence.  Existing
-    directories and existing unsupported files are skipped.
+    means remove; access and heartbeats are ignored; anything else goes by existence.
+    Existing directories and existing unsupported files are skipped.
     """
-    by_existence = F.when(F.col("path_exists"), "upsert").otherwise("remove")
-    kind = F.when(F.col("event_kind") == "remove", "remove").when(F.col("event_kind") != "access", by_existence)
     skipped = F.col("path_exists") & (F.col("is_dir") | ~paths.is_supported("path", heif))
-    return events.where(~skipped).withColumn("kind", kind).where(F.col("kind").isNotNull())
+    by_existence = F.when(F.col("path_exists"), "upsert").otherwise("remove")
+    ignored = F.col("event_kind").isin("access", "heartbeat", "error")
+    return F.when(skipped | ignored, None).when(F.col("event_kind") == "remove", "remove").when(F.col("event_kind").isNotNull(), by_existence)
+
+
+def classify(events: DataFrame, heif: bool = False) -> DataFrame:
+    """Keep events that matter, with ``kind`` upsert or remove."""
+    return events.withColumn("kind", change_kind(heif)).where(F.col("kind").isNotNull())
 
 
 def collapse(changes: DataFrame, order: str = "remove_wins") -> DataFrame:

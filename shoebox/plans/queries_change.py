@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from shoebox.schemas import timestamp
 from shoebox.session import checkpoint_root, checkpointed
 from shoebox.sources.fixtures import NOW
 from shoebox.streaming import changes as stream
+from shoebox.streaming import settle
 
 _MEDIA_OUT = ["id", "folder_id", "relative_path", "absolute_path", "content_hash", "width", "height", "format",
               "file_size", "modified_at", "is_present", "missing_since"]
@@ -459,6 +461,76 @@ def l5(fx):
     return catalog.read("media").drop("created_at")
 
 
+def _feed_out_of_order(fx, work):
+    """Event files that do not go by time, and a last one that only moves the clock."""
+    fx.events().repartition(5, F.xxhash64("event_id")).write.parquet(f"{work}/events")
+    beat = fx.spark.range(1).select(
+        F.lit(-1).cast("bigint").alias("event_id"), timestamp("2100-01-01 00:00:00").alias("ts"), F.lit("").alias("path"),
+        F.lit("heartbeat").alias("event_kind"), F.lit(False).alias("path_exists"), F.lit(False).alias("is_dir"),
+    )
+    # the file source takes files by their time
+    time.sleep(0.05)
+    beat.coalesce(1).write.mode("append").parquet(f"{work}/events")
+    return stream.read_events(fx.spark, f"{work}/events", per_batch=2)
+
+
+_BURSTS = (
+    _CLASSIFIED
+    + """
+, marked AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM classified WINDOW w AS (PARTITION BY path ORDER BY ts, event_id)),
+numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM marked),
+bursts AS (
+  SELECT path, burst, CASE WHEN bool_or(kind = 'remove') THEN 'remove' ELSE 'upsert' END AS kind, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts
+  FROM numbered GROUP BY path, burst)
+"""
+)
+
+
+@query("L1_debounce_stream", _BURSTS + "SELECT path, kind, n_events, first_ts, last_ts FROM bursts")
+def l1_stream(fx):
+    """Bursts that lie in several files and batches, each passed on once."""
+    work = f"{checkpoint_root(fx.spark)}/settle-{uuid.uuid4().hex}"
+    # as far out of order as the events go, so that nothing is late
+    out = settle.settled(_feed_out_of_order(fx, work), "6 hours", delay="4000 days", keep="1 day")
+    writer = out.writeStream.format("parquet").option("path", f"{work}/settled").option("checkpointLocation", f"{work}/progress")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return fx.spark.read.schema(out.schema).parquet(f"{work}/settled").select("path", "kind", "n_events", "first_ts", "last_ts")
+
+
+def _applied_out_of_order(fx, order):
+    spark, now = fx.spark, timestamp(NOW)
+    work = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    catalog = _fresh_catalog(fx)
+    catalog.commit({"folders": fx.folders(), "media": fx.media()})
+    feed = _feed_out_of_order(fx, work)
+    # events are later than the watermark allows, so bursts are corrected
+    running = stream.run(
+        feed, catalog, [{"rule_no": 1, "path": "/lib"}], now, f"{work}/progress", trigger={"availableNow": True}, printer=_printer, order=order,
+        debounce="6 hours", delay="1 hour", keep="4000 days",
+    )
+    running.awaitTermination()
+    # a file that went after it was printed keeps that print, which batches decide
+    shown = [F.when(F.col("is_present"), F.col(c)).alias(c) for c in ("content_hash", "width", "height", "format", "file_size", "modified_at")]
+    return catalog.read("media").select("id", "folder_id", "relative_path", "absolute_path", "is_present", "missing_since", *shown)
+
+
+_SHOWN = "SELECT id, folder_id, relative_path, absolute_path, is_present, missing_since, " + ", ".join(
+    f"CASE WHEN is_present THEN {c} END AS {c}" for c in ("content_hash", "width", "height", "format", "file_size", "modified_at")
+) + f" FROM ({_APPLIED})"
+
+
+@query("L5_stream_order_latest", _CLASSIFIED + ", collapsed AS (SELECT path, arg_max(kind, (ts, event_id)) AS kind FROM classified GROUP BY path)" + _SHOWN)
+def l5_latest(fx):
+    """Events in any order and batch give what the newest of each path says."""
+    return _applied_out_of_order(fx, "latest")
+
+
+@query("L5_stream_order_bursts", _BURSTS + ", collapsed AS (SELECT path, arg_max(kind, last_ts) AS kind FROM bursts GROUP BY path)" + _SHOWN)
+def l5_bursts(fx):
+    """The same where a remove wins within a burst."""
+    return _applied_out_of_order(fx, "remove_wins")
+
+
 @query(
     "M1_fingerprint_content",
     """

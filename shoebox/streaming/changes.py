@@ -18,8 +18,12 @@ from shoebox.operators import changes, changeset, diff, fingerprint, hierarchy
 from shoebox.plans.ingest import stored
 from shoebox.schemas import CHANGE_EVENTS, MEDIA, timestamp
 from shoebox.sources import filetree
-from shoebox.sources.catalog import Catalog
+from shoebox.sources.catalog import Catalog, StaleCatalog
 from shoebox.sources.imports import with_clean_root
+from shoebox.streaming import settle
+
+# how often a batch is applied anew because another writer has committed meanwhile
+COMMIT_ATTEMPTS = 5
 
 
 def read_events(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
@@ -63,17 +67,25 @@ def apply_batch(
     events: DataFrame, catalog: Catalog, rules: list[dict], now, stream: str, batch: int,
     printer: Callable[[DataFrame], DataFrame] = print_files, order: str = "remove_wins", heif: bool = False,
 ) -> dict:
-    """Apply one batch of events; counts and the folders touched.
+    """Apply one batch of events, as ``apply_changes`` does."""
+    collapsed = changes.collapse(changes.classify(events, heif), order)
+    return apply_changes(collapsed, catalog, rules, now, stream, batch, printer, heif)
+
+
+def apply_changes(
+    collapsed: DataFrame, catalog: Catalog, rules: list[dict], now, stream: str, batch: int,
+    printer: Callable[[DataFrame], DataFrame] = print_files, heif: bool = False,
+) -> dict:
+    """Apply changes ``(path, kind)``, one a path; counts and the folders touched.
 
     Upserts replace or add media rows, removes mark rows missing.  A file that
     cannot be read is counted and left alone.
     """
-    spark = events.sparkSession
+    spark = collapsed.sparkSession
     if catalog.has_batch(stream, batch):
         none = spark.createDataFrame([], "folder_id bigint")
         return {"upserted": 0, "missing": 0, "failed": 0, "folders": none, "replayed": True}
     rules = [with_clean_root(r) for r in rules]
-    collapsed = changes.collapse(changes.classify(events, heif), order)
     resolved = stored(changes.resolve(collapsed, rules), "resolved")
 
     folders = catalog.read("folders")
@@ -135,18 +147,42 @@ def apply_batch(
 def run(
     events: DataFrame, catalog: Catalog, rules: list[dict], now: Column | Callable[[], Column] | None, checkpoint: str, name: str = "changes",
     trigger: dict | None = None, printer: Callable[[DataFrame], DataFrame] = print_files, order: str = "remove_wins",
+    debounce: str | None = None, delay: str = "2 seconds", keep: str = "1 hour", report: Callable[[dict], None] | None = None,
 ):
-    """Start the stream.  The trigger is the debounce: 500 ms of events make one
-    batch unless told otherwise.  Every batch is stamped with the time it is applied at;
-    ``now`` may give the time instead, once for all or, as a function, batch by batch.  A
-    batch that is replayed after its commit changes nothing, stamps included."""
+    """Start the stream.  Without ``debounce`` the trigger is the debounce: 500 ms of
+    events make one batch unless told otherwise, and batches are applied in the order they
+    come.  With it, bursts of events closer together than that are one change whatever
+    batches they come in, and an older event never undoes a newer one (``settle.settled``).
+    Every batch is stamped with the time it is applied at; ``now`` may give the time
+    instead, once for all or, as a function, batch by batch.  A batch that is replayed
+    after its commit changes nothing, stamps included.  Other writers may commit between batches,
+    or during one, which is then applied anew to what they left.  ``report`` gets
+    each batch's counts, those of stale changes among them."""
+    feed = settle.settled(events, debounce, delay, keep, order) if debounce else events
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         if now is None:
             stamp = timestamp(datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
         else:
             stamp = now() if callable(now) else now
-        apply_batch(batch, catalog, rules, stamp, name, batch_id, printer, order)
-
-    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink)
+        stale = 0
+        if debounce:
+            # read twice, and the state behind it must not be run twice
+            batch = stored(batch, "settled")
+            stale = batch.where("stale").count()
+            batch = settle.latest_of_each(batch)
+        else:
+            batch = changes.collapse(changes.classify(batch), order)
+        for attempt in range(1, COMMIT_ATTEMPTS + 1):
+            catalog.refresh()
+            try:
+                done = apply_changes(batch, catalog, rules, stamp, name, batch_id, printer)
+                break
+            except StaleCatalog:
+                if attempt == COMMIT_ATTEMPTS:
+                    raise
+        if report:
+            report({"batch": batch_id, "stale": stale, **{k: done[k] for k in ("upserted", "missing", "failed", "replayed")}})
+
+    writer = feed.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(sink)
     return writer.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
