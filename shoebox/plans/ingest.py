@@ -8,19 +8,24 @@ works on the changed rows only, and the commit writes just those.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.functions import paths
 from shoebox.operators import browse, changeset, diff, fingerprint, hierarchy
+from shoebox.plans.progress import Progress
 from shoebox.schemas import FOLDERS, MEDIA
 from shoebox.session import checkpoint_root
-from shoebox.sources import filetree
+from shoebox.sources import filetree, imports
 from shoebox.sources.catalog import Catalog
 from shoebox.sources.imports import with_clean_root
 
-METRICS = "root string, listed bigint, processed bigint, rejected bigint, restored bigint, missing bigint, unchanged bigint, version bigint"
+METRICS = (
+    "root string, listed bigint, processed bigint, rejected bigint, restored bigint, missing bigint, unchanged bigint, version bigint, "
+    "rejects string, reason string"
+)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -72,11 +77,13 @@ def changed_folders(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(before, "id", "left").where(~F.col("scan_complete").eqNullSafe(F.col("_was"))).select(*new.columns)
 
 
-def media_changes(compared: DataFrame, folders: DataFrame, unlisted: DataFrame, rule: dict, now) -> tuple[DataFrame, DataFrame]:
+def media_changes(
+    compared: DataFrame, folders: DataFrame, unlisted: DataFrame, rule: dict, now, algorithm: str = fingerprint.SHA256, counter=None,
+) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)``: full new media rows for everything that changes."""
     root = rule["path"]
     todo = compared.where(F.col("action").isin("new", "changed"))
-    printed = stored(fingerprint.fingerprint_files(todo.drop("format")), "fingerprints")
+    printed = stored(fingerprint.fingerprint_files(todo.drop("format"), algorithm, counter), "fingerprints")
     good = printed.where(F.col("error").isNull())
     root_id = F.lit(None).cast("bigint")
     fresh = diff.assign_folders(good.where(F.col("action") == "new"), folders, root_id)
@@ -104,9 +111,19 @@ def media_changes(compared: DataFrame, folders: DataFrame, unlisted: DataFrame,
     return rows, printed.where(F.col("error").isNotNull()).select("path", "error")
 
 
-def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: str = "strict", heif: bool = False) -> DataFrame:
-    """Scan one import into the catalogue; a one-row frame of counts."""
-    rule = with_clean_root(rule)
+def scan_import(
+    spark: SparkSession, catalog: Catalog, rule: dict, now, mode: str = "strict", heif: bool = False,
+    algorithm: str = fingerprint.SHA256, progress: Callable[[dict], None] | None = None, every: int = 5_000,
+) -> DataFrame:
+    """Scan one import into the catalogue; a one-row frame of counts.  Its ``rejects`` names
+    a folder with the files that failed and why, null if none did.  ``algorithm`` is the same for
+    all scans of a catalogue.  ``progress`` is told of every ``every`` files while
+    the scan runs (``progress.Progress``)."""
+    with Progress(spark, progress, every) as told:
+        return _scan(spark, catalog, with_clean_root(rule), now, mode, heif, algorithm, told.counters)
+
+
+def _scan(spark, catalog, rule, now, mode, heif, algorithm, counters) -> DataFrame:
     root = rule["path"]
     folders, media = catalog.read("folders"), catalog.read("media")
     # folders finished by an earlier, interrupted scan are not entered again
@@ -116,7 +133,7 @@ def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: st
         below = hierarchy.subtree(folders, here.id).where(F.col("id") != here.id)
         skip = folders.where("scan_complete").join(below, "id", "left_semi").select("path")
     listing, directories = filetree.list_tree(
-        spark, root, rule.get("recursive", True), rule.get("exclude", []), rule.get("include", []), mode, skip, heif
+        spark, root, rule.get("recursive", True), rule.get("exclude", []), rule.get("include", []), mode, skip, heif, counters["listed"]
     )
     new_folders = stored(folders_after(folders, listing, directories, rule, now), "folders")
     # a root that exists but cannot be listed is "failed" and shields its media
@@ -131,22 +148,25 @@ def scan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: st
         listed=~action.isin("absent", "gone"), same=action == "same", restored=action == "restored",
     )
     compared = stored(watched.where(~action.isin("same", "gone")), "diff")
-    rows, rejects = media_changes(compared, new_folders, unlisted, rule, now)
+    rows, rejects = media_changes(compared, new_folders, unlisted, rule, now, algorithm, counters["fingerprinted"])
     changed = stored(changeset.checked_media(rows), "media-changes")
     changeset.check_new_ids(changed, media)
     grown = stored(changed_folders(folders, new_folders), "folder-changes")
     version = catalog.commit(changes={"folders": grown, "media": changed})
     # these read small written tables
     tally = changed.agg(F.count_if("is_present").alias("there"), F.count_if(~F.col("is_present")).alias("gone")).first()
-    failed = rejects.unionByName(listing.where(F.col("error").isNotNull()).select("path", "error")).count()
+    failures = rejects.unionByName(listing.where(F.col("error").isNotNull()).select("path", "error"))
+    folder = f"{checkpoint_root(spark)}/rejects-{uuid.uuid4().hex}"
+    failures.write.parquet(folder)
+    failed = spark.read.schema(failures.schema).parquet(folder).count()
     counts = seen.get
     return spark.createDataFrame(
-        [(root, counts["listed"], tally.there - counts["restored"], failed, counts["restored"], tally.gone, counts["same"], version)],
+        [(root, counts["listed"], tally.there - counts["restored"], failed, counts["restored"], tally.gone, counts["same"], version, folder if failed else None, None)],
         METRICS,
     )
 
 
-def rescan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode: str = "strict", heif: bool = False) -> DataFrame:
+def rescan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, **options) -> DataFrame:
     """Forget which folders are complete, then scan everything; the counts say how many
     folders were ``reset``."""
     rule = with_clean_root(rule)
@@ -156,18 +176,23 @@ def rescan_import(spark: SparkSession, catalog: Catalog, rule: dict, now, mode:
         below = stored(hierarchy.subtree(folders, here.id), "reset")
         reset = folders.where("scan_complete").join(below, "id", "left_semi").count()
         catalog.commit({"folders": stored(hierarchy.set_scan_state(folders, below, False), "folders")})
-    return scan_import(spark, catalog, rule, now, mode, heif).withColumn("reset", F.lit(reset).cast("bigint"))
+    return scan_import(spark, catalog, rule, now, **options).withColumn("reset", F.lit(reset).cast("bigint"))
 
 
 def scan_all(spark: SparkSession, catalog: Catalog, rules: list[dict], now, **options) -> DataFrame:
-    """Scan, in order, the imports that are new or incomplete."""
+    """Scan, in order, the imports that are new or incomplete.  Imports without a path
+    and those that no task can reach are left alone, with a row that says why."""
     rules = [with_clean_root(r) for r in rules]
-    done = {r.path for r in catalog.read("folders").where("scan_complete").join(
-        spark.createDataFrame([(r["path"],) for r in rules], "path string"), "path", "left_semi").select("path").collect()}
-    reports = [scan_import(spark, catalog, rule, now, **options) for rule in rules if rule["path"] not in done]
-    total = spark.createDataFrame([], METRICS)
-    for report in reports:
-        total = total.unionByName(report)
+    named = spark.createDataFrame([(n, r["path"]) for n, r in enumerate(rules)], "n int, path string")
+    found = filetree.existing_dirs(named.where("path <> ''"))
+    good, bad = imports.reachable(named, found)
+    reasons = {r.n: r.reason for r in bad.collect()}
+    # one row per import, and those came from the driver
+    asked = {r.n for r in imports.needing_scan(good, catalog.read("folders")).collect()}
+    total = spark.createDataFrame([(rules[n]["path"], *[None] * 8, why) for n, why in sorted(reasons.items())], METRICS)
+    for n, rule in enumerate(rules):
+        if n in asked:
+            total = total.unionByName(scan_import(spark, catalog, rule, now, **options))
     return total
 
 

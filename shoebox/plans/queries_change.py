@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from shoebox.functions import paths
 from shoebox.operators import annotate, changes, changeset, diff, fingerprint, hierarchy
 from shoebox.plans import annotation, ingest
 from shoebox.plans.ingest import stored
@@ -15,6 +16,7 @@ from shoebox.plans.queries_browse import LIBRARY, RULES, SCOPE, SUBTREE, SUMMARY
 from shoebox.plans.registry import query
 from shoebox.schemas import timestamp
 from shoebox.session import checkpoint_root, checkpointed
+from shoebox.sources import filetree
 from shoebox.sources.fixtures import NOW
 from shoebox.streaming import changes as stream
 from shoebox.streaming import settle
@@ -600,3 +602,55 @@ def i17_ingest(fx):
     again = ingest.rescan_import(spark, catalog, rule, now).first()
     media = catalog.read("media").select("relative_path", "file_size", "content_hash", "width", "height", "format", "is_present")
     return media.withColumn("unchanged", F.lit(again.unchanged))
+
+
+_TREE_PIECE, _TREE_CHILDREN = 700, 4
+
+
+@query(
+    "M1_tree_hash",
+    f"""
+    , body AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
+    node AS (
+      SELECT doc_id, 0 AS level, i AS no, greatest((strlen(h) // 2 + {_TREE_PIECE - 1}) // {_TREE_PIECE}, 1) AS n,
+             sha256(unhex('00' || substr(h, 2 * {_TREE_PIECE} * i + 1, 2 * {_TREE_PIECE}))) AS digest
+      FROM (SELECT *, unnest(range(greatest((strlen(h) // 2 + {_TREE_PIECE - 1}) // {_TREE_PIECE}, 1))) AS i FROM body)
+      UNION ALL
+      SELECT doc_id, level + 1, no // {_TREE_CHILDREN}, (n + {_TREE_CHILDREN - 1}) // {_TREE_CHILDREN}, sha256(unhex('01' || string_agg(digest, '' ORDER BY no)))
+      FROM node WHERE n > 1 GROUP BY doc_id, level, no // {_TREE_CHILDREN}, n)
+    SELECT concat('d', doc_id % 5, '/', doc_id, '.png') AS relative_path, CAST(strlen(h) // 2 AS BIGINT) AS file_size, digest AS content_hash,
+           CAST(NULL AS INTEGER) AS width
+    FROM node JOIN body USING (doc_id) WHERE n = 1
+    """,
+)
+def m1_tree(fx):
+    """Texts of very unequal length as files, scanned with the hash that several tasks share."""
+    spark, now = fx.spark, timestamp(NOW)
+    root = re.sub("^file:/+", "/", f"{checkpoint_root(spark)}/files-{uuid.uuid4().hex}")
+    n = F.col("doc_id")
+    name = F.concat(F.lit(f"{root}/d"), (n % 5).cast("string"), F.lit("/"), n.cast("string"), F.lit(".png"))
+    files = fx.table("documents").select(name.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    files.repartition("path").mapInPandas(_write_files, "n bigint").agg(F.sum("n")).collect()
+    listing, _ = filetree.list_tree(spark, root)
+    found = fingerprint.fingerprint_files(listing.drop("error"), fingerprint.TREE, piece=_TREE_PIECE, children=_TREE_CHILDREN)
+    return found.select(paths.relative_to("path", F.lit(root)).alias("relative_path"), F.col("size").alias("file_size"), "content_hash", "width")
+
+
+@query(
+    "A8_scan_all",
+    """
+    SELECT concat('d', page_id % 2) AS import, count(*) AS processed, CAST(NULL AS VARCHAR) AS reason FROM pages GROUP BY 1
+    UNION ALL SELECT 'gone', NULL, 'not reachable' UNION ALL SELECT '', NULL, 'no path configured'
+    """,
+)
+def a8_scan_all(fx):
+    """Pages as the files of two imports, scanned beside one without a path and one that is not there."""
+    spark, now = fx.spark, timestamp(NOW)
+    root = re.sub("^file:/+", "/", f"{checkpoint_root(spark)}/files-{uuid.uuid4().hex}")
+    n = F.col("page_id")
+    name = F.concat(F.lit(f"{root}/d"), (n % 2).cast("string"), F.lit("/"), n.cast("string"), F.lit(".gif"))
+    files = fx.table("pages").select(name.alias("path"), F.encode("html", "UTF-8").alias("content"))
+    files.repartition("path").mapInPandas(_write_files, "n bigint").agg(F.sum("n")).collect()
+    rules = [{"path": p} for p in ("", f"{root}/gone", *(f"{root}/d{k}" for k in range(2)))]
+    report = ingest.scan_all(spark, _fresh_catalog(fx), rules, now)
+    return report.select(F.regexp_replace("root", "^.*/", "").alias("import"), "processed", "reason")

@@ -59,7 +59,19 @@ def _scan_directories(batches):
             yield frame(rows)
 
 
-def stat_files(batches):
+def existing_dirs(folders: DataFrame) -> DataFrame:
+    """Those of ``folders(path)`` that a task can see."""
+
+    def seen(batches):
+        import os
+
+        for pdf in batches:
+            yield pdf[[os.path.isdir(p) for p in pdf["path"]]]
+
+    return folders.select("path").mapInPandas(seen, "path string")
+
+
+def stat_files(batches, counter=None):
     import os
 
     import pandas as pd
@@ -75,6 +87,9 @@ def stat_files(batches):
                     rows.append((path, False, found.st_size, seconds, None))
             except OSError as problem:
                 rows.append((path, False, None, None, str(problem)))
+        if counter is not None:
+            counter[0].add(len(rows))
+            counter[1].add(sum(r[2] or 0 for r in rows))
         yield pd.DataFrame(rows, columns=["path", "is_dir", "size", "mtime_s", "error"]).astype(
             {"size": "Int64", "mtime_s": "Int64"}
         )
@@ -86,7 +101,7 @@ def _tasks(spark: SparkSession, n: int, per_task: int) -> int:
 
 def list_tree(
     spark: SparkSession, root: str, recursive: bool = True, exclude=(), include=(), mode: str = "strict",
-    skip: DataFrame | None = None, heif: bool = False,
+    skip: DataFrame | None = None, heif: bool = False, counter=None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(listing, directories)`` of an import.
 
@@ -94,7 +109,8 @@ def list_tree(
     ``error`` for those that could not be read.  ``directories(path, status)``
     says for each directory met whether it was listed, failed, excluded or
     skipped because ``skip(path)`` names it.  Rejected directories are never
-    opened.  The root is always admitted.
+    opened.  The root is always admitted.  ``counter`` is a pair of accumulators, of files
+    and of bytes.
     """
     work = f"{checkpoint_root(spark)}/listing-{uuid.uuid4().hex}"
     frontier = spark.createDataFrame([(root,)], "path string")
@@ -137,7 +153,7 @@ def list_tree(
     # the files of one huge directory are shared out as well
     listing = (
         files.repartition(_tasks(spark, n_files, FILES_PER_TASK), "path")
-        .mapInPandas(stat_files, STAT_SCHEMA)
+        .mapInPandas(lambda batches: stat_files(batches, counter), STAT_SCHEMA)
         .withColumn("mtime", times.from_epoch(F.col("mtime_s")))
         .select("path", "is_dir", "size", "mtime", "error")
     )

@@ -95,7 +95,7 @@ def test_image_headers(spark, tmp_path):
         "f.tiff": (tiff, (11, 12)), "g.avif": (b"x" * 64, (None, None)), "h.png": (jpeg, (None, None)), "i.gif": (b"", (None, None)),
     }
     rows = [(put(str(tmp_path), n, c), len(c)) for n, (c, _) in samples.items()] + [(str(tmp_path / "none.png"), 0)]
-    got = {os.path.basename(r.path): r for r in fingerprint.fingerprint_files(spark.createDataFrame(rows, "path string, size bigint"), tasks=3).collect()}
+    got = {os.path.basename(r.path): r for r in fingerprint.fingerprint_files(spark.createDataFrame(rows, "path string, size bigint")).collect()}
     assert {n: (got[n].width, got[n].height) for n in samples} == {n: d for n, (_, d) in samples.items()}
     assert got["none.png"].error and got["none.png"].content_hash is None
     assert got["b.jpg"].format == "jpeg" and got["h.png"].format == "png"
