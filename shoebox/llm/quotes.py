@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from shoebox.llm.common import stored
 from shoebox.operators.skew import with_position
 
-PREFIX = r"^(?:[ \t]*>)+"
+PREFIX = r"^[ \t>]*>"
 ATTRIBUTION = r"(?i)^[ \t]*(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió) ?:[ \t]*$"
 # a single line links by itself only if it has this many words
 LEAST_WORDS = 3
+# where a sentence ends within a run of lines
+SENTENCE_END = r"(?<=[.!?…。！？])[\"'”’»)\]]*(?:\s+|(?<=[。！？]))"
 
 
 def normalised(text: Column) -> Column:
@@ -44,16 +46,20 @@ def lines(messages: DataFrame) -> DataFrame:
 
 def passages(parsed: DataFrame) -> DataFrame:
     """``(conv_id, turn, print, level, hash)``: hashes of each run of lines of one level
-    (blank lines part runs) and of each line of some length."""
+    (blank lines part runs), and of each line and each sentence of some length, so that a
+    part of a paragraph links however its lines are broken."""
     own = Window.partitionBy("conv_id", "turn", "print").orderBy("pos")
     worded = parsed.where("level >= 0").withColumn("words", normalised(F.col("content")))
     blank = F.col("words") == ""
     starts = blank | (F.lag("level").over(own) != F.col("level")) | (F.lag("words").over(own) == "") | F.lag("level").over(own).isNull()
     numbered = worded.withColumn("run", F.sum(starts.cast("int")).over(own)).where(~blank)
-    runs = numbered.groupBy("conv_id", "turn", "print", "level", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("l"))
+    runs = numbered.groupBy("conv_id", "turn", "print", "level", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "words", "content"))).alias("l"))
     whole = runs.select("conv_id", "turn", "print", "level", _hash(F.concat_ws(" ", F.col("l.words"))).alias("hash"))
     single = numbered.where(F.size(F.split("words", " ")) >= LEAST_WORDS).select("conv_id", "turn", "print", "level", _hash(F.col("words")).alias("hash"))
-    return whole.unionByName(single).distinct()
+    sentences = runs.select("conv_id", "turn", "print", "level", F.explode(F.split(F.concat_ws(" ", F.col("l.content")), SENTENCE_END)).alias("content"))
+    worded = sentences.withColumn("words", normalised(F.col("content"))).where(F.size(F.split("words", " ")) >= LEAST_WORDS)
+    part = worded.select("conv_id", "turn", "print", "level", _hash(F.col("words")).alias("hash"))
+    return whole.unionByName(single).unionByName(part).distinct()
 
 
 def reply_links(units: DataFrame) -> DataFrame:

@@ -47,3 +47,74 @@ def test_nulls_ties_repeats_and_empty(spark):
     assert [(r[4], r[7]) for r in got if r[0] is None] == [(None, "")]
     assert [r[7] for r in got if r[0] == 2] == [None, "", ""]
     assert run(spark, []) == []
+
+
+def test_parts_of_paragraphs(spark):
+    rows = [
+        (1, 0, "a", "We should meet at noon. The lake is frozen over! Bring your skates, please."),
+        (1, 1, "b", "A different remark about dinner plans."),
+        (1, 2, "c", "> The lake is\n> frozen over!\nIt is indeed."),
+        (1, 3, "d", "> dinner plans.\nToo few words to link."),
+        (1, 4, "e", ">> We should meet at noon. The\n>> lake is frozen over!\n> It is indeed.\nGood."),
+    ]
+    assert [(r[1], r[4]) for r in sorted(run(spark, rows), key=lambda r: r[1])] == [(0, None), (1, None), (2, 0), (3, None), (4, 2)]
+
+
+def plain_links(rows):
+    """Reply targets of (turn, text) rows of one conversation, passage by passage."""
+    import re
+
+    def words(text):
+        return re.sub(r"[^\w]+|_", " ", text.lower()).strip()
+
+    def units(text):
+        found, run = [], []
+        for line in [*text.split("\n"), None]:
+            mark = re.match(r"[ \t>]*>", line or "")
+            level = mark.group().count(">") if mark else 0
+            content = line[mark.end() :] if mark else line
+            new = line is None or not words(content) or (run and run[0][0] != level)
+            if new and run:
+                joined = " ".join(c for _, c in run)
+                whole = [words(joined)]
+                parts = [words(c) for _, c in run] + [words(s) for s in re.split(r"(?<=[.!?])\s+", joined)]
+                found += [(run[0][0], u) for u in whole + [p for p in parts if len(p.split()) >= 3]]
+                run = []
+            if line is not None and words(content):
+                run.append((level, content))
+        return set(found)
+
+    own, out = [units(t) for _, t in rows], []
+    for k, _ in enumerate(rows):
+        best = {}
+        for level, u in own[k]:
+            origin = min((j for j in range(len(rows)) if (0, u) in own[j]), default=None)
+            if level and origin is not None and origin < k:
+                best[level] = max(best.get(level, -1), origin)
+        out.append(best[min(best)] if best else None)
+    return out
+
+
+def test_against_a_plain_linker(spark):
+    import random
+
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(30)]
+    for conversation in range(4):
+        rows = []
+        for turn in range(14):
+            text = ["".join(f"{' '.join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 5)))}{rng.choice(['.', '?', ','])} " for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 3))]
+            for _ in range(rng.randrange(3)):
+                if rows:
+                    source = rng.choice(rows)[1].split("\n")
+                    low = rng.randrange(len(source))
+                    text[0:0] = ["> " + line for line in source[low : low + rng.randrange(1, 3)]] + rng.choice([[], [""]])
+            rows.append((turn, "\n".join(text)))
+        got = run(spark, [(conversation, t, "u", text) for t, text in rows])
+        assert [r[4] for r in sorted(got, key=lambda r: r[1])] == plain_links(rows)
+
+
+def test_very_long_quote_marks(spark):
+    rows = [(1, 0, "a", "said before this one"), (1, 1, "b", ">" * 10**6 + " said before this one\nyes"), (1, 2, "c", " \t" * 300_000 + "x > y")]
+    got = {r[1]: r for r in run(spark, rows)}
+    assert (got[1][3], got[1][4], got[1][7]) == (10**6, 0, "yes") and got[2][3] == 0
