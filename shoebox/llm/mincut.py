@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from shoebox.llm.common import fresh, small_batches
 
-_RAW = "script|style|noscript|template|svg|iframe|object|title|textarea|select|button|canvas|audio|video|map|datalist"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+# elements whose insides are not text of the page; of these, what is not markup inside
+RAW = frozenset("script style noscript template svg iframe object title textarea select button canvas audio video map datalist".split())
+RAW_TEXT = frozenset("script style iframe title textarea".split())
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STOP = re.compile(r"[>\"']")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|/|$|=)", re.I)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[a-z]+")
 _CUE = re.compile(
@@ -58,6 +59,14 @@ ENDS = {
 }
 
 
+# names that say something only alone, at the end of a name, or before a word for a part of a page
+AMBIGUOUS = frozenset("share search social related notice alert skip tags form reply replies login signup banner popup widget discussion".split())
+PARTS = frozenset(
+    "area bar block body bottom box btn button buttons container content footer form group header heading holder icons inner inline item items left link links list menu "
+    "module nav outer panel posts right section stories title tool toolbar tools top widget widgets wrap wrapper".split()
+)
+
+
 @dataclass(slots=True)
 class Element:
     tag: str
@@ -68,6 +77,9 @@ class Element:
     heading: bool
     linked: bool
     depth: int
+    # nearest element that is not inline, and the open inline tags within that
+    block: Element | None = None
+    inside: dict | None = None
 
 
 @dataclass(slots=True)
@@ -88,7 +100,10 @@ def _said(value: str) -> tuple[bool, bool]:
         words = _NAME.findall(name)
         if not words or words[-1] in DENIED_AFTER:
             continue
-        known = [w for k, w in enumerate(words) if not (k and words[k - 1] in DENIED_BEFORE)]
+        known = [
+            w for k, w in enumerate(words)
+            if not (k and words[k - 1] in DENIED_BEFORE) and not (w in AMBIGUOUS and k + 1 < len(words) and words[k + 1] not in PARTS)
+        ]
         fine = any(w in CONTENT_NAMES for w in known)
         # a compound such as post-comments or sidebar-content is boilerplate; post-header holds the title
         poor = any(w in BOILERPLATE_NAMES and not (fine and w in ("header", "heading")) for w in known)
@@ -103,8 +118,8 @@ def _kind(tag: str, attributes: str, inside: int) -> int:
     if tag in BOILERPLATE_TAGS:
         return -1
     good = bad = False
-    if "=" in attributes or "hidden" in attributes:
-        if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
+    if "=" in attributes or "hidden" in attributes.lower():
+        if _HIDDEN.search(_QUOTED.sub("", attributes)):
             return -1
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
@@ -121,23 +136,67 @@ def _kind(tag: str, attributes: str, inside: int) -> int:
     return int(good) - int(bad)
 
 
+def _markup(page: str, resume: list[int]):
+    """``(start, end, closing, tag, attributes)`` of all markup in order; comments and
+    declarations have no tag.  What never ends is text.  Every part of the page is looked at a
+    bounded number of times, however broken it is.  The caller may skip ahead by ``resume``."""
+    last = page.rfind(">")
+    dead: set[int] = set()  # places outside quotes from which no tag ends
+    at = 0
+    while found := _OPEN.search(page, max(at, resume[0])):
+        start, at = found.span()
+        comment, declared, closing, tag = found.groups()
+        if comment:
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, False, None, ""
+        elif start > last:
+            continue
+        elif declared:
+            at = page.find(">", at) + 1
+            yield start, at, False, None, ""
+        else:
+            place, seen = at, []
+            while place not in dead:
+                seen.append(place)
+                stop = _STOP.search(page, place)
+                if stop is None or stop.group() == ">":
+                    break
+                quote = page.find(stop.group(), stop.end())
+                if quote < 0:
+                    stop = None
+                    break
+                place = quote + 1
+            else:
+                stop = None
+            if stop is None:
+                # a quote that is never closed does not keep a tag open
+                dead.update(seen)
+                end = page.find(">", at)
+            else:
+                end = stop.start()
+            attributes, at = page[at:end], end + 1
+            yield start, at, bool(closing), tag.lower(), attributes
+
+
 def parse(page: str) -> list[Block]:
     """Text blocks of a page in order; markup that is not closed ends with its parent."""
     root = Element("", None, 0, None, False, False, 0)
+    root.block, root.inside = root, {}
     node, blocks = root, []
     pieces: list[str] = []
     links = breaks = 0
     start = at = 0
+    resume = [0]
+    opened: Counter = Counter()  # open elements that are not inline, by tag
+    unclosed: set[str] = set()  # raw tags that are not closed any more
 
     def flush():
         nonlocal pieces, links, breaks
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                owner = node
-                while owner.tag in INLINE:
-                    owner = owner.parent
-                blocks.append(Block(owner, text, start, min(links, len(text))))
+                blocks.append(Block(node.block, text, start, min(links, len(text))))
         pieces, links, breaks = [], 0, 0
 
     def add(text: str, where: int):
@@ -151,15 +210,33 @@ def parse(page: str) -> list[Block]:
         if text:
             pieces.append(text)
 
-    for match in _TOKEN.finditer(page):
-        add(page[at : match.start()], at)
-        at = match.end()
-        raw, close, tag, attributes, close2, tag2, attributes2 = match.groups()
-        if raw is not None:
-            if raw.lower() not in INLINE:
-                pieces.append(" ")
+    def leave(to: Element):
+        """Closes all up to and without ``to``."""
+        nonlocal node
+        while node is not to:
+            if node.tag in INLINE:
+                node.inside[node.tag] -= 1
+            else:
+                opened[node.tag] -= 1
+            node = node.parent
+
+    for begin, end, closing, tag, attributes in _markup(page, resume):
+        add(page[at:begin], at)
+        at = end
+        if tag in RAW and not closing:
+            pieces.append(" ")
+            if tag == "svg" and attributes.endswith("/"):
+                continue
+            close = None if tag in unclosed else re.compile(rf"</{tag}\s*>", re.I).search(page, end)
+            if close:
+                at = resume[0] = close.end()
+            elif tag in RAW_TEXT:
+                at = resume[0] = len(page)
+            else:
+                # not closed: it ends with its parent, and its text with it
+                unclosed.add(tag)
             continue
-        tag = (tag or tag2 or "").lower()
+        tag = tag or ""
         if not tag:
             continue
         if tag == "br":
@@ -171,36 +248,37 @@ def parse(page: str) -> list[Block]:
         inline = tag in INLINE
         if not inline:
             flush()
-        if close or close2:
-            seek = node
-            while seek.parent is not None and seek.tag != tag:
-                # a closing inline tag does not reach out of its block
-                if inline and seek.tag not in INLINE:
-                    break
-                seek = seek.parent
-            if seek.parent is not None and seek.tag == tag:
-                node = seek.parent
+        if closing:
+            # a closing inline tag does not reach out of its block
+            if (node.inside if inline else opened).get(tag, 0) > 0:
+                seek = node
+                while seek.tag != tag:
+                    seek = seek.parent
+                leave(seek.parent)
             continue
         if not inline:
             # a block ends an open paragraph, and some tags end their like
-            seek = node
-            while seek.tag in INLINE:
-                seek = seek.parent
-            if seek.tag == "p":
-                node = seek.parent
-            if tag in ENDS:
-                like, holders = ENDS[tag]
-                seek = node
+            if node.block.tag == "p":
+                leave(node.block.parent)
+            like, holders = ENDS.get(tag, ((), ()))
+            if any(opened[t] for t in like):
+                seek = node.block
                 while seek.parent is not None and seek.tag not in holders:
                     if seek.tag in like:
-                        node = seek.parent
+                        leave(seek.parent)
                         break
-                    seek = seek.parent
-        if tag in VOID or (attributes or attributes2 or "").endswith("/") and tag not in ("p", "div", "a", "span"):
+                    seek = seek.parent.block
+        if tag in VOID or attributes.endswith("/") and tag not in ("p", "div", "a", "span"):
             continue
-        said = 0 if tag in ("html", "body") else _kind(tag, attributes or attributes2 or "", node.kind)
+        said = 0 if tag in ("html", "body") else _kind(tag, attributes, node.kind)
         child = Element(tag, node, said or node.kind, None, node.heading or tag in HEADINGS, node.linked or tag == "a", node.depth + 1)
         child.teller = child if said else node.teller
+        if inline:
+            child.block, child.inside = node.block, node.inside
+            child.inside[tag] = child.inside.get(tag, 0) + 1
+        else:
+            child.block, child.inside = child, {}
+            opened[tag] += 1
         node = child
     add(page[at:], at)
     flush()

@@ -121,3 +121,32 @@ def test_pages(spark):
     assert [t for i, t, _ in found if i in (2, 3, 4)] == ["", "", ""]
     assert [n for i, _, n in found if i == 0] == [5 * 30000 + 4]
     assert mincut.extract(df.limit(0)).count() == 0
+
+
+PARAGRAPH = "<p>This is a long enough paragraph of article text, and it has a second clause. It also has another sentence.</p>"
+
+
+def test_article_text_is_not_lost():
+    text = PARAGRAPH[3:-4]
+    for page in (
+        f"<article class='box hidden md:block'>{PARAGRAPH}</article>", f"<article title='The hidden cost'>{PARAGRAPH}</article>",
+        f"<article data-title=\"a hidden world\">{PARAGRAPH}</article>", f"<article><svg class='i'/>{PARAGRAPH}</article>", f"<article><button>{PARAGRAPH}</article>",
+        f"<article><title-bar>{PARAGRAPH}</title-bar></article>", f"<article><script>if (a<b && c == \"'\") x = '<p class=\"';</script>{PARAGRAPH}</article>",
+    ):
+        assert mincut.main_text(page) == text, page
+    for name in ("share-price", "search-results", "notice-period", "social-history", "tags-explained"):
+        assert mincut.main_text(f"<div class='{name}'>{PARAGRAPH}{PARAGRAPH}</div>") == f"{text}\n{text}", name
+    for page in (f"<article hidden>{PARAGRAPH}</article>", f"<div class='share-buttons'>{PARAGRAPH}</div>", f"<article><script>{PARAGRAPH}</article>", f"<div class='search'>{PARAGRAPH}</div>"):
+        assert mincut.main_text(page) == "", page
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for page in (
+        "<a " * 350_000, "<b>" * 170_000 + "x</p>" * 170_000, "<a \">" * 200_001, "<a '\">" * 150_001, "<button>" * 120_000, "<b>" * 100_000 + "<div></div>" * 60_000,
+        "<div>" * 100_000 + "<li></li>" * 60_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<!-" * 300_000, "<" * 10**6, "<svg>" * 200_000,
+    ):
+        begun = time.process_time()
+        mincut.main_text(page)
+        assert time.process_time() - begun < 15, page[:20]
