@@ -4,6 +4,7 @@ import corpus_pipeline
 import __spark_entry__ as entry
 from shoebox.llm import langid
 from tests.llm import plain
+from tests.llm.test_near_copies import least_ids
 
 DATA = "/root/testdata/sf0.001"
 
@@ -24,13 +25,7 @@ def test_stages(spark):
         if name == "language":
             assert {r.doc_id for r in rows} - {r.doc_id for r in left} == {10**6, 10**6 + 1}
         elif name == "simhash":
-            prints = [plain.fingerprint(r.text) for r in rows]
-            near = [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2]
-            group = plain.roots(range(len(rows)), near)
-            least = {}
-            for k, r in enumerate(rows):
-                least[group[k]] = min(least.get(group[k], r.doc_id), r.doc_id)
-            assert sorted(r.doc_id for r in left) == sorted(least.values())
+            assert sorted(str(r.doc_id) for r in left) == least_ids(rows)
         elif name == "decontaminate":
             assert sorted(r.doc_id for r in left) == sorted(r.doc_id for r in rows if not plain.contamination(r.text, items)[1])
         else:
@@ -43,6 +38,6 @@ def test_stages(spark):
 
 def test_registered():
     found = entry.queries()
-    assert {n.split("_")[0] for n in found if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)} and found["pipeline"] is corpus_pipeline.run
-    assert {"op4_subspace", "op6_decontaminate", "op7_mix", "op10_licenses"} <= set(entry.oracle_sql())
+    assert {n.split("_")[0] for n in found if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)} and found["pipeline"] is corpus_pipeline.run
+    assert {"op4_subspace", "op6_decontaminate", "op7_mix", "op10_licenses", "op11_manifest", "op12_resample"} <= set(entry.oracle_sql())
     assert langid.NOTHING == "und"
