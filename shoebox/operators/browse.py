@@ -182,3 +182,22 @@ def page_of_folder(media: DataFrame, folder_id: int, after_id: int | None, size:
 
 def page_of_subtree(media: DataFrame, tree: DataFrame, folder_id: int, after_id: int | None, size: int) -> DataFrame:
     return media_files(in_subtree(_after(media, after_id), tree, folder_id)).orderBy("id").limit(size)
+
+
+def count_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(folder_id, n)``: by how much the number of media of a folder changes, from the
+    rows that changed as they were and as they are.  Folders that keep theirs are absent."""
+    held = lambda rows, sign: rows.select("folder_id", F.lit(sign).cast("bigint").alias("n"))
+    signed = held(before, -1).unionByName(held(after, 1))
+    return signed.groupBy("folder_id").agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def counts_after(counts: DataFrame, changes: DataFrame, tree: DataFrame | None = None) -> DataFrame:
+    """Counts ``(folder_id, n)`` brought up to date by signed ``changes``; media are not read.
+    With a closure they are counts of folders with all below, and a change counts for every
+    folder above.  Folders left without media are dropped."""
+    if tree is not None:
+        up = tree.join(changes, "folder_id").select(F.col("ancestor_id").alias("folder_id"), "n")
+        changes = up.groupBy("folder_id").agg(F.sum("n").alias("n"))
+    both = counts.select("folder_id", "n").unionByName(changes.select("folder_id", "n"))
+    return both.groupBy("folder_id").agg(F.sum("n").alias("n")).where("n <> 0")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import paths
 from shoebox.operators.skew import lookup_join
+from shoebox.session import checkpointed
 
 
 def closure(folders: DataFrame) -> DataFrame:
@@ -21,8 +22,13 @@ def closure(folders: DataFrame) -> DataFrame:
     The path of an import root is a prefix of every folder below it, hence the
     hot-key join.  The window groups are bounded by the depth of a path.
     """
+    return _climbing(folders, folders)
+
+
+def _climbing(some: DataFrame, folders: DataFrame) -> DataFrame:
+    """The closure's rows of ``some`` of the folders."""
     prefixes = F.posexplode(F.reverse(paths.ancestor_paths("path"))).alias("depth", "path")
-    up = folders.select(F.col("id").alias("folder_id"), prefixes)
+    up = some.select(F.col("id").alias("folder_id"), prefixes)
     lookup = folders.select("path", F.col("id").alias("ancestor_id"), F.col("parent_id").isNull().alias("is_root"))
     pairs = lookup_join(up, lookup, "path", "inner", ["folder_id"])
     nearest_root = F.min(F.when(F.col("is_root"), F.col("depth"))).over(Window.partitionBy("folder_id"))
@@ -33,6 +39,50 @@ def closure(folders: DataFrame) -> DataFrame:
     )
 
 
+def closure_after(tree: DataFrame, folders: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    """The closure ``tree`` brought up to date with a change of folders.
+
+    ``gone`` and ``new`` are the folder rows that left and came (a row that changes its
+    path or parent is in both), ``folders`` the table as it is now.  Only folders at or below
+    a path that changed climb anew; the rest of the table is read for its paths and of the
+    old closure what they had is dropped, without a shuffle while the change is small.
+    """
+    changed = gone.select("path").unionByName(new.select("path")).distinct()
+    below = folders.select("id", F.explode(paths.ancestor_paths("path")).alias("path")).join(changed, "path", "left_semi")
+    below = below.select("id").distinct()
+    stale = below.unionByName(gone.select("id")).select(F.col("id").alias("folder_id")).distinct()
+    moved = folders.join(below, "id", "left_semi")
+    return tree.join(stale, "folder_id", "left_anti").select(*tree.columns).unionByName(_climbing(moved, folders).select(*tree.columns))
+
+
+def climbed(folders: DataFrame) -> DataFrame:
+    """``(folder_id, root_id, depth)`` by following ``parent_id``, however deep the tree.
+
+    Every round a folder's pointer becomes that of the folder it points to, so a chain of
+    n folders takes about log2(n) rounds; folders whose pointer has reached a root rest.  A
+    parent that does not exist gives a null root, and a cycle fails with the name of a folder on
+    or below it.  Rounds are written to the shared checkpoint folder.
+    """
+    root = F.col("parent_id").isNull()
+    start = folders.select(
+        F.col("id").alias("folder_id"), F.coalesce("parent_id", "id").alias("at"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), root.alias("done"),
+    )
+    state, reach, n = checkpointed(start), 1, folders.count()
+    while True:
+        open_ = state.where(~F.col("done"))
+        if open_.isEmpty():
+            return state.select("folder_id", F.col("at").alias("root_id"), "depth")
+        if reach > 2 * n:
+            looped = folders.join(open_.select(F.col("folder_id").alias("id")), "id", "left_semi").agg(F.min("path")).first()[0]
+            raise ValueError(f"the parents of {looped} form a cycle")
+        ahead = state.select(F.col("folder_id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        moved = open_.join(ahead, "at", "left").select(
+            "folder_id", F.col("_at").alias("at"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_done", F.lit(True)).alias("done"),
+        )
+        state = checkpointed(moved.unionByName(state.where("done")))
+        reach *= 2
+
+
 def closure_recursive(folders: DataFrame) -> DataFrame:
     """The same relation by following ``parent_id``; a parent cycle fails at the
     recursion limit instead of running on."""

@@ -575,3 +575,30 @@ def g4(fx):
 @query("G6_all_folders_by_path", "SELECT id, path, row_number() OVER (ORDER BY path) AS position FROM fx_tree")
 def g6(fx):
     return with_position(browse.all_folders(fx.tree_keys()).select("id", "path"), [F.col("path")])
+
+
+_COUNTED_AFTER = """
+, after AS (
+  SELECT folder_id FROM fx_media WHERE is_present
+  UNION ALL SELECT f.id FROM fx_listing l JOIN fx_tree f ON f.path = regexp_replace(l.path, '/[^/]*$', '') WHERE l.path NOT IN (SELECT absolute_path FROM fx_media))
+"""
+
+
+@query(
+    "F2_counts_maintained",
+    _COUNTED_AFTER + """
+    SELECT folder_id, 'own' AS scope, count(*) AS n FROM after GROUP BY folder_id
+    UNION ALL SELECT ancestor_id, 'below', count(*) FROM after JOIN fx_closure USING (folder_id) GROUP BY ancestor_id
+    """,
+)
+def f2_maintained(fx):
+    """Counts of all folders after missing media are purged and new files come, from the
+    rows that went and came."""
+    media, tree = fx.media(), hierarchy.closure(fx.tree_keys())
+    own, below = browse.counts_by_folder(media), browse.counts_by_subtree(media, tree)
+    purged = media.where(~F.col("is_present"))
+    new = fx.listing().join(media.select(F.col("absolute_path").alias("path")), "path", "left_anti")
+    placed = diff.assign_folders(new, fx.tree_keys(), F.lit(LIBRARY).cast("bigint"))
+    for change in (browse.count_changes(purged, purged.limit(0)), browse.count_changes(placed.limit(0), placed)):
+        own, below = browse.counts_after(own, change), browse.counts_after(below, change, tree)
+    return own.withColumn("scope", F.lit("own")).unionByName(below.withColumn("scope", F.lit("below")))

@@ -267,3 +267,36 @@ def j11(fx):
         .when(p == "5-LOW", "text").otherwise(F.concat(F.lit("vector:x"), n))
     )
     return fx.table("orders").select("o_orderkey", text.parse_kind(raw).alias("k")).select("o_orderkey", "k.kind", "k.dims")
+
+
+@query("H1_climbed", "SELECT folder_id, arg_max(ancestor_id, depth) AS root_id, max(depth) AS depth FROM fx_closure GROUP BY folder_id")
+def h1_climbed(fx):
+    """Roots and depths by doubling pointers."""
+    return hierarchy.climbed(fx.tree_keys())
+
+
+_TREE_AFTER = """
+, after AS (
+  SELECT t.id, CASE WHEN t.id >= 1000 AND t.id % 5 = 1 THEN n.parent_id ELSE t.parent_id END AS parent_id
+  FROM fx_tree t LEFT JOIN fx_tree n ON n.id = t.parent_id WHERE NOT (t.id >= 1000 AND t.id % 7 = 0)
+  UNION ALL SELECT 50000000 + id, id FROM fx_tree WHERE parent_id = 1),
+climb AS (
+  SELECT id AS ancestor_id, id AS folder_id, 0 AS depth FROM after
+  UNION ALL
+  SELECT f.parent_id, c.folder_id, c.depth + 1 FROM climb c JOIN after f ON f.id = c.ancestor_id WHERE f.parent_id IS NOT NULL)
+"""
+
+
+@query("D1_closure_maintained", _TREE_AFTER + "SELECT ancestor_id, folder_id, CAST(depth AS INTEGER) AS depth FROM climb")
+def d1_maintained(fx):
+    """A closure after folders went, moved up one level, and came."""
+    tree = fx.tree_keys()
+    customer = F.col("id") >= 1000
+    gone, moves = customer & (F.col("id") % 7 == 0), customer & (F.col("id") % 5 == 1) & (F.col("id") % 7 != 0)
+    above = tree.select(F.col("id").alias("parent_id"), F.col("parent_id").alias("_up"))
+    top = F.regexp_replace("path", "/[^/]+/([^/]+)$", "/$1")
+    moved = tree.where(moves).join(above, "parent_id").select("id", F.col("_up").alias("parent_id"), top.alias("path"))
+    made = tree.where("parent_id = 1").select((F.col("id") + 50000000).alias("id"), F.col("id").alias("parent_id"), F.concat("path", F.lit("/NEW")).alias("path"))
+    new = moved.unionByName(made)
+    now = tree.where(~gone & ~moves).unionByName(new)
+    return hierarchy.closure_after(hierarchy.closure(tree), now, tree.where(gone | moves), new)

@@ -1,8 +1,12 @@
+import random
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from shoebox.functions import paths
 from shoebox.operators import browse, hierarchy
+from shoebox.session import checkpointed
 
 
 def pairs(df):
@@ -148,3 +152,47 @@ def test_sort_orders(make):
 def test_ancestors_of_many(spark):
     df = spark.createDataFrame([("/a/b",)], "path string").select(F.explode(paths.ancestor_paths("path")).alias("p"))
     assert [r.p for r in df.collect()] == ["/a", "/a/b"]
+
+
+def test_chains_of_any_depth_and_cycles(spark, make):
+    n = 100_000
+    parent = F.when(F.col("id") > 0, F.col("id") - 1)
+    chain = spark.range(n).select("id", parent.alias("parent_id"), F.concat(F.lit("/"), F.col("id").cast("string")).alias("path"))
+    top = hierarchy.climbed(chain).agg(F.max("depth").alias("deep"), F.min("root_id").alias("low"), F.max("root_id").alias("high"), F.count("depth").alias("n")).first()
+    assert tuple(top) == (n - 1, 0, 0, n)
+    odd = make.folders([{"id": 1, "path": "/a"}, {"id": 2, "path": "/a/b", "parent_id": 1}, {"id": 3, "path": "/x/y", "parent_id": 77}, {"id": 4, "path": "/x/y/z", "parent_id": 3}])
+    assert sorted(map(tuple, hierarchy.climbed(odd).collect()), key=lambda r: r[0]) == [(1, 1, 0), (2, 1, 1), (3, None, 1), (4, None, 2)]
+    loop = make.folders([{"id": 1, "path": "/a"}, {"id": 5, "path": "/l", "parent_id": 6}, {"id": 6, "path": "/m", "parent_id": 5}, {"id": 7, "path": "/n", "parent_id": 6}])
+    with pytest.raises(ValueError, match="parents of /l form a cycle"):
+        hierarchy.climbed(loop)
+    assert hierarchy.climbed(loop.limit(0)).count() == 0
+
+
+def test_closure_after_random_changes(spark, make):
+    rng = random.Random(3)
+
+    def table(paths):
+        ids = {p: 1 + zlib.crc32(p.encode()) for p in paths}
+        return make.folders([{"id": ids[p], "path": p, "parent_id": ids.get(p.rsplit("/", 1)[0])} for p in sorted(paths)])
+
+    def grown(paths):
+        return {p for p in paths if p.count("/") == 1 or p.rsplit("/", 1)[0] in paths}
+
+    paths = {"/r", "/s"}
+    for _ in range(60):
+        paths.add(f"{rng.choice(sorted(paths))}/{rng.choice('abcd')}")
+    tree = checkpointed(hierarchy.closure(table(paths)))
+    for _ in range(4):
+        after = set(paths)
+        for p in rng.sample(sorted(after - {"/r", "/s"}), 4):  # gone with all below
+            after = {q for q in after if q != p and not q.startswith(p + "/")}
+        source, target = rng.choice(sorted(after - {"/r", "/s"})), rng.choice(sorted(after))
+        if not (target + "/").startswith(source + "/"):  # moved with all below
+            after = {target + "/m" + q[len(source):] if q == source or q.startswith(source + "/") else q for q in after}
+        after |= {f"{rng.choice(sorted(after))}/{rng.choice('xyz')}" for _ in range(4)}
+        after = grown(after)
+        old, now = table(paths), table(after)
+        key = ["id", "parent_id", "path"]
+        gone, new = old.select(key).exceptAll(now.select(key)), now.select(key).exceptAll(old.select(key))
+        tree, paths = checkpointed(hierarchy.closure_after(tree, now, gone, new)), after
+        assert sorted(map(tuple, tree.collect())) == sorted(map(tuple, hierarchy.closure(now).collect()))
