@@ -10,6 +10,8 @@ proximity match is scored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,13 @@ def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", leng
     return runs.select("item_id", exact(F.concat_ws(" ", "_w")).alias("window"), F.size("_w").alias("n")).distinct()
 
 
-def _filter_of(terms: DataFrame, column: str, most_bits: int = 1 << 20) -> Column:
-    """A test whether ``term`` may be one of ``terms``, as a literal bitmap: one bit per
+def _filter_of(terms: DataFrame, column: str, tested: Column | str = "term") -> Column:
+    """A test whether ``tested`` may be one of ``terms``."""
+    return _bitmap(terms, column)(tested)
+
+
+def _bitmap(terms: DataFrame, column: str, most_bits: int = 1 << 20) -> Callable[[Column | str], Column]:
+    """A test whether a value may be one of ``terms``, as a literal bitmap: one bit per
     hash, about 32 bits per term and never more than ``most_bits``, whatever the number
     of terms.  It lets through all of them and some others."""
     bits = 1 << 12
@@ -54,9 +61,13 @@ def _filter_of(terms: DataFrame, column: str, most_bits: int = 1 << 20) -> Colum
     cells = ["0"] * (bits // 64)
     for row in filled:
         cells[row.w] = str(row.bits)
-    at = F.pmod(F.xxhash64("term"), F.lit(bits))
-    cell = F.element_at(F.split(F.lit(",".join(cells)), ",").cast("array<bigint>"), (F.shiftright(at, 6) + 1).cast("int"))
-    return F.getbit(cell, at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    table = F.split(F.lit(",".join(cells)), ",").cast("array<bigint>")
+
+    def test(tested: Column | str) -> Column:
+        at = F.pmod(F.xxhash64(tested), F.lit(bits))
+        return F.getbit(F.element_at(table, (F.shiftright(at, 6) + 1).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    return test
 
 
 def _documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -79,13 +90,33 @@ def frequencies(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text:
     return tokens.groupBy("term").agg(F.count(F.lit(1)).alias("freq")).join(terms, "term", "left_semi")
 
 
-def index(docs: DataFrame, anchors: DataFrame, others: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 10) -> DataFrame:
+def neighbours(distinct: DataFrame) -> DataFrame:
+    """``(pair)``: words that stand side by side in a window, joined by a blank; of a window
+    of one word, that word before a blank."""
+    split = F.split(F.lower("window"), " ")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0)))
+    pairs = distinct.select(split.alias("w")).select("w", F.explode(starts).alias("i"))
+    return pairs.select(F.concat(F.get("w", F.col("i")), F.lit(" "), F.coalesce(F.get("w", F.col("i") + 1), F.lit(""))).alias("pair")).distinct()
+
+
+def index(
+    docs: DataFrame, anchors: DataFrame, others: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 10, pairs: DataFrame | None = None,
+) -> DataFrame:
     """Postings ``(term, doc_id, print, pos, left, around)`` of the terms asked for, written
     to the shared folder.  ``around`` (anchors only) holds the ``length - 1`` words on
-    either side, ``left`` how many stand before the term."""
+    either side, ``left`` how many stand before the term.  With ``pairs``, as from
+    ``neighbours``, for exact phrases, a term counts only where it makes a pair
+    with the word before or after it: wherever a phrase occurs, all its terms do."""
     split = _documents(docs, doc_id, text).select("doc_id", "print", words("text").alias("_w"))
     spread = split.select("doc_id", "print", "_w", F.posexplode("_w").alias("pos", "word")).withColumn("term", F.lower("word"))
-    wanted = spread.where(_filter_of(anchors.union(others).distinct(), "term"))
+    asked = anchors.union(others).distinct()
+    wanted = spread.where(_filter_of(asked, "term"))
+    if pairs is not None:
+        known = _bitmap(stored(pairs, "window-pairs"), "pair")
+        beside = lambda a, b: F.concat(a, F.lit(" "), F.lower(b))
+        before, after = F.get("_w", F.col("pos") - 1), F.get("_w", F.col("pos") + 1)
+        made = [beside(F.lower(before), F.col("word")), beside(F.col("term"), after), F.concat("term", F.lit(" "))]
+        wanted = wanted.where(F.coalesce(*[F.when(known(m), True) for m in made], F.lit(False)))
     left = F.least(F.col("pos"), F.lit(length - 1))
     around = F.when(_filter_of(anchors, "term"), F.slice("_w", F.col("pos") - left + 1, left + length))
     return stored(wanted.select("term", "doc_id", "print", "pos", left.alias("left"), around.alias("around")), "postings")
@@ -109,7 +140,8 @@ def _plan(docs: DataFrame, items: DataFrame, doc_id: str, text: str, length: int
         second["term"].alias("term2"), second["offset"].alias("offset2"), F.xxhash64("window").alias("win"),
     )
     plan = stored(plan, "window-plan")
-    postings = index(docs, plan.select("term").distinct(), plan.select(F.col("term2").alias("term")).distinct(), doc_id, text, length)
+    seconds = plan.select(F.col("term2").alias("term")).distinct()
+    postings = index(docs, plan.select("term").distinct(), seconds, doc_id, text, length, neighbours(plan))
     return plan, owned, postings
 
 
