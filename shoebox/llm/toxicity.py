@@ -180,9 +180,9 @@ def train(
         return Model({fold([w])[0].strip(): SEED_WEIGHT for w in SEED_WORDS})
     cut = {y: min(1.0, n / counts[y]) * (1 << 30) for y, n in ((1, toxic_docs), (0, clean_docs))}
     chosen = agreed.where(F.col("at") < F.when(F.col("y") == 1, F.lit(cut[1])).otherwise(F.lit(cut[0]))).select("id", "y")
-    # the larger of the two limits bounds what is picked before the texts are joined
+    # the two limits bound how many ids are chosen, so they go to the texts
     picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), at.alias("at")).where(F.col("at") < F.lit(max(cut.values())))
-    sample = picked.where("text is not null").join(chosen, "id").select("id", "text", "y")
+    sample = picked.where("text is not null").join(F.broadcast(chosen), "id").select("id", "text", "y")
 
     def keys(batches):
         for batch in small_batches(batches, 1):
