@@ -39,12 +39,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what ``stored`` wrote for ``df``, once nothing will read it any more."""
+    """Delete what ``stored`` wrote for ``df``, once nothing will read it any more, and have
+    the driver let go of the shuffle files of what made it (it does so only when it
+    collects garbage, which a driver with little to do seldom does)."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
 
 
 def small_batches(batches: Iterable[pa.RecordBatch], column: int = -1, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -93,7 +96,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(floor, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(floor.select("u", F.col("m").alias("v")))
-        current = stored(small.where("u != v").distinct(), name)
+        before, current = current, stored(small.where("u != v").distinct(), name)
+        discard(before)
         now = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
