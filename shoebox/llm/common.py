@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,6 +67,35 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: int = -1, most: int
             yield batch.slice(low, high - low)
             low = high
         pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a worker no longer uses to the system.  Workers are used again
+    by later stages and would keep it beside what those need."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+# Rows and bytes of the batches that jobs under ``lean_batches`` send to Python.
+LEAN = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def lean_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside send texts to Python in smaller batches: an executor builds every
+    batch outside its heap and keeps that room.  The session's settings come back after."""
+    before = {key: spark.conf.get(key) for key in LEAN}
+    try:
+        for key, value in LEAN.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, str(value).removesuffix("b"))
 
 
 def id_text(doc_id: str) -> Column:

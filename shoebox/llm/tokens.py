@@ -16,16 +16,17 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm.common import scratch, small_batches
+from shoebox.llm.common import give_back, lean_batches, scratch, small_batches
 
 BLOCK_IDS = 1 << 16
 SHARD_IDS = 1 << 20
-# chunks a worker remembers; the memory is cleared when it is full
-REMEMBERED = 250_000
+# pieces a worker remembers (some 200 bytes each); the memory is cleared when it is full
+REMEMBERED = 600_000
 
 SHARDS = (
     "bucket int, shard int, first long, n_ids long, planes string, block int, doc_ids array<long>, "
@@ -105,7 +106,7 @@ class _Words:
     tokenizer, and texts that spell a special token, go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -121,7 +122,13 @@ class _Words:
         if self.by_piece:
             self.normalize, self.cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
             self.word = self.tokenizer.model.tokenize
+            self.words_of = regex.compile(split["pattern"]["Regex"]).findall
+            # western letters that the normalizer leaves alone, as the pre-tokenizer spells them
+            letters = [c for c in map(chr, range(256)) if c.isalpha() and self.normalize(c) == c]
+            self.spelt = {ord(c): self.cut(c)[0][0] for c in letters}
+            self.western = re.compile(f"[{''.join(letters)}]+").fullmatch
         self.known: dict[str, bytes] = {}
+        self.remembered = remembered
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
@@ -134,7 +141,7 @@ class _Words:
             else:
                 pieces.append(_plainer(text).replace("\n", " ").split(" "))
                 places.append(i)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         for new in set().union(*pieces).difference(self.known):
             self.known[new] = self._piece(new)
@@ -155,25 +162,31 @@ class _Words:
         core = core.lower() if plain else core
         found = self.known.get(core)
         if found is None:
-            words = [core] if plain and core.isalpha() else [word for word, _ in self.cut(self.normalize(core))]
+            if self.western(core):
+                words = [core if plain else core.translate(self.spelt)]
+            elif plain and core.isprintable():
+                words = self.words_of(core)
+            else:
+                words = [word for word, _ in self.cut(self.normalize(core))]
             found = self.known[core] = array("I", [t.id for word in words for t in self.word(word)]).tobytes()
         return found
 
 
-_encoders: dict[str, _Words] = {}
+_encoders: dict[tuple, _Words] = {}
 
 
-def _encoder(path: str) -> _Words:
-    if path not in _encoders:
-        _encoders[path] = _Words(path)
-    return _encoders[path]
+def _encoder(path: str, remembered: int) -> _Words:
+    if (path, remembered) not in _encoders:
+        give_back()
+        _encoders[path, remembered] = _Words(path, remembered)
+    return _encoders[path, remembered]
 
 
 # --- writing and reading ----------------------------------------------------
 
 def write(
     docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2,
-    planes: str = "byte", block: int = BLOCK_IDS, buckets: int | None = None,
+    planes: str = "byte", block: int = BLOCK_IDS, buckets: int | None = None, remembered: int = REMEMBERED,
 ) -> None:
     """Encode every text (null: empty), append ``end_id``, and write the ids in ascending
     order of id.
@@ -182,6 +195,8 @@ def write(
     quantiles of the id, of which that many numbers reach the driver.  A repeated id
     keeps its rows next to each other, ordered by a hash of the text; one that fills
     several ranges is spread over them by that hash.  A null id comes first.
+    ``remembered`` bounds the pieces whose ids a worker keeps; it changes time and memory,
+    not ids.
     """
     spark = docs.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -191,7 +206,7 @@ def write(
     cuts = np.array(cuts if n > 1 and cuts else [], np.int64)
 
     def encode(batches):
-        words = _encoder(tokenizer)
+        words = _encoder(tokenizer, remembered)
         for batch in small_batches(batches):
             ids, ties, texts = (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist())
             low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
@@ -238,7 +253,8 @@ def write(
         if names:
             yield flush()
 
-    ordered.mapInArrow(shards, SHARDS).write.parquet(path)
+    with lean_batches(spark):
+        ordered.mapInArrow(shards, SHARDS).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
