@@ -26,7 +26,7 @@ IN_LIBRARY, IN_SCOPE = SUBTREE.format(LIBRARY), SUBTREE.format(SCOPE)
 
 
 def _fresh_catalog(fx) -> Catalog:
-    return Catalog(fx.spark, f"{checkpoint_root(fx.spark)}/catalog-{uuid.uuid4().hex}", buckets=16)
+    return Catalog(fx.spark, f"{checkpoint_root(fx.spark)}/catalog-{uuid.uuid4().hex}")
 
 
 # tables -------------------------------------------------------------------

@@ -1,44 +1,27 @@
-"""Catalogue tables as bucketed parquet snapshots, row changes on top, and a commit log.
-
-A commit writes to folders of its own that nothing else ever writes to, and then
-publishes one small record that names them.  Whole tables are written by bucket;
-changed rows are written as they are, and take the place of older rows of their key when
-the table is read.  Once changes add up to a share of the table it is written anew, so
-what a commit costs goes with what changed.  Readers never see half a commit, a commit
-that fails leaves what was committed as it was, and a replayed stream batch is
-recognised.  The log is cut into epochs whose first commit states everything, so opening
-a catalogue reads one epoch however long its history.  One writer at a time; an open
-``Catalog`` is a fixed snapshot until it commits or is refreshed, and a commit from a
-snapshot that is no longer the latest is refused.  Folders that no record names any more
-are left for a retention rule.
+"""Catalogue tables as plain Parquet folders, and one small record per commit that names them.
+
+A table is a folder with all its rows, in ranges of its key, and appended folders with
+rows that took the place of older ones since.  ``fold`` joins them into one folder; when,
+is for a job that has the time, not for commits, which write what changed and no more.
+A record is one small file that states everything, so opening a catalogue reads the last
+one; it is published by a rename that fails if another writer was first.  Readers never
+see half a commit, and an open ``Catalog`` is a fixed snapshot until it commits or is
+refreshed.  Folders and records that are no longer the latest are left for a retention rule.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoebox.schemas import TABLES
 
-# Buckets go by a unique column, so their sizes stay even whatever folder,
-# media row or import dominates.
-BUCKET_KEY = {"folders": "path", "media": "absolute_path", "configs": "name", "values": "id", "work_items": "id"}
-# One row per bucket of a table that is written (folder and number of its rows), per set
-# of changed rows (bucket: minus the version), or per stream (table null) with the last
-# batch applied.
-LOG_SCHEMA = "version bigint, table string, bucket int, folder string, n_rows bigint, buckets int, stream string, batch bigint"
-COMMITS_PER_EPOCH = 200
-# A table is written anew when its changes hold more than this share of its rows, or are
-# more sets than a plan should read.
-REWRITE_SHARE = 0.1
-MOST_CHANGE_SETS = 100
-
-
+KEY = {"folders": "path", "media": "absolute_path", "configs": "name", "values": "id", "work_items": "id"}
 # Fixed value: the one scorer every catalogue starts with.
 FILENAME_CONFIG = (1, "filename", "text", True, "{}", None)
 
@@ -47,93 +30,43 @@ class StaleCatalog(RuntimeError):
     """The catalogue has moved on since this handle read it."""
 
 
-@dataclass
-class State:
-    version: int = 0
-    buckets: int = 0
-    files: dict = field(default_factory=dict)  # (table, bucket) -> (folder, rows)
-    streams: dict = field(default_factory=dict)  # stream -> last batch
-
-
 class Catalog:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._hadoop, self._conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+        self._log = self._hadoop.Path(f"{self.root}/commits")
         self.refresh()
-        self.buckets = self.state.buckets or buckets
-
-    def _json(self, path: str, schema: str) -> DataFrame:
-        """Log files; none is an empty log, any other trouble is raised."""
-        try:
-            return self.spark.read.schema(schema).json(path)
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
 
     def refresh(self) -> None:
-        self.state = self._latest()
-
-    def _latest(self) -> State:
-        """The latest committed state: at most one row per bucket, change set and stream."""
-        state = State()
-        epochs = [r.epoch for r in self._json(f"{self.root}/epochs", "epoch bigint").distinct().orderBy(F.desc("epoch")).collect()]
-        # an epoch is announced just before its first commit, so the last ones may be empty
-        for epoch in epochs:
-            log = self._json(f"{self.root}/commits/epoch={epoch}/*", LOG_SCHEMA)
-            last = F.max_by(F.struct("version", "folder", "n_rows", "buckets", "batch"), "version").alias("at")
-            rows = log.groupBy("table", "bucket", "stream").agg(last).collect()
-            for row in rows:
-                at = row["at"]
-                state.version, state.buckets = max(state.version, at.version), at.buckets
-                if row.stream is not None:
-                    state.streams[row.stream] = at.batch
-                elif row.table is not None:
-                    state.files[row.table, row.bucket] = (at.folder, at.n_rows)
-            if rows:
-                break
-        if epochs and epochs != [0] and not state.version:
-            raise RuntimeError(f"the commit log of {self.root} announces epochs {epochs} but holds no commit")
-        return state
+        """Take up the latest commit: ``{version, tables: {table: [[folder, rows], ...]}, streams: {stream: batch}}``."""
+        version = self._latest()
+        text = self.spark.read.text(f"{self.root}/commits/v={version}.json", wholetext=True).first().value if version else None
+        self.state = json.loads(text) if text else {"version": 0, "tables": {}, "streams": {}}
+
+    def _latest(self) -> int:
+        files = self._log.getFileSystem(self._conf)
+        names = [at.getPath().getName() for at in files.listStatus(self._log)] if files.exists(self._log) else []
+        return max((int(name[2:-5]) for name in names if name.startswith("v=")), default=0)
 
     def version(self) -> int:
-        return self.state.version
+        return self.state["version"]
 
     def has_batch(self, stream: str, batch: int) -> bool:
-        return self.state.streams.get(stream, -1) >= batch
-
-    def bucket_of(self, table: str) -> Column:
-        return F.pmod(F.xxhash64(BUCKET_KEY[table]), F.lit(self.buckets)).cast("int")
-
-    def _changes(self, table: str) -> dict:
-        """Live sets of changed rows, oldest first: ``{-version: (folder, rows)}``."""
-        return {b: at for (t, b), at in sorted(self.state.files.items(), key=lambda x: -x[0][1]) if t == table and b < 0 and at[1]}
-
-    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
-        """Current rows, or those of some buckets only."""
-        wanted = range(self.buckets) if buckets is None else buckets
-        held = {b: self.state.files.get((table, b), ("", 0)) for b in wanted}
-        files = [f"{self.root}/data/{table}/{folder}/bucket={b}" for b, (folder, rows) in sorted(held.items()) if rows]
-        schema, key = TABLES[table], BUCKET_KEY[table]
-        if files:
-            base = self.spark.read.schema(schema).parquet(*files)
-        else:
-            # a catalogue that never wrote configurations has the file-name scorer
-            fresh = table == "configs" and not any(t == "configs" for t, _ in self.state.files)
-            base = self.spark.createDataFrame([FILENAME_CONFIG] if fresh else [], schema)
-        sets = self._changes(table)
-        if not sets:
+        return self.state["streams"].get(stream, -1) >= batch
+
+    def read(self, table: str) -> DataFrame:
+        """Current rows.  A catalogue that never wrote configurations has the file-name scorer."""
+        schema, key, held = TABLES[table], KEY[table], self.state["tables"].get(table)
+        if held is None:
+            return self.spark.createDataFrame([FILENAME_CONFIG] if table == "configs" else [], schema)
+        folders = [f"{self.root}/data/{table}/{folder}" for folder, _ in held]
+        base = self.spark.read.schema(schema).parquet(folders[0])
+        if len(folders) == 1:
             return base
-        paths = [f"{self.root}/data/{table}/{folder}" for folder, _ in sets.values()]
-        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("_version", T.LongType())])).parquet(*paths)
-        if buckets is not None:
-            rows = rows.where(self.bucket_of(table).isin(list(buckets)))
+        rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("_version", T.LongType())])).parquet(*folders[1:])
         latest = rows.groupBy(key).agg(F.max_by(F.struct(*schema.names), "_version").alias("_row")).select("_row.*")
         return replace_rows(base, latest, key)
 
-    def touched(self, table: str, changes: DataFrame) -> list[int]:
-        """Buckets a change set falls into; never more than there are buckets."""
-        return sorted(r.b for r in changes.select(self.bucket_of(table).alias("b")).distinct().collect())
-
     def commit(
         self, tables: dict[str, DataFrame] | None = None, changes: dict[str, DataFrame] | None = None,
         stream: str | None = None, batch: int | None = None,
@@ -141,65 +74,46 @@ class Catalog:
         """Publish whole tables, and rows that are new or changed (``changes``, unique by
         the table's key).  A stream names itself and the batch it has just applied.
         Nothing is overwritten: a commit from a stale handle fails and changes nothing."""
-        version = self.state.version + 1
-        epoch, first = divmod(version - 1, COMMITS_PER_EPOCH)
-        record = f"{self.root}/commits/epoch={epoch}/v={version}"
-        # checked before anything is written, and again by the log itself
-        if self.state.version and self._latest().version != self.state.version:
+        version, folder = self.version() + 1, f"v={self.version() + 1}-{uuid.uuid4().hex}"
+        if self._latest() >= version:
             raise StaleCatalog(f"version {version} of {self.root} has been committed by another handle")
-        whole, files, folder = dict(tables or {}), {}, f"v={version}-{uuid.uuid4().hex}"
+        held, streams = dict(self.state["tables"]), dict(self.state["streams"])
+        for table, rows in (tables or {}).items():
+            ordered = rows.select(*TABLES[table].names).repartitionByRange(KEY[table]).sortWithinPartitions(KEY[table])
+            held[table] = [[folder, self._written(ordered, table, folder)]]
         for table, rows in (changes or {}).items():
-            path = f"{self.root}/data/{table}/{folder}-rows"
-            rows.select(*TABLES[table].names, F.lit(version).cast("bigint").alias("_version")).write.mode("error").parquet(path)
-            n = self.spark.read.parquet(path).count()
-            sets = self._changes(table)
-            base = sum(rows for (t, b), (_, rows) in self.state.files.items() if t == table and b >= 0)
-            if len(sets) >= MOST_CHANGE_SETS or n + sum(r for _, r in sets.values()) > REWRITE_SHARE * base:
-                written = self.spark.read.schema(rows.select(*TABLES[table].names).schema).parquet(path)
-                whole[table] = replace_rows(self.read(table), written, BUCKET_KEY[table])
-            elif n:
-                files[table, -version] = (f"{folder}-rows", n)
-        for table, rows in whole.items():
-            path = f"{self.root}/data/{table}/{folder}"
-            keyed = rows.select(*TABLES[table].names).withColumn("bucket", self.bucket_of(table))
-            (
-                keyed.repartition("bucket")
-                .sortWithinPartitions("bucket", BUCKET_KEY[table])
-                .write.mode("error").partitionBy("bucket").parquet(path)
-            )
-            filled = self._filled(path)
-            files |= {(table, b): (folder, filled.get(b, 0)) for b in range(self.buckets)}
-            files |= {(table, b): (at, 0) for b, (at, _) in self._changes(table).items()}
-        after = State(version, self.buckets, {**self.state.files, **files}, dict(self.state.streams))
+            if table not in held:
+                held[table] = [[f"{folder}-base", self._written(self.read(table), table, f"{folder}-base")]]
+            stamped = rows.select(*TABLES[table].names, F.lit(version).cast("bigint").alias("_version"))
+            n = self._written(stamped, table, f"{folder}-rows")
+            held[table] = held[table] + [[f"{folder}-rows", n]] * (n > 0)
         if stream is not None:
-            after.streams[stream] = batch
-        if first == 0:
-            self.spark.createDataFrame([(epoch,)], "epoch bigint").coalesce(1).write.mode("append").json(f"{self.root}/epochs")
-            after.files = {k: at for k, at in after.files.items() if k[1] >= 0 or at[1]}
-        stated = after.files if first == 0 else files
-        records = [(version, t, b, at, n, self.buckets, None, None) for (t, b), (at, n) in stated.items()]
-        records += [(version, None, None, None, None, self.buckets, s, n) for s, n in after.streams.items()]
-        records = records or [(version, None, None, None, None, self.buckets, None, None)]
-        log = self.spark.createDataFrame(records, LOG_SCHEMA).coalesce(1)
-        try:
-            log.write.mode("error").json(record)
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_ALREADY_EXISTS":
-                raise
-            raise StaleCatalog(f"version {version} of {self.root} has been committed by another handle") from problem
-        self.state = after
+            streams[stream] = batch
+        self._publish({"version": version, "tables": held, "streams": streams})
         return version
 
-    def _filled(self, path: str) -> dict[int, int]:
-        """Rows by bucket of a table just written."""
+    def fold(self, *tables: str) -> int:
+        """Write tables anew, each as one folder without appended rows."""
+        return self.commit({table: self.read(table) for table in tables})
+
+    def _written(self, rows: DataFrame, table: str, folder: str) -> int:
+        path = f"{self.root}/data/{table}/{folder}"
+        rows.write.mode("error").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path).count()
+
+    def _publish(self, state: dict) -> None:
+        draft, record = (self._hadoop.Path(self._log, name) for name in (f"_{uuid.uuid4().hex}", f"v={state['version']}.json"))
+        out = self._log.getFileSystem(self._conf).create(draft, False)
+        out.write(bytearray(json.dumps(state), "utf-8"))
+        out.close()
+        choices = self.spark.sparkContext._gateway.new_array(getattr(self._hadoop, "Options$Rename"), 0)
         try:
-            written = self.spark.read.schema("bucket int").parquet(path)
-        except AnalysisException as problem:
-            # an empty table writes no bucket folder
-            if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            self._hadoop.FileContext.getFileContext(self._conf).rename(draft, record, choices)
+        except Py4JJavaError as problem:
+            if "FileAlreadyExistsException" not in problem.java_exception.getClass().getName():
                 raise
-            return {}
-        return {r.bucket: r["count"] for r in written.groupBy("bucket").count().collect()}
+            raise StaleCatalog(f"version {state['version']} of {self.root} has been committed by another handle") from problem
+        self.state = state
 
 
 def replace_rows(old: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -118,8 +118,9 @@ def apply_changes(
     ok = printed.where(F.col("error").isNull())
     placed = diff.assign_folders(ok.join(live.drop("kind", "rule_no"), "path"), new_folders, F.col("root_id"))
 
-    touched = catalog.touched("media", live.select(F.col("path").alias("absolute_path")))
-    old = catalog.read("media", touched)
+    # tables lie in ranges of their key, so a batch from one corner of a tree reads the files of that corner
+    ends = live.agg(F.min("path").alias("low"), F.max("path").alias("high")).first()
+    old = catalog.read("media").where(F.col("absolute_path").between(F.lit(ends.low), F.lit(ends.high)))
     held = old.join(live.select(F.col("path").alias("absolute_path"), "kind"), "absolute_path")
     keep = held.select("absolute_path", F.col("id").alias("_id"), F.col("folder_id").alias("_folder"),
                        F.col("relative_path").alias("_relative"), F.col("created_at").alias("_created"))

@@ -32,7 +32,7 @@ def test_headers_that_claim_too_much(spark, tmp_path, now):
     for name, content in HUGE.items():
         put(root, name, content)
     put(root, "good.png", png(2**31 - 1, 1))
-    catalog = Catalog(spark, str(tmp_path / "catalog"), buckets=4)
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
     done = ingest.scan_import(spark, catalog, {"path": root}, now).first()
     assert (done.processed, done.rejected, done.rejects) == (6, 0, None)
     assert {n: (r.width, r.height) for n, r in media_of(catalog).items()} == {**dict.fromkeys(HUGE, (None, None)), "good.png": (2**31 - 1, 1)}
@@ -84,7 +84,7 @@ def test_progress_and_rejects(spark, tmp_path, now):
     os.symlink(f"{root}/nowhere", f"{root}/broken.png")
     os.makedirs(f"{root}/later")
     seen, during = [], []
-    catalog = Catalog(spark, str(tmp_path / "catalog"), buckets=4)
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
     commit = catalog.commit
     catalog.commit = lambda *a, **k: (during.extend(seen), commit(*a, **k))[1]
     done = ingest.scan_import(spark, catalog, {"path": root}, now, progress=seen.append, every=10).first()
@@ -98,7 +98,7 @@ def test_progress_and_rejects(spark, tmp_path, now):
 def test_imports_out_of_reach(spark, tmp_path, now):
     root = str(tmp_path / "lib")
     put(root, "a.png")
-    catalog = Catalog(spark, str(tmp_path / "catalog"), buckets=4)
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
     rules = [{"path": ""}, {"path": f"{root}/"}, {"path": f"{root}-gone"}]
     report = {r.root: r for r in ingest.scan_all(spark, catalog, rules, now).collect()}
     assert {k: r.reason for k, r in report.items()} == {"": "no path configured", root: None, f"{root}-gone": "not reachable"}

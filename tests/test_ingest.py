@@ -113,7 +113,7 @@ def test_import_rules(spark, tmp_path):
 
 @pytest.fixture
 def catalog(spark, tmp_path):
-    return Catalog(spark, str(tmp_path / "catalog"), buckets=4)
+    return Catalog(spark, str(tmp_path / "catalog"))
 
 
 def media_of(catalog):
@@ -227,38 +227,51 @@ def test_commit_is_atomic_and_costs_what_changed(spark, make, catalog):
     assert catalog.read("media").where("file_size = 99").count() == 0
     catalog.commit(changes={"media": change}, stream="feed", batch=5)
     # the second commit wrote one row
-    assert [rows for (_, b), (_, rows) in catalog.state.files.items() if b < 0] == [1]
+    assert [rows for _, rows in catalog.state["tables"]["media"]] == [40, 1]
     assert [r.id for r in catalog.read("media").where("file_size = 99").collect()] == [3]
     assert catalog.read("media").count() == 40 and catalog.version() == 2
     assert catalog.has_batch("feed", 5) and not catalog.has_batch("feed", 6) and not catalog.has_batch("other", 0)
-    assert Catalog(spark, catalog.root, buckets=99).buckets == 4
     catalog.commit({"media": media.limit(0)})
     assert catalog.read("media").count() == 0
 
 
-def test_log_epochs(spark, make, tmp_path, monkeypatch):
-    """Only the last epoch is read, and its first commit states everything."""
-    from shoebox.sources import catalog as module
-
-    monkeypatch.setattr(module, "COMMITS_PER_EPOCH", 2)
-    catalog = Catalog(spark, str(tmp_path / "c"), buckets=2)
+def test_the_last_record_states_everything(spark, make, tmp_path):
+    root = str(tmp_path / "c")
+    catalog = Catalog(spark, root)
     media = make.media([{"id": i, "relative_path": f"{i}.png"} for i in range(10)])
     catalog.commit({"media": media}, stream="feed", batch=7)
     for n in range(4):
         row = media.where(f"id = {n}").withColumn("file_size", F.lit(50).cast("bigint"))
         catalog.commit(changes={"media": row})
-    again = Catalog(spark, str(tmp_path / "c"))
-    assert (again.version(), again.buckets, again.has_batch("feed", 7)) == (5, 2, True)
-    assert again.state == catalog.state
+    # a draft that was never published and older records that were cleared away are not missed
+    (tmp_path / "c" / "commits" / "_draft").write_text("{")
+    (tmp_path / "c" / "commits" / "v=2.json").unlink()
+    again = Catalog(spark, root)
+    assert (again.version(), again.has_batch("feed", 7), again.state) == (5, True, catalog.state)
     assert again.read("media").count() == 10 and again.read("media").where("file_size = 50").count() == 4
-    # an epoch announced by a commit that never finished is passed over
-    spark.createDataFrame([(9,)], "epoch bigint").write.mode("append").json(str(tmp_path / "c" / "epochs"))
-    assert Catalog(spark, str(tmp_path / "c")).state == catalog.state
+
+
+def test_two_writers_past_the_check(spark, make, tmp_path, monkeypatch):
+    """Both handles find no newer commit; the rename lets one of them through."""
+    root = str(tmp_path / "c")
+    rows = make.media([{"id": 1, "relative_path": "a.png"}])
+    first, second = Catalog(spark, root), Catalog(spark, root)
+    monkeypatch.setattr(second, "_latest", lambda: 0)
+    first.commit({"media": rows})
+    with pytest.raises(StaleCatalog):
+        second.commit({"media": rows.limit(0)})
+    assert Catalog(spark, root).read("media").count() == 1
+
+
+def test_changes_of_a_table_never_written(spark, make, tmp_path):
+    catalog = Catalog(spark, str(tmp_path / "c"))
+    catalog.commit(changes={"media": make.media([{"id": 1, "relative_path": "a.png"}])})
+    assert catalog.read("media").count() == 1 and [r.name for r in catalog.read("configs").collect()] == ["filename"]
 
 
 def test_a_stale_writer_destroys_nothing(spark, make, tmp_path):
     root = str(tmp_path / "c")
-    first = Catalog(spark, root, buckets=4)
+    first = Catalog(spark, root)
     rows = make.media([{"id": i, "relative_path": f"{i}.png"} for i in range(30)])
     first.commit({"media": rows})
     winner, loser = Catalog(spark, root), Catalog(spark, root)
@@ -273,8 +286,9 @@ def test_a_stale_writer_destroys_nothing(spark, make, tmp_path):
 
 def test_a_log_that_cannot_be_read_is_not_empty(spark, tmp_path):
     root = str(tmp_path / "c")
-    spark.createDataFrame([(4,)], "epoch bigint").coalesce(1).write.json(f"{root}/epochs")
-    with pytest.raises(RuntimeError):
+    (tmp_path / "c" / "commits").mkdir(parents=True)
+    (tmp_path / "c" / "commits" / "v=4.json").write_text('{"version": 4, "tab')
+    with pytest.raises(ValueError):
         Catalog(spark, root)
 
 
@@ -284,7 +298,7 @@ def test_roots_are_normalised(spark, tree, tmp_path, now):
 
     tables = []
     for n, root in enumerate((tree, f"{tree}/", f"{tree}//")):
-        catalog = Catalog(spark, str(tmp_path / f"c{n}"), buckets=2)
+        catalog = Catalog(spark, str(tmp_path / f"c{n}"))
         ingest.scan_import(spark, catalog, {"path": root}, now)
         tables.append([sorted(map(str, catalog.read(t).collect())) for t in ("media", "folders")])
         assert not ingest.scan_all(spark, catalog, [{"path": root}], now).collect()
@@ -312,23 +326,23 @@ def test_colliding_ids_fail(spark, make):
             changeset.check_new_ids(make.media(clash), old)
 
 
-def test_changes_stay_small_until_they_add_up(spark, make, tmp_path):
+def test_changes_stay_small_until_they_are_folded(spark, make, tmp_path):
     """500 changed paths of a large table write 500 rows; the table is written anew only
-    when changes add up, and reads the same throughout."""
+    when it is folded, and reads the same throughout."""
     one = make.media([{"id": 0, "relative_path": "x"}])
     big = spark.range(100_000).select(
         *[{"id": F.col("id"), "absolute_path": F.concat(F.lit("/r/"), F.col("id").cast("string"))}.get(c, F.lit(one.first()[c]).cast(one.schema[c].dataType)).alias(c) for c in one.columns]
     )
-    catalog = Catalog(spark, str(tmp_path / "c"), buckets=4)
+    catalog = Catalog(spark, str(tmp_path / "c"))
     catalog.commit({"media": big})
     for n in range(3):
         rows = big.where(F.col("id") < 500).withColumn("file_size", F.lit(100 + n).cast("bigint"))
         catalog.commit(changes={"media": rows})
     again = Catalog(spark, catalog.root)
-    assert [rows for (_, b), (_, rows) in sorted(again.state.files.items()) if b < 0] == [500] * 3
+    assert [rows for _, rows in again.state["tables"]["media"]] == [100_000, 500, 500, 500]
     assert again.read("media").count() == 100_000 and again.read("media").where("file_size = 102").count() == 500
-    some = again.touched("media", big.where("id = 7"))
-    assert again.read("media", some).where("id = 7").first().file_size == 102
+    assert again.read("media").where("absolute_path = '/r/7'").first().file_size == 102
     again.commit(changes={"media": big.where("id >= 91000").withColumn("file_size", F.lit(9).cast("bigint"))})
-    assert not again._changes("media") and Catalog(spark, catalog.root).state == again.state
+    again.fold("media")
+    assert [rows for _, rows in again.state["tables"]["media"]] == [100_000] and Catalog(spark, catalog.root).state == again.state
     assert [again.read("media").where(f"file_size = {n}").count() for n in (9, 102)] == [9_000, 500]

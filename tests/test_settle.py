@@ -87,7 +87,7 @@ def test_stream_beside_a_scan(spark, tmp_path, now):
     root = str(tmp_path / "lib")
     put(root, "a.png")
     rule = {"rule_no": 1, "path": root}
-    catalog = Catalog(spark, str(tmp_path / "catalog"), buckets=4)
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
     ingest.scan_import(spark, catalog, rule, now)
     feed = str(tmp_path / "events")
     write(spark, feed, [(1, f"{root}/a.png", "remove"), (30, "", "heartbeat")])

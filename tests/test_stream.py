@@ -56,7 +56,7 @@ def scanned(spark, tmp_path, now):
     root = str(tmp_path / "lib")
     for name in ("a.png", "b.png", "sub/c.png"):
         put(root, name)
-    catalog = Catalog(spark, str(tmp_path / "catalog"), buckets=4)
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
     ingest.scan_import(spark, catalog, {"path": root}, now)
     return root, catalog
 

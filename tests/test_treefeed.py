@@ -68,7 +68,7 @@ def test_watched_trees_reach_the_catalogue(spark, tmp_path, now):
     for root in (one, two):
         put(root, "a.png")
         put(root, "sub/b.png")
-    catalog = Catalog(spark, str(tmp_path / "catalog"), buckets=4)
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
     rules = [{"rule_no": 1, "path": one}, {"rule_no": 2, "path": two}, {"rule_no": 3, "path": f"{one}-gone"}, {"rule_no": 4, "path": ""}]
     for rule in rules[:2]:
         ingest.scan_import(spark, catalog, rule, now)
