@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shoebox.functions import text, thumbs
-from shoebox.operators import browse, hierarchy, search, thumbnails
+from shoebox.operators import browse, hierarchy, pathindex, search, thumbnails
 from shoebox.operators.skew import with_position
+from shoebox.plans.ingest import stored
 from shoebox.plans.queries_browse import FOLDER, IN_LIBRARY, IN_SCOPE, LIBRARY, SCOPE, SUMMARY
 from shoebox.plans.registry import query
 from shoebox.sources.fixtures import GLOBAL_CACHE
@@ -87,6 +88,42 @@ def k3(fx):
     return _as_double(parts[0].unionByName(parts[1]))
 
 
+INDEXED_QUERY = " CUSTOMER#0000 asia/ moved/  .PNG"
+_MOVED = "CASE WHEN id % 5 = 0 THEN concat('moved/', relative_path) ELSE relative_path END"
+_INDEXED = """
+, moved AS (SELECT id, folder_id, {moved} AS relative_path FROM fx_media WHERE id % 7 <> 0),
+scored AS (
+  SELECT id AS media_id, folder_id,
+         ((contains(lower(relative_path), 'customer#0000'))::INT + (contains(lower(relative_path), 'asia/'))::INT
+          + (contains(lower(relative_path), 'moved/'))::INT + (contains(lower(relative_path), '.png'))::INT)::DOUBLE AS score
+  FROM moved)
+""".format(moved=_MOVED)
+
+
+def _indexed(fx):
+    """Media after some files went and some moved, and an index that was told of these alone."""
+    media = fx.media()
+    now = media.where("id % 7 <> 0").withColumn("relative_path", F.expr(_MOVED))
+    index = stored(pathindex.laid_out(pathindex.postings(media)), "path-index")
+    changed = F.expr("id % 7 = 0 OR id % 5 = 0")
+    told = stored(pathindex.laid_out(pathindex.changes(media.where(changed), now.where(changed))), "path-index-changes")
+    return now, index.unionByName(told)
+
+
+@query("K1_path_index", _INDEXED + "SELECT media_id, score FROM scored WHERE score > 0")
+def k1_index(fx):
+    """The file-name scorer from the postings of its runs, kept current by a change set."""
+    return _as_double(pathindex.found(_indexed(fx)[1], INDEXED_QUERY))
+
+
+@query("K3_path_index", _INDEXED + f"SELECT media_id AS id, score FROM scored WHERE score > 0 AND folder_id IN {IN_SCOPE}")
+def k3_index(fx):
+    """A recursive search whose file-name scorer reads the index."""
+    now, index = _indexed(fx)
+    hits = search.search(now, fx.tree_keys(), SCOPE, True, INDEXED_QUERY, [pathindex.scorer(index)], ranked=False)
+    return _as_double(hits.select("id", "score"))
+
+
 _BY_SCORE = "row_number() OVER (ORDER BY score DESC, lower(regexp_extract(relative_path, '[^/]*$')), id) AS position"
 
 
