@@ -124,10 +124,39 @@ def _rejected_at_or_above(path: Column, root: Column, pattern: Column) -> Column
     return F.when(F.startswith(pattern, F.lit("/")), below).otherwise(F.contains(path, pattern))
 
 
+def _child(path: Column, root: Column) -> Column:
+    """The path one level below ``root`` on the way to ``path``."""
+    prefix = F.when(root == "/", root).otherwise(F.concat(root, F.lit("/")))
+    return F.concat(prefix, F.substring_index(relative_to(path, root), "/", 1))
+
+
+def _admitted_below(path: Column, root: Column, include) -> Column:
+    """Is every step from the root to the path included?  A substring found at one step is
+    found at all later ones, so the steps before it are exact patterns: it is enough to
+    look one level below the root and below each exact pattern that is itself admitted."""
+    anywhere = [p for p in include if not p.startswith("/")]
+    stations = [(root, F.lit(True))]
+    admitted = F.lit(False)
+    # a pattern is longer than those above it
+    for exact in [None, *sorted({clean(p) for p in include if p.startswith("/")}, key=len)]:
+        if exact is not None:
+            here = F.lit(exact)
+            reached = F.lit(False)
+            for above, open_ in stations:
+                step = _child(here, above)
+                beside = is_under(here, above) & (here != above)
+                reached = reached | (open_ & beside & ((step == here) | matches_any(step, anywhere)))
+            stations.append((here, reached))
+            admitted = admitted | (reached & (path == here))
+        station, open_ = stations[-1]
+        admitted = admitted | (open_ & is_under(path, station) & (path != station) & matches_any(_child(path, station), anywhere))
+    return admitted
+
+
 def survives_pruning(path, root, exclude, include, mode: str = "strict") -> Column:
     """True when neither the path nor any directory between it and the root is
     rejected.  The root itself is always admitted.  Works on a flat listing with
-    no join and, but for exact include patterns, without looking at the
+    no join and, but for include lists held in columns, without looking at the
     directories one by one."""
     path, root = _col(path), _col(root)
     unrolled = isinstance(exclude, (list, tuple))
@@ -139,14 +168,11 @@ def survives_pruning(path, root, exclude, include, mode: str = "strict") -> Colu
         rejected = F.exists(_col(exclude), lambda p: _rejected_at_or_above(path, root, p))
     if isinstance(include, (list, tuple)) and not include:
         return (path == root) | ~rejected
-    carries_down = mode == "subtree" or (
-        isinstance(include, (list, tuple)) and not any(p.startswith("/") for p in include)
-    )
-    if carries_down:
+    if mode == "subtree":
         # admitted at the first level means admitted all the way down
-        prefix = F.when(root == "/", root).otherwise(F.concat(root, F.lit("/")))
-        first = F.concat(prefix, F.substring_index(relative_to(path, root), "/", 1))
-        admitted = is_included(first, include, mode)
+        admitted = is_included(_child(path, root), include, mode)
+    elif isinstance(include, (list, tuple)):
+        admitted = _admitted_below(path, root, include)
     else:
         below = F.filter(ancestor_paths(path), lambda p: F.length(p) > F.length(root))
         admitted = F.forall(below, lambda p: is_included(p, include, mode))

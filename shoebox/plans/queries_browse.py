@@ -196,11 +196,12 @@ steps AS (
     """,
 )
 def c5(fx):
-    parts = [
-        fx.listing().where(paths.survives_pruning("path", F.lit("/lib"), EXCLUDE, include)).select(F.lit(name).alias("lists"), "path", "size")
+    """Both rule sets in one pass over the listing."""
+    lists = [
+        F.when(paths.survives_pruning("path", F.lit("/lib"), EXCLUDE, include), F.lit(name))
         for name, include in (("exclude", []), ("both", INCLUDE))
     ]
-    return parts[0].unionByName(parts[1])
+    return fx.listing().select(F.explode(F.array_compact(F.array(*lists))).alias("lists"), "path", "size")
 
 
 @query(

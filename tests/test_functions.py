@@ -169,7 +169,10 @@ def test_pruning_shortcuts_equal_the_definition(spark):
         return all(not hit(t, exclude, False) and (not include or hit(t, include, mode == "subtree")) for t in tested)
 
     excludes = [[], ["private"], ["/lib/a"], ["/lib/a/b", "hot"], ["/lib"], ["/"], ["lib"], [""]]
-    includes = [[], ["photos"], ["/lib/a"], ["/lib/a", "b"], ["/lib/ab", "/lib/ab/a", "photos"]]
+    includes = [
+        [], ["photos"], ["/lib/a"], ["/lib/a", "b"], ["/lib/ab", "/lib/ab/a", "photos"], ["/lib/a", "a/b"], ["/lib/a/b", "ab"],
+        ["/lib/a/b/ab", "/lib/a", "/lib/a/b"], ["/lib/b/a", "/lib", "o"], ["/lib/b/a/photos", "b/a", "/lib/b"],
+    ]
     for exclude in excludes:
         cases = list(itertools.product(includes, ("strict", "subtree")))
         columns = []
