@@ -2,7 +2,8 @@
 
 Text is reduced to a canonical form (no case, punctuation, copyright lines or variant
 spellings), and digests of whole texts, and of whole lines for one-line notices, are
-hash-joined to those of known licenses reduced the same way.
+hash-joined to those of known licenses reduced the same way.  A whole text is known with
+or without its title and a line that reserves all rights, however its lines are broken.
 """
 
 from __future__ import annotations
@@ -73,8 +74,35 @@ Permission to use, copy, modify, and/or distribute this software for any purpose
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
 )
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by\b|[<\[{])|©|\(c\)[ \t]*[0-9])[^\n]*$"
+# Fixed values: (license, digest of its canonical text), with and without the appendix that
+# says how to apply the terms.
+DIGESTS = (
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+)
+COPYRIGHT_LINE = r"^[^\p{L}\p{N}\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by\b|the\b[^\n]*\b(?:authors|contributors|developers|project|foundation)\b|[<\[{])|©|\(c\)[ \t]*[0-9])[^\n]*$"
 NOT_WORDS = r"[^\p{L}\p{N}\n]+"
+# canonical lines that a whole text may have or not: its title, and the rights
+TITLE_LINE = (
+    r"^ *(?:all rights reserved|(?:the )?(?:mit|isc|expat|(?:new |modified |simplified |revised )?bsd(?: [0-9])?(?: clause)?|bsd zero clause|zero clause bsd)"
+    r" license(?: mit| isc| expat| 0bsd| bsd [0-9] clause)?) *$"
+)
+# spellings of two words, which a line may end between
+TWO_WORDS = tuple(pair for pair in SPELLINGS if " " in pair[0])
 
 
 def canonical_lines(text: Column) -> Column:
@@ -87,8 +115,11 @@ def canonical_lines(text: Column) -> Column:
 
 
 def canonical(lines: Column) -> Column:
-    """The whole text as one line."""
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    """The whole text as one line, without title and rights."""
+    words = F.trim(F.regexp_replace(F.regexp_replace(lines, r"(?md)" + TITLE_LINE, ""), r"[ \n]+", " "))
+    for other, usual in TWO_WORDS:
+        words = F.replace(words, F.lit(other), F.lit(usual))
+    return words
 
 
 def digest(words: Column) -> Column:
@@ -102,7 +133,9 @@ def known(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
         rows = rows.unionByName(extra.select("license_id", "text"))
     whole = canonical(canonical_lines(F.col("text")))
     kept = rows.select("license_id", whole.alias("_w"), (~F.col("text").contains("\n")).alias("notice")).where("_w != ''")
-    return kept.groupBy(digest(F.col("_w")).alias("digest")).agg(F.min("license_id").alias("license_id"), F.max("notice").alias("notice"))
+    listed = spark.createDataFrame(list(DIGESTS), "license_id string, digest string").withColumn("notice", F.lit(False))
+    kept = kept.select("license_id", digest(F.col("_w")).alias("digest"), "notice").unionByName(listed)
+    return kept.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.max("notice").alias("notice"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", extra: DataFrame | None = None) -> DataFrame:

@@ -155,11 +155,16 @@ def _license_sql() -> str:
     for other, usual in licenses.SPELLINGS:
         words = f"replace({words}, {quote(other)}, {quote(usual)})"
     values = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in licenses.KNOWN)
-    whole = r"trim(regexp_replace(lines, '[ \n]+', ' ', 'g'))"
+    whole = f"trim(regexp_replace(regexp_replace(lines, {quote('(?m)' + licenses.TITLE_LINE)}, '', 'g'), '[ \\n]+', ' ', 'g'))"
+    for other, usual in licenses.TWO_WORDS:
+        whole = f"replace({whole}, {quote(other)}, {quote(usual)})"
+    listed = ", ".join(f"({quote(name)}, {quote(digest)}, false)" for name, digest in licenses.DIGESTS)
     return f"""
 WITH known AS (
-  SELECT sha256({whole}) AS digest, min(license_id) AS license_id, max(notice) AS notice
-  FROM (SELECT license_id, {words} AS lines, NOT contains(text, chr(10)) AS notice FROM (VALUES {values}) AS t(license_id, text)) GROUP BY 1),
+  SELECT digest, min(license_id) AS license_id, max(notice) AS notice FROM (
+    SELECT license_id, sha256({whole}) AS digest, notice
+    FROM (SELECT license_id, {words} AS lines, NOT contains(text, chr(10)) AS notice FROM (VALUES {values}) AS t(license_id, text))
+    UNION ALL SELECT * FROM (VALUES {listed}) AS d(license_id, digest, notice)) GROUP BY 1),
 doc AS (SELECT row_number() OVER () AS r, doc_id, {words} AS lines FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 line AS (SELECT r, sha256(trim(unnest(string_split(lines, chr(10))))) AS digest FROM doc),
 said AS (

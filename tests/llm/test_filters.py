@@ -1,7 +1,10 @@
 """Language, toxicity and licences: learning, folding, canonical forms, odd rows."""
 
+import os
 import random
 
+import pytest
+
 from shoebox.llm import langid, licenses, toxicity
 
 EN, DE = "the of and that with this from have".split(), "der und nicht mit ein auch sich das".split()
@@ -78,3 +81,67 @@ def test_licenses(spark):
     own = licenses.scan(spark.createDataFrame([(1, "OWN TERMS apply here; all of them")], "doc_id long, text string"), extra=extra).first()
     assert own.license_id == "OWN"
     assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def rewrapped(text, width):
+    """The same words on lines of other lengths, headings and copyright lines left alone."""
+    import textwrap
+
+    blocks = text.split("\n\n")
+    kept = [b if "copyright (c)" in b.lower() else textwrap.fill(" ".join(b.split()), width) for b in blocks]
+    return "\n\n".join(kept)
+
+
+def test_titles_rights_and_line_ends_do_not_matter(spark):
+    known = [(name, text) for name, text in licenses.KNOWN if "\n" in text]
+    rows = []
+    for name, text in known:
+        title, holder, rest = text.split("\n", 2)
+        words = " ".join(rest.split()).replace("COPYRIGHT HOLDER", "COPYRIGHT\nOWNER").replace("copyright holder", "copyright\nowner")
+        for head in ("", title + "\n", f"The {name.split('-')[0]} License (MIT)\n" if name == "MIT" else ""):
+            for owner in ("Copyright (c) 2001, Some One", "Copyright The Foo Authors\nAll rights reserved.", "(c) 1999 x. All Rights Reserved", holder):
+                rows.append((len(rows), name, f"{head}\n{owner}\n\n{words}\n"))
+    # what is no licence: a title alone, one sentence less, another word
+    lacking = [(-1, None, "MIT License"), (-2, None, known[0][1].rsplit(".", 2)[0]), (-3, None, known[0][1].replace("Software", "Hardware")), (-4, None, "All rights reserved.")]
+    docs = spark.createDataFrame(rows + lacking, "doc_id long, wanted string, text string")
+    found = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
+    assert found == {k: name for k, name, _ in rows + lacking}
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-3"), reason="the system has no licence texts")
+def test_whole_texts_by_digest(spark):
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    rows, end = [], "END OF TERMS AND CONDITIONS"
+    for file, name in files.items():
+        with open(f"/usr/share/common-licenses/{file}") as f:
+            text = f.read()
+        forms = [text, text.upper(), text.replace("\n", "\r\n"), text.replace(" ", "  ").replace(",", " ,"), text.replace("license", "licence"), rewrapped(text, 60)]
+        if end in text:
+            forms.append(text.split(end)[0] + end)
+        rows += [(name, form, k) for k, form in enumerate(forms)] + [(None, text.replace(" the ", " a ", 1), -1), (None, text + "\nAnd one more word.", -2)]
+    docs = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "doc_id long, wanted string, text string, form int")
+    found = {r.doc_id: r.license_id for r in licenses.scan(docs).collect()}
+    wrong = [(row[0], row[2], found[k]) for k, row in enumerate(rows) if found[k] != row[0]]
+    assert not wrong
+
+
+def test_licenses_equal_their_sql(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from shoebox.llm import queries
+
+    rng = random.Random(5)
+    texts = [None, "", "MIT License", "All rights reserved.\nCopyright The X Authors\nsub\nlicence", "Copyright the rest", "(c) x\n\n per\ncent"]
+    for _, text in licenses.KNOWN:
+        words = text.replace("COPYRIGHT HOLDER", "COPYRIGHT\nOWNER").split(" ")
+        texts += [text, text.lower().replace("mit license\n", "the mit licence (mit)\n"), "Preface.\n" + text]
+        texts += ["".join(w + rng.choice([" ", " ", "  ", ", ", "\n"]) for w in words)]
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    columns = "doc_id, digest, license_id, notices"
+    wanted = con.execute(f"SELECT {columns} FROM ({queries.ORACLES['op10_licenses']}) ORDER BY doc_id").fetchall()
+    got = queries.QUERIES["op10_licenses"](spark, str(tmp_path)).select(*columns.split(", ")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == wanted and sum(r.license_id is not None for r in got) > 30
