@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -114,16 +114,23 @@ def backlog_by_kind(items: DataFrame) -> DataFrame:
     return items.where(F.col("status").isin("pending", "running")).groupBy("job_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+Model = Callable[[pd.DataFrame], pd.Series]
+
+
 def run_models(
-    claimed: DataFrame, media: DataFrame, model: Callable[[pd.DataFrame], pd.Series], tasks: int | None = None
+    claimed: DataFrame, media: DataFrame, model: Model | Mapping[str, Callable[[], Model]], tasks: int | None = None
 ) -> DataFrame:
     """Call the model on the media of claimed items, in Arrow batches.
 
-    ``model`` gets a frame with the item and media columns and returns one JSON
+    A model gets a frame with the item and media columns and returns one JSON
     text per row.  A batch that raises is halved, so one bad row fails alone.  Result: ``(id, media_file_id, searchable_config_id, value_json, error)``.
+
+    ``model`` is one model for all kinds of work, or by kind a function that loads one.  A
+    model is loaded when a task meets the first item of its kind, once a task; where that
+    fails, or a kind has none, its items fail and the others go on.
     """
 
-    def attempt(pdf):
+    def attempt(model, pdf):
         """Values and errors; a batch that raises is halved until the bad rows stand alone."""
         try:
             return list(model(pdf)), [None] * len(pdf)
@@ -131,15 +138,34 @@ def run_models(
             if len(pdf) == 1:
                 return [None], [str(problem)]
             half = len(pdf) // 2
-            first, second = attempt(pdf.iloc[:half]), attempt(pdf.iloc[half:])
+            first, second = attempt(model, pdf.iloc[:half]), attempt(model, pdf.iloc[half:])
             return first[0] + second[0], first[1] + second[1]
 
+    def load(kind):
+        """The model of a kind, or why there is none."""
+        if callable(model):
+            return model, None
+        if kind not in model:
+            return None, f"no model for kind: {kind}"
+        try:
+            return model[kind](), None
+        except Exception as problem:
+            return None, f"cannot load {kind}: {problem}"
+
     def work(batches):
+        loaded = {}
         for pdf in batches:
-            out = pdf[["id", "media_file_id", "searchable_config_id"]].reset_index(drop=True)
-            out["searchable_config_id"] = out["searchable_config_id"].astype("Int64")
-            out["value_json"], out["error"] = attempt(pdf) if len(pdf) else ([], [])
-            yield out
+            for kind, part in [(None, pdf)] if callable(model) else pdf.groupby("job_kind"):
+                if kind not in loaded:
+                    loaded[kind] = load(kind)
+                ready, missing = loaded[kind]
+                out = part[["id", "media_file_id", "searchable_config_id"]].reset_index(drop=True)
+                out["searchable_config_id"] = out["searchable_config_id"].astype("Int64")
+                if missing:
+                    out["value_json"], out["error"] = None, missing
+                else:
+                    out["value_json"], out["error"] = attempt(ready, part) if len(part) else ([], [])
+                yield out
 
     known = claimed.where(F.col("job_kind").isin(*MODEL_KINDS))
     work_rows = known.select(

@@ -6,9 +6,8 @@ a job that dies leaves its items running and visible, and nothing is done twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 
 from shoebox.operators import annotate, browse
@@ -32,9 +31,9 @@ def enqueue(
     return new.count()
 
 
-def run_batch(catalog: Catalog, model: Callable[[pd.DataFrame], pd.Series], size: int, now: Column) -> dict:
-    """Claim the oldest ``size`` runnable items, run the model on them and record what it
-    gave; counts of done and failed.  Nothing left to claim gives zeros."""
+def run_batch(catalog: Catalog, model: annotate.Model | Mapping[str, Callable[[], annotate.Model]], size: int, now: Column) -> dict:
+    """Claim the oldest ``size`` runnable items, run the model, or that of their kind, on them
+    and record what it gave; counts of done and failed.  Nothing left to claim gives zeros."""
     media = catalog.read("media")
     batch = stored(annotate.next_batch(catalog.read("work_items"), media, size), "claimed")
     claimed = stored(annotate.claim(batch, media, size, now), "running")

@@ -333,6 +333,34 @@ def m3(fx):
     return after.join(values.select("media_file_id", "value_json"), "media_file_id", "left").select("id", "status", "error", "value_json")
 
 
+@query(
+    "M3_annotate_by_kind",
+    """
+    SELECT w.id, CASE job_kind WHEN 'classifier' THEN CASE WHEN file_size % 3 = 0 THEN 'divisible' END WHEN 'visionlanguage' THEN 'no model for kind: visionlanguage' END AS error,
+           CASE WHEN job_kind = 'tagger' THEN concat('{"size":', file_size, '}')
+                WHEN job_kind = 'classifier' AND file_size % 3 <> 0 THEN concat('{"class":', file_size % 3, '}') END AS value_json
+    FROM fx_work_items w JOIN fx_media m ON m.id = w.media_file_id WHERE w.status = 'running' AND job_kind <> 'mystery'
+    """,
+)
+def m3_by_kind(fx):
+    """Running items, each by the model of its kind; one kind has none."""
+
+    def tagger():
+        return lambda pdf: pdf["file_size"].map(lambda n: '{"size":%d}' % n)
+
+    def classifier():
+        def model(pdf):
+            if (pdf["file_size"] % 3 == 0).any():
+                raise ValueError("divisible")
+            return pdf["file_size"].map(lambda n: '{"class":%d}' % (n % 3))
+
+        return model
+
+    items = fx.work_items().withColumn("searchable_config_id", F.lit(1).cast("bigint"))
+    models = {"tagger": tagger, "classifier": classifier}
+    return annotate.run_models(items.where(F.col("status") == "running"), fx.media(), models).select("id", "error", "value_json")
+
+
 @query(
     "M3_annotation_job",
     f"""

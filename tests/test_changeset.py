@@ -116,6 +116,36 @@ def test_annotate_isolates_bad_rows(make, spark, now):
     assert [(r.media_file_id, r.value_json) for r in values.collect()] == [(1, '{"by":"m"}')]
 
 
+def test_models_by_kind_are_loaded_once_a_task(make, spark, tmp_path):
+    import datetime as dt
+
+    stamp, n = dt.datetime(2024, 1, 1), 300
+    media = make.media([{"id": i, "relative_path": f"{i}", "file_size": i} for i in range(n)])
+    kinds = ["tagger", "classifier", "visionlanguage"]
+    items = spark.createDataFrame([(i, i, 7, kinds[i % 3], None, "running", 0, None, stamp, stamp) for i in range(n)], WORK_ITEMS)
+    log = str(tmp_path / "loads")
+
+    def tagger():
+        with open(log, "a") as f:
+            f.write("loaded\n")
+        return lambda pdf: pdf["file_size"].map(str)
+
+    def classifier():
+        raise OSError("no weights")
+
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {r.id: (r.value_json, r.error) for r in annotate.run_models(items, media, {"tagger": tagger, "classifier": classifier}, tasks=2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    wanted = [lambda i: (str(i), None), lambda i: (None, "cannot load classifier: no weights"), lambda i: (None, "no model for kind: visionlanguage")]
+    assert got == {i: wanted[i % 3](i) for i in range(n)}
+    with open(log) as f:
+        assert 1 <= len(f.readlines()) <= 2
+    assert annotate.run_models(items.limit(0), media, {"tagger": tagger}).count() == 0
+
+
 def test_counts_come_from_the_writing_job(make):
     rows, seen = changeset.counted(make.media([{"id": 1, "relative_path": "a"}, {"id": 2, "relative_path": "b", "is_present": False}]), "n", gone=~F.col("is_present"))
     rows.write.format("noop").mode("overwrite").save()
