@@ -84,21 +84,31 @@ def climbed(folders: DataFrame) -> DataFrame:
 
 
 def closure_recursive(folders: DataFrame) -> DataFrame:
-    """The same relation by following ``parent_id``; a parent cycle fails at the
-    recursion limit instead of running on."""
-    return folders.sparkSession.sql(
-        """
-        WITH RECURSIVE up(ancestor_id, folder_id, depth) AS (
-          SELECT id, id, 0 FROM {folders}
-          UNION ALL
-          SELECT f.parent_id, up.folder_id, up.depth + 1
-          FROM up JOIN {folders} f ON f.id = up.ancestor_id
-          WHERE f.parent_id IS NOT NULL
-        )
-        SELECT ancestor_id, folder_id, depth FROM up
-        """,
-        folders=folders.select("id", "parent_id"),
-    )
+    """The same relation by following ``parent_id``, whatever its size and depth.
+
+    The recursion's rows are made by doubling: what is known up to some depth, joined to
+    the ancestor at that depth, gives the rows up to twice of it, each of them once.  Rounds are
+    written to the shared checkpoint folder, and no limit on levels or rows applies.  A
+    parent that does not exist is an ancestor without any of its own; a parent cycle fails as soon
+    as a folder turns up as its own ancestor.
+    """
+    found = folders.select(F.col("id").alias("ancestor_id"), F.col("id").alias("folder_id"), F.lit(0).alias("depth"))
+    # the ancestor that stands ``reach`` levels up
+    jump = checkpointed(folders.where(F.col("parent_id").isNotNull()).select(F.col("id").alias("folder_id"), F.col("parent_id").alias("at")))
+    reach = 1
+    while not jump.isEmpty():
+        above = found.select(F.col("folder_id").alias("at"), "ancestor_id", F.col("depth").alias("_depth"))
+        # a hot ancestor's folders are on the left, where they may be split
+        further = checkpointed(jump.join(above, "at", "left").select(
+            F.coalesce("ancestor_id", "at").alias("ancestor_id"), "folder_id", (F.coalesce("_depth", F.lit(0)) + reach).cast("int").alias("depth"),
+        ))
+        looped = further.where("ancestor_id = folder_id").agg(F.min("folder_id")).first()[0]
+        if looped is not None:
+            raise ValueError(f"RECURSION without end: the parents of folder {looped} form a cycle")
+        found = found.unionByName(further)
+        jump = checkpointed(jump.join(jump.select(F.col("folder_id").alias("at"), F.col("at").alias("_at")), "at").select("folder_id", F.col("_at").alias("at")))
+        reach *= 2
+    return found
 
 
 def subtree(tree: DataFrame, root_id: int) -> DataFrame:

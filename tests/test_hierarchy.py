@@ -53,6 +53,25 @@ def test_cycle_fails(make, spark):
         spark.conf.set("spark.sql.cteRecursionLevelLimit", limit)
 
 
+def test_recursion_has_no_limit_on_rows_or_levels(make, spark):
+    folders = make.folders([
+        {"id": 1, "path": "/r"}, {"id": 2, "parent_id": 1, "path": "/r/a"}, {"id": 3, "parent_id": 2, "path": "/r/a/b"},
+        {"id": 4, "parent_id": 3, "path": "/r/a/b/c"}, {"id": 5, "parent_id": 99, "path": "/x/y"}, {"id": 6, "parent_id": 5, "path": "/x/y/z"},
+    ])
+    limits = {"spark.sql.cteRecursionLevelLimit": "2", "spark.sql.cteRecursionRowLimit": "5"}
+    before = {name: spark.conf.get(name) for name in limits}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        found = [tuple(r) for r in hierarchy.closure_recursive(folders).collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sorted(found) == sorted(
+        [(k, k, 0) for k in range(1, 7)] + [(1, 2, 1), (2, 3, 1), (3, 4, 1), (1, 3, 2), (2, 4, 2), (1, 4, 3), (99, 5, 1), (5, 6, 1), (99, 6, 2)])
+    assert hierarchy.closure_recursive(folders.limit(0)).count() == 0
+
+
 def test_tree_order_keeps_same_named_trees_apart(make):
     folders = make.folders([
         {"id": 1, "path": "/b/Photos"}, {"id": 2, "parent_id": 1, "path": "/b/Photos/x"},
