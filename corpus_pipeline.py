@@ -32,7 +32,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of every group of near copies: texts whose sets of five-word
-    shingles have a Jaccard similarity of 0.8 or more, confirmed pair by pair."""
+    shingles have a Jaccard similarity of 0.8 or more.  SimHash fingerprints of the shingles
+    propose pairs, which are confirmed on the sets; a prefix filter adds the near pairs whose
+    fingerprints lie too far apart."""
     return near_copies.keep_one(docs, shingle=5, share=0.8)
 
 

@@ -1,7 +1,9 @@
-"""Near copies by the exact Jaccard similarity of their word shingles.
+"""Near copies by SimHash and the exact Jaccard similarity of their word shingles.
 
-In any one order of all shingles, two sets whose Jaccard similarity is at least ``share``
-meet in the first ``n - ceil(share * n) + 1`` shingles of each (prefix filter), so the
+SimHash fingerprints of the same shingles, linked through the tree of ``simhash``, propose
+pairs, and those that are near are links.  Near sets whose fingerprints lie further apart
+are found by a prefix filter, among texts that are not linked yet: in any one order of all shingles, two sets whose Jaccard similarity is at least ``share``
+meet in the first ``n - ceil(share * n) + 1`` shingles of each, so the
 candidates hold every near pair.  Each candidate is confirmed on the whole sets.  The
 order is by hash, with the shingles that are common in a sample last; it decides how
 many candidates there are, never which pairs are found.
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoebox.llm import simhash
 from shoebox.llm.common import components, discard, fresh, small_batches, stored
 from shoebox.llm.phrases import _filter_of
 from shoebox.llm.simhash import SLICE_SHINGLES, _sliced, xxh64
@@ -70,11 +73,12 @@ def _sketch(found: np.ndarray) -> np.ndarray:
 
 
 def _with_sets(docs: DataFrame, keep: list[str], text: str, shingle: int, part=lambda found: found) -> DataFrame:
-    """Columns ``keep`` plus ``key``, ``n`` (how many shingles), ``part`` of their hashes and a sketch."""
+    """Columns ``keep`` plus ``key``, ``n`` (how many shingles), ``part`` of their hashes, a
+    sketch and the SimHash fingerprint."""
     inner = fresh(keep, "_text")
     rows = docs.select(*keep, F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias(inner))
     none = F.array().cast("array<bigint>")
-    schema = docs.select(*keep).withColumns({"key": F.lit(0).cast("long"), "n": F.lit(0), "hashes": none, "sketch": none}).schema
+    schema = docs.select(*keep).withColumns({"key": F.lit(0).cast("long"), "n": F.lit(0), "hashes": none, "sketch": none, "fingerprint": F.lit(0).cast("long")}).schema
 
     def run(batches):
         for batch in small_batches(batches):
@@ -88,7 +92,8 @@ def _with_sets(docs: DataFrame, keep: list[str], text: str, shingle: int, part=l
                 sketches = [_sketch(s) for s in sets]
                 ends = np.r_[0, np.cumsum([len(s) for s in sketches])].astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches)))
-                columns = [*batch.slice(a, b - a).columns[:-1], pa.array(keys, pa.int64()), sizes, hashes, sketch]
+                prints = pa.array(simhash.fingerprints(texts[a:b], shingle).view(np.int64))
+                columns = [*batch.slice(a, b - a).columns[:-1], pa.array(keys, pa.int64()), sizes, hashes, sketch, prints]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -192,11 +197,25 @@ def _met(postings: DataFrame, least: Fraction) -> DataFrame:
     return ordered.mapInArrow(meet, "h long, key long, other long, n int, pos int")
 
 
-def links(rows: DataFrame, sets_of, share: float = 0.8) -> DataFrame:
+def told(rows: DataFrame, reach: int = 3) -> DataFrame:
+    """Pairs ``(a, b)`` of keys that SimHash proposes: texts of one fingerprint meet the one of
+    the smallest key, and these meet along the links of fingerprints that differ in at most
+    ``reach`` bits."""
+    keys = rows.select("key", "fingerprint").distinct()
+    least = stored(keys.groupBy("fingerprint").agg(F.min("key").alias("least")), "near-prints")
+    same = keys.join(least, "fingerprint").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    x, y = (least.select(F.col("fingerprint").alias(c), F.col("least").alias(f"_{c}")) for c in ("a", "b"))
+    near = simhash.links(least.select("fingerprint"), reach).join(x, "a").join(y, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    pairs = same.unionByName(near).where("a != b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(rows: DataFrame, sets_of, share: float = 0.8, reach: int = 3) -> DataFrame:
     """Confirmed pairs ``(a, b)`` of keys that connect all keys that near pairs connect.
 
-    ``rows`` has ``key``, ``n``, ``sketch`` and ``hashes``, the prefix in the common order;
-    ``sets_of(keys)`` gives whole sets.  All texts of a shingle that few share meet.
+    ``rows`` has ``key``, ``n``, ``sketch``, ``fingerprint`` and ``hashes``, the prefix in the
+    common order; ``sets_of(keys)`` gives whole sets.  What SimHash proposes is confirmed first.
+    Then all texts of a shingle that few share meet, unless they are connected already.
     Those of other shingles first meet one of them each, in rounds; only members that no
     confirmed pair connects meet each other after that, so a large group of copies
     costs its size and not its square.
@@ -204,8 +223,13 @@ def links(rows: DataFrame, sets_of, share: float = 0.8) -> DataFrame:
     least = Fraction(str(share))
     met = stored(_met(rows.select("key", "n", F.posexplode("hashes").alias("pos", "h")), least), "near-met")
     sketches = stored(rows.select("key", "n", "sketch").dropDuplicates(["key"]), "near-sketches")
+    found = _confirmed(stored(told(rows, reach), "near-told"), sketches, sets_of, least)
+    roots = components(found, "near-components")
     pairs = met.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
-    found = _confirmed(pairs, sketches, sets_of, least)
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
+    pairs = pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    found = found.unionByName(_confirmed(pairs, sketches, sets_of, least))
     members = met.where("other is null").select("h", "key", "n", "pos")
     if members.isEmpty():
         return found
@@ -245,12 +269,13 @@ def links(rows: DataFrame, sets_of, share: float = 0.8) -> DataFrame:
     return found
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, share: float = 0.8, sample: int = 1 << 14) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, share: float = 0.8, sample: int = 1 << 14, reach: int = 3) -> DataFrame:
     """``docs`` with one row left of every group that near pairs connect: that of the
     smallest id, and of rows with that id the one whose text hashes lowest.
 
     Two texts are near if the Jaccard similarity of their shingle sets is at least
-    ``share``; texts without words are one group.  A null id stays only if its group has
+    ``share``, however far apart their SimHash fingerprints lie (``reach`` bits is how far these
+    propose pairs); texts without words are one group.  A null id stays only if its group has
     no other; of wholly repeated rows one stays.  Texts and shingles are told apart by
     64-bit hashes.
     """
@@ -282,9 +307,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
         # of the other texts only a few get as far as the join
         some = slim.select("id", "print", "text").withColumn("term", F.xxhash64("id", "print")).where(_filter_of(one, "term"))
         texts = some.join(one, ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
-        return _with_sets(texts, [], "text", shingle).drop("sketch")
+        return _with_sets(texts, [], "text", shingle).drop("sketch", "fingerprint")
 
-    roots = components(stored(links(rows, sets_of, share), "near-all"), "near-components")
+    roots = components(stored(links(rows, sets_of, share, reach), "near-all"), "near-components")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print", "id")).alias("first")
     # copies meet by key before the few linked keys meet their roots
     copies = rows.groupBy("key").agg(first).join(roots.withColumnRenamed("node", "key"), "key", "left")

@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from shoebox.llm import near_copies
+from shoebox.llm import near_copies, simhash
 from tests.llm import plain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -60,6 +60,19 @@ def test_similarity_of_exactly_the_share(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_simhash_proposes_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(900)}" for _ in range(3000)]
+    changed = [*words[:1500], "other", *words[1501:]]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(reversed(words))), (4, " ".join(words).upper())]
+    prints = simhash.fingerprints([t.encode() for _, t in rows], 5)
+    assert (int(prints[0]) ^ int(prints[1])).bit_count() <= 3 < (int(prints[0]) ^ int(prints[2])).bit_count()
+    # nothing meets by shingles here: what is linked, SimHash has proposed
+    monkeypatch.setattr(near_copies, "_met", lambda *_: spark.createDataFrame([], "h long, key long, other long, n int, pos int"))
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_tiny_tables(spark):
     df = spark.createDataFrame([(5, "a b c d")], "doc_id long, text string")
     assert near_copies.keep_one(df).count() == 1 and near_copies.keep_one(df.limit(0)).count() == 0
