@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.llm import langid, mixing, near_copies, phrases, tokens
-from shoebox.llm.common import fresh, stored, table
+from shoebox.llm.common import fresh, lean_batches, stored, table
 
 # a text of which known languages explain less than this share is in none of them
 LEAST_SHARE = 0.2
@@ -66,5 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty table gives no rows; columns beyond the given ones are carried up to the last stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with lean_batches(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
