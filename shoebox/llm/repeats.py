@@ -37,6 +37,8 @@ SLICE = 1 << 19
 # bytes of text to a bucket, and bytes of pieces put in order at once
 BUCKET = 32 << 20
 BLOCK = 1 << 20
+# pieces laid out side by side at once
+ROWS = 1 << 14
 # an anchor of more pieces is dealt by single strings
 MANY = 1 << 17
 BASE = 0x9E3779B97F4A7C15
@@ -174,6 +176,35 @@ def _rows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -
     return np.ascontiguousarray(np.c_[table, sizes.astype(np.uint8)]).view(np.dtype((np.void, width + 1))).ravel()
 
 
+def _distinct(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(first, which)``: one occurrence of every distinct piece, and the piece of each
+    occurrence.  Equal pieces have equal keys, so pieces are told apart among those of some keys at
+    a time, and of these among ``ROWS`` at most before what is left of them meets."""
+    part = (key >> np.uint64(16)) % np.uint64(max(1, -(-len(key) // ROWS)))
+    order = np.argsort(part, kind="stable")
+    first, which, n = [], np.empty(len(key), np.int64), 0
+
+    def unique(some):
+        return np.unique(_rows(data, starts[some], sizes[some], width), return_index=True, return_inverse=True)[1:]
+
+    for a, b in _same(part[order]):
+        kept, inner, seen = [], [], 0
+        for low in range(a, b, ROWS):
+            some = order[low : min(low + ROWS, b)]
+            at, where = unique(some)
+            kept.append(some[at])
+            inner.append(where + seen)
+            seen += len(at)
+        left, piece = np.concatenate(kept), np.concatenate(inner)
+        if len(kept) > 1:
+            at, where = unique(left)
+            left, piece = left[at], where[piece]
+        first.append(left)
+        which[order[a:b]] = piece + n
+        n += len(left)
+    return np.concatenate([np.zeros(0, np.int64), *first]), which
+
+
 def _spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers from ``first``, ``count`` of them each, and whose they are."""
     whose = np.repeat(np.arange(len(first)), count)
@@ -222,13 +253,12 @@ class Chunk:
         self.many = np.r_[self.count[plain], np.ones(len(single), np.int64)]
         self.owner = self.order[np.r_[self.text[plain], self.text[whose]]]
         width = 2 * self.length - max(1, self.length // 3)
-        rows = _rows(self.data, self.at, self.many + self.length - 1, width)
-        _, first, self.piece = np.unique(rows, return_index=True, return_inverse=True)
-        self.own = np.full(len(first), LAST)
-        np.minimum.at(self.own, self.piece, self.owner)
         key = np.r_[self.anchor[plain], np.zeros(len(single), np.uint64)]
         if len(single):
             key[len(plain) :] = self._of_strings(single)
+        first, self.piece = _distinct(self.data, self.at, self.many + self.length - 1, key, width)
+        self.own = np.full(len(first), LAST)
+        np.minimum.at(self.own, self.piece, self.owner)
         self.key, self.from_, self.strings = key[first], self.at[first], self.many[first]
         bucket = (self.key >> np.uint64(32)).astype(np.int64) % self.buckets
         self.by_piece = np.argsort(bucket, kind="stable")

@@ -98,6 +98,19 @@ def test_core_with_small_steps(monkeypatch):
     repeats._powers.cache_clear()
 
 
+def test_occurrences_are_laid_out_a_few_at_a_time(monkeypatch):
+    monkeypatch.setattr(repeats, "ROWS", 64)
+    at_once, rows = [], repeats._rows
+    monkeypatch.setattr(repeats, "_rows", lambda data, starts, *rest: (at_once.append(len(starts)), rows(data, starts, *rest))[1])
+    # very many occurrences of few strings, and some strings once
+    data = np.frombuffer(b"the same line here.\n" * 200 + bytes(range(60, 250)), np.uint8)
+    starts = np.arange(len(data) - 49)
+    first, which = repeats._distinct(data, starts, np.full(len(starts), 50), repeats._grams(data, 50), 84)
+    strings = [data[i : i + 50].tobytes() for i in starts]
+    assert len(first) == len(set(strings)) and [strings[i] for i in first[which]] == strings
+    assert max(at_once) <= 2 * 64 and [len(x) for x in repeats._distinct(data, starts[:0], starts[:0], np.zeros(0, np.uint64), 84)] == [0, 0]
+
+
 def test_tiny_tables(spark):
     check(spark, [])
     check(spark, [(1, None), (2, "")])
