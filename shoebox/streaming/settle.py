@@ -48,13 +48,21 @@ class Burst:
         return "remove" if (self.last_removed if order == "latest" else self.removed) else "upsert"
 
 
+def with_bursts(bursts: list[Burst], new: list[Burst], gap: int) -> list[Burst]:
+    """All bursts in order, those no further from each other than the gap joined: one sort
+    and one pass, however many there are."""
+    joined: list[Burst] = []
+    for b in sorted([*bursts, *new], key=lambda b: b.first):
+        if joined and joined[-1].last + gap >= b.first:
+            joined[-1] = joined[-1].joined(b)
+        else:
+            joined.append(b)
+    return joined
+
+
 def with_burst(bursts: list[Burst], new: Burst, gap: int) -> list[Burst]:
     """Bursts in order, those no further from ``new`` than the gap joined with it."""
-    apart = [b for b in bursts if b.last + gap < new.first or new.last + gap < b.first]
-    for b in bursts:
-        if b not in apart:
-            new = new.joined(b)
-    return sorted([*apart, new], key=lambda b: b.first)
+    return with_bursts(bursts, [new], gap)
 
 
 def passed_on(bursts: list[Burst], clock: int, gap: int, order: str) -> list[tuple]:
@@ -92,10 +100,12 @@ def settled(events: DataFrame, gap: str = "500 milliseconds", delay: str = "2 se
         clock = state.getCurrentWatermarkMs() * 1000
         bursts = [Burst(*b) for b in json.loads(state.get[0])] if state.exists else []
         if not state.hasTimedOut:
+            new = []
             for batch in batches:
-                for when, number, what in zip(batch["at"], batch["event_id"], batch["kind"], strict=True):
+                for when, number, what in zip(batch["at"].tolist(), batch["event_id"].tolist(), batch["kind"].tolist(), strict=True):
                     removed = what == "remove"
-                    bursts = with_burst(bursts, Burst(int(when), int(when), int(number), removed, removed, 1), gap_us)
+                    new.append(Burst(when, when, number, removed, removed, 1))
+            bursts = with_bursts(bursts, new, gap_us)
         rows = passed_on(bursts, clock, gap_us, order)
         bursts = [b for b in bursts if not b.sent or b.last + keep_us >= clock or b is bursts[-1]]
         waiting = [b.last + gap_us for b in bursts if not b.sent]
@@ -105,7 +115,9 @@ def settled(events: DataFrame, gap: str = "500 milliseconds", delay: str = "2 se
         else:
             state.update((json.dumps([b.stored() for b in bursts]),))
             state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["path", "kind", "n_events", "first_at", "last_at", "last_id", "stale"])
+        # a path with nothing to pass on costs no frame
+        if rows:
+            yield pd.DataFrame([(key[0], *r) for r in rows], columns=["path", "kind", "n_events", "first_at", "last_at", "last_id", "stale"])
 
     found = alive.groupBy("path").applyInPandasWithState(step, SETTLED, "bursts string", "append", GroupStateTimeout.EventTimeTimeout)
     naive = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")

@@ -114,3 +114,15 @@ def test_stream_beside_a_scan(spark, tmp_path, now):
     ).awaitTermination()
     assert {n: r.is_present for n, r in media_of(Catalog(spark, catalog.root)).items()} == {"a.png": True, "b.png": True, "c.png": True}
     assert meddled and sum(c["missing"] for c in seen) == 1 and not any(c["replayed"] for c in seen)
+
+
+def test_work_of_a_busy_path_is_in_step_with_its_events(monkeypatch):
+    joins, joined = [], settle.Burst.joined
+    monkeypatch.setattr(settle.Burst, "joined", lambda self, other: (joins.append(1), joined(self, other))[1])
+    rng = random.Random(4)
+    times = [rng.randrange(40_000) for _ in range(20_000)]
+    new = [settle.Burst(at, at, k, k % 3 == 0, k % 3 == 0, 1) for k, at in enumerate(times)]
+    found = settle.with_bursts(settle.with_bursts([], new[:9_000], 4), new[9_000:], 4)
+    want = bursts_of([(at, k, k % 3 == 0) for k, at in enumerate(times)], 4)
+    assert len(found) == len(want) > 100 and sum(b.n for b in found) == 20_000 and len(joins) < 20_000
+    assert all(a.last + 4 < b.first for a, b in zip(found, found[1:], strict=False))
