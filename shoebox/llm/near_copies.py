@@ -143,13 +143,41 @@ def _apart(a: Column, b: Column) -> Column:
     return F.when(F.size(x) == F.size(y), bits).otherwise(0)
 
 
+def _partnered(h: np.ndarray, n: np.ndarray, pos: np.ndarray, least: Fraction) -> np.ndarray:
+    """Which postings, ordered by shingle, may be the first that their text has in common with a
+    near one: a text of the shingle is large enough for it, and not too large for what follows ``pos``."""
+    up, down = least.numerator + least.denominator, least.numerator
+    group = np.cumsum(np.r_[False, h[1:] != h[:-1]])
+    order = np.lexsort((n, group))
+    own, size, rest = group[order], n[order], (n - pos)[order]
+    # the smallest other text that is large enough
+    other = np.searchsorted(own << 32 | size, own << 32 | -(-size * down // least.denominator))
+    other += other == np.arange(len(h))
+    last = np.minimum(other, len(h) - 1)
+    some = (other < len(h)) & (own[last] == own) & (rest * up >= (size + size[last]) * down)
+    out = np.zeros(len(h), bool)
+    out[order] = some
+    return out
+
+
 def _met(postings: DataFrame, least: Fraction) -> DataFrame:
     """From ``(h, key, n, pos)``: the pairs of keys that meet in a shingle of few texts
-    (``h`` null), and the postings of shingles that more texts share (``other`` null)."""
+    (``h`` null), and the postings of shingles that more texts share (``other`` null).  Near
+    sets have nothing in common before the first shingle where they meet, so there what
+    follows it in the one with less is enough; pairs and postings of which that cannot be said are left out."""
     up, down = least.numerator + least.denominator, least.numerator
 
     def meet(batches):
         def run(h, key, n, pos):
+            for _ in range(2):
+                # most shingles are in one text only
+                twice = np.r_[False, h[1:] == h[:-1]]
+                twice[:-1] |= twice[1:]
+                h, key, n, pos = h[twice], key[twice], n[twice], pos[twice]
+                kept = _partnered(h, n, pos, least) if len(h) else twice[:0]
+                h, key, n, pos = h[kept], key[kept], n[kept], pos[kept]
+                if not len(h):
+                    return
             first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             size = np.repeat(np.diff(np.r_[first, len(h)]), np.diff(np.r_[first, len(h)]))
             some = size <= FEW
@@ -157,7 +185,7 @@ def _met(postings: DataFrame, least: Fraction) -> DataFrame:
             for step in range(1, min(FEW, len(h))):
                 i = np.flatnonzero((h[step:] == h[:-step]) & some[step:])
                 j = i + step
-                most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+                most = np.minimum(n[i] - pos[i], n[j] - pos[j])
                 near = most * up >= (n[i] + n[j]) * down
                 a.append(key[i[near]])
                 b.append(key[j[near]])
@@ -232,12 +260,13 @@ def links(rows: DataFrame, sets_of, share: float = 0.8, reach: int = 3) -> DataF
     found = found.unionByName(_confirmed(pairs, sketches, sets_of, least))
     members = met.where("other is null").select("h", "key", "n", "pos")
     if members.isEmpty():
+        for table in (met, sketches):
+            discard(table)
         return found
 
     def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
-        before = F.least("x.pos", "y.pos")
         rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-        near = _enough((before + rest).cast("long"), F.col("x.n"), F.col("y.n"), least)
+        near = _enough(rest.cast("long"), F.col("x.n"), F.col("y.n"), least)
         pairs = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & near)
         return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
@@ -246,7 +275,11 @@ def links(rows: DataFrame, sets_of, share: float = 0.8, reach: int = 3) -> DataF
         roots = components(found, "near-components").withColumnRenamed("node", "key")
         labelled = members.join(roots, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
         left = labelled.groupBy("h").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).where("_l < _m").select("h")
-        open_ = stored(labelled.join(left, "h", "left_semi"), "near-open")
+        open_, closed = stored(labelled.join(left, "h", "left_semi"), "near-open"), members
+        # a shingle whose texts are all connected stays so
+        members = open_.select("h", "key", "n", "pos")
+        if step:
+            discard(closed)
         # how many pairs are left, and how many rows they stem from
         sizes = open_.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
         size = sizes.agg(F.sum("m").alias("m"), F.sum((F.col("m") * F.col("m") - F.col("s")) / 2).alias("p")).first()
@@ -257,12 +290,11 @@ def links(rows: DataFrame, sets_of, share: float = 0.8, reach: int = 3) -> DataF
         if step == PIVOT_ROUNDS or size.p <= 4 * size.m or (before is not None and size.p >= 0.9 * before):
             break
         before = size.p
-        # one member of each shingle, another one in each round
-        order = F.xxhash64("key", F.lit(step))
+        # one member of each shingle, another one in each round; first the one with the least that others lack
+        order = F.struct(F.col("pos") if step == 0 else F.lit(0).alias("pos"), F.xxhash64("key", F.lit(step)).alias("by"))
         pivot = open_.groupBy("h").agg(F.min(order).alias("_least"))
         pivots = open_.join(pivot, "h").where(order == F.col("_least")).drop("_least")
         found = found.unionByName(_confirmed(pairs_of(pivots, open_), sketches, sets_of, least))
-        discard(open_)
     found = found.unionByName(_confirmed(pairs_of(open_, open_), sketches, sets_of, least))
     for table in (met, sketches, open_):
         discard(table)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from fractions import Fraction
 
 import corpus_pipeline
 from shoebox.llm import near_copies, simhash
@@ -73,6 +74,17 @@ def test_simhash_proposes_pairs(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_texts_too_far_along_in_a_common_shingle_do_not_meet(spark):
+    # of 100 shingles 15 come before the common one, so two such texts share 85 of 115 at most
+    far = [(7, key, 100, 15) for key in range(300)]
+    few = [(8, key, 100, 12) for key in range(5)]
+    # ten that have it early, and one too small for all of them
+    early = [(9, key, 100, key % 3) for key in range(10)] + [(9, 10, 70, 0)]
+    rows = spark.createDataFrame(far + few + early, "h long, key long, n int, pos int")
+    met = near_copies._met(rows, Fraction(4, 5)).collect()
+    assert sorted((r.h, r.key, r.n, r.pos) for r in met) == sorted(early[:10]) and all(r.other is None for r in met)
+
+
 def test_tiny_tables(spark):
     df = spark.createDataFrame([(5, "a b c d")], "doc_id long, text string")
     assert near_copies.keep_one(df).count() == 1 and near_copies.keep_one(df.limit(0)).count() == 0
