@@ -8,8 +8,8 @@ id.  Texts lie in chunks.  Strings are told apart in three steps:
    carry hashes, and bits come back.
 2. Neighbouring strings of one anchor form a piece.  Pieces of the anchors left meet in a
    task by their anchor; equal pieces count once, with the least id.
-3. There, blocks of pieces are put in suffix order, threshold-bounded: the
-   Burrows-Wheeler transform is taken, and from the intervals of single characters all
+3. There, strings whose hash no other piece has are left out, and blocks of the rest are put in
+   suffix order, threshold-bounded: the Burrows-Wheeler transform is taken, and from the intervals of single characters all
    intervals are extended backwards at once, breadth first.  Each round sets the borders of the
    strings one longer, hence common prefixes by increasing value, and the last round is
    that of ``length``.  An interval left whole is a repeated string; its least id goes back
@@ -342,6 +342,28 @@ def _flag(rows: list) -> list[tuple]:
     return [(r[0], shared[a:b], hot[a:b]) for r, a, b in zip(rows, [0, *ends[:-1]], ends, strict=True)]
 
 
+def _again(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Which strings of the pieces have a hash that another one has too: all that are equal to
+    another, and by chance a few more."""
+    hashes = [np.zeros(0, np.uint64)]
+    upto = np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):
+        before = upto[low] - sizes[low]
+        high = max(low + 1, int(np.searchsorted(upto, before + SLICE, side="right")))
+        places, whose = _spread(starts[low:high], sizes[low:high])
+        left = upto[low:high][whose] - before - np.arange(len(places))
+        hashes.append(_grams(data[places], length)[left[: len(places) - length + 1] >= length])
+        low = high
+    found = np.concatenate(hashes)
+    ranked = np.sort(found)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    twice = twice[np.r_[True, twice[1:] != twice[:-1]][: len(twice)]]
+    if not len(twice):
+        return np.zeros(len(found), bool)
+    return twice[np.minimum(np.searchsorted(twice, found), len(twice) - 1)] == found
+
+
 def _resolve(rows: list, length: int) -> dict[int, list[np.ndarray]]:
     """For each row of pieces, strings that a text of a smaller id than its own has:
     ``(piece, first string, how many, least id)``."""
@@ -369,19 +391,28 @@ def _resolve(rows: list, length: int) -> dict[int, list[np.ndarray]]:
         least_own = np.full(len(first), LAST)
         np.minimum.at(least_own, which, own[mine])
         kept = mine[first]
-        # distinct pieces, a separator after each
-        places, whose = _spread(start[kept], sizes[kept])
-        into = np.arange(len(places)) + whose
-        symbols = np.zeros(len(places) + len(kept), np.uint16)
-        symbols[into] = data[places].astype(np.uint16) + 1
-        value = np.full(len(symbols), LAST)
-        base = np.cumsum(sizes[kept] + 1) - sizes[kept] - 1
-        string, whose = _spread(base, strings[kept])
-        value[string] = least_own[whose]
-        suffix, prefix = intervals(symbols, length)
-        borders = np.flatnonzero(prefix < length)
-        least = np.empty(len(symbols), np.int64)
-        least[suffix] = np.repeat(np.minimum.reduceat(value[suffix], borders), np.diff(np.r_[borders, len(suffix)]))
+        base = np.cumsum(strings[kept]) - strings[kept]
+        least = np.repeat(least_own, strings[kept])
+        # strings of one piece only have its least id; runs of the others, a separator after each
+        again = _again(data, start[kept], sizes[kept], length)
+        edge = np.r_[True, again[1:] != again[:-1]]
+        edge[base] = True
+        begin = np.flatnonzero(edge)
+        count = np.diff(np.r_[begin, len(again)])[again[begin]]
+        begin = begin[again[begin]]
+        if len(begin):
+            owner = np.searchsorted(base, begin, side="right") - 1
+            places, whose = _spread(start[kept][owner] + begin - base[owner], count + length - 1)
+            symbols = np.zeros(len(places) + len(begin), np.uint16)
+            symbols[np.arange(len(places)) + whose] = data[places].astype(np.uint16) + 1
+            value = np.full(len(symbols), LAST)
+            string, whose = _spread(np.cumsum(count + length) - count - length, count)
+            value[string] = least_own[owner[whose]]
+            suffix, prefix = intervals(symbols, length)
+            borders = np.flatnonzero(prefix < length)
+            lowest = np.empty(len(symbols), np.int64)
+            lowest[suffix] = np.repeat(np.minimum.reduceat(value[suffix], borders), np.diff(np.r_[borders, len(suffix)]))
+            least[again] = lowest[string]
         # every piece's strings against the least id of its own chunk
         at, piece = _spread(base[which], strings[mine])
         found = least[at]

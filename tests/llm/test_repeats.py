@@ -139,3 +139,28 @@ def test_prefixes_by_increasing_value():
                 x, y = strings[j - 1], strings[j]
                 if len(y) == length and 0 not in y:
                     assert prefix[j] == next((k for k in range(length) if k >= len(x) or x[k] != y[k]), length)
+
+
+def test_only_strings_met_twice_are_put_in_order(monkeypatch):
+    rng = np.random.default_rng(6)
+    seen, plain_order = [], repeats.intervals
+    monkeypatch.setattr(repeats, "intervals", lambda symbols, length: seen.append(len(symbols)) or plain_order(symbols, length))
+    anchor = rng.integers(97, 123, 16, dtype=np.uint8)
+
+    def row(n, owner, group, shared=None):
+        body = [np.r_[rng.integers(97, 123, 17, dtype=np.uint8), anchor, rng.integers(97, 123, 17, dtype=np.uint8)] for _ in range(n)]
+        if shared is not None:
+            body[0] = shared
+        counts = np.full(n, 1, np.uint8)
+        return [owner, repeats.pack(np.full(n, group, np.uint32), counts, np.full(n, owner), np.concatenate(body))]
+
+    # pieces of one anchor that have no string in common, and two that are one string
+    assert repeats._resolve([row(200, 5, 1), row(200, 6, 1)], 50) == {} and not seen
+    wide = rng.integers(97, 123, 60, dtype=np.uint8)
+
+    def strings(owner, low, n):
+        return [owner, repeats.pack(np.array([1, 1], np.uint32), np.array([n, 1], np.uint8), np.full(2, owner), np.r_[wide[low : low + n + 49], rng.integers(97, 123, 50, dtype=np.uint8)])]
+
+    found = repeats._resolve([strings(7, 0, 9), strings(8, 2, 9)], 50)
+    # strings 2 to 8 are in both: seven strings of 56 bytes and a separator, twice
+    assert seen == [2 * 57] and {k: [x.tolist() for x in v] for k, v in found.items()} == {1: [[0], [0], [7], [7]]}
