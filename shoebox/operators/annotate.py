@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import json_cols
 from shoebox.operators.changeset import delete_where, merged, update_where
+from shoebox.operators.skew import with_position
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # The kinds of work a model can be asked for.
 MODEL_KINDS = ("tagger", "classifier", "visionlanguage")
+# The largest batch that is picked by a top-k, which one task holds.
+TOP_K = 10_000
 
 
 def upsert_values(values: DataFrame, new: DataFrame, now: Column) -> DataFrame:
@@ -77,8 +80,14 @@ def runnable(items: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def next_batch(items: DataFrame, media: DataFrame, size: int) -> DataFrame:
-    """The oldest ``size`` runnable items: a top-k, not a sort."""
-    return runnable(items, media).orderBy("created_at", "id").limit(size)
+    """The oldest ``size`` runnable items: a top-k, not a sort.  A batch too large for one
+    task is cut from items numbered in ranges and stays in them."""
+    ready = runnable(items, media)
+    if size <= TOP_K:
+        return ready.orderBy("created_at", "id").limit(size)
+    place = "_place"
+    numbered = with_position(ready, [F.col("created_at"), F.col("id")], place)
+    return numbered.where(F.col(place) <= size).select(*items.columns)
 
 
 def claim(items: DataFrame, media: DataFrame, size: int, now: Column) -> DataFrame:

@@ -14,6 +14,9 @@ from shoebox.operators import annotate, browse
 from shoebox.plans.ingest import stored
 from shoebox.sources.catalog import Catalog
 
+# Items a task runs a model on.
+ITEMS_PER_TASK = 2_000
+
 
 def enqueue(
     catalog: Catalog, requests: list[tuple[str, str]], now: Column, folder_id: int | None = None, recursive: bool = True,
@@ -38,7 +41,9 @@ def run_batch(catalog: Catalog, model: annotate.Model | Mapping[str, Callable[[]
     batch = stored(annotate.next_batch(catalog.read("work_items"), media, size), "claimed")
     claimed = stored(annotate.claim(batch, media, size, now), "running")
     catalog.commit(changes={"work_items": claimed})
-    outcomes = stored(annotate.run_models(claimed, media, model), "outcomes")
+    # the tables' files are few and uneven, so the work is dealt by the number of items
+    tasks = max(1, -(-claimed.count() // ITEMS_PER_TASK))
+    outcomes = stored(annotate.run_models(claimed, media, model, tasks), "outcomes")
     # values of the claimed media only: everything else stays as it is
     held = catalog.read("values").join(claimed.select("media_file_id").distinct(), "media_file_id", "left_semi")
     items, values = annotate.record(claimed, held, outcomes, annotate.unknown_kinds(claimed), now)

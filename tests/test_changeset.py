@@ -150,3 +150,28 @@ def test_counts_come_from_the_writing_job(make):
     rows, seen = changeset.counted(make.media([{"id": 1, "relative_path": "a"}, {"id": 2, "relative_path": "b", "is_present": False}]), "n", gone=~F.col("is_present"))
     rows.write.format("noop").mode("overwrite").save()
     assert seen.get == {"gone": 1}
+
+
+def test_large_batches_are_not_one_task(make, spark, now, monkeypatch, tmp_path):
+    from shoebox.plans import annotation
+    from shoebox.sources.catalog import Catalog
+
+    media = make.media([{"id": i, "relative_path": f"f{i}", "absolute_path": f"/r/f{i}", "is_present": i != 7} for i in range(1, 31)])
+    items = annotate.new_items(spark.createDataFrame([], WORK_ITEMS), media, [("tagger", "{}")], now, 1)
+    day = F.concat(F.lit("2024-01-0"), (F.col("media_file_id") % 3 + 1).cast("string")).cast("timestamp_ntz")
+    items = items.withColumn("created_at", F.when(F.col("media_file_id") != 5, day))
+    oldest = [r.id for r in annotate.next_batch(items, media, 20).collect()]
+    monkeypatch.setattr(annotate, "TOP_K", 3)
+    batch = annotate.next_batch(items, media, 20)
+    assert [r.id for r in batch.collect()] == oldest and batch.columns == items.columns
+    assert "Limit" not in batch._jdf.queryExecution().toString() and "TakeOrdered" not in batch._jdf.queryExecution().toString()
+    assert annotate.next_batch(items, media, 99).count() == 29 and annotate.next_batch(items.limit(0), media, 99).count() == 0
+    # the model runs in as many tasks as the items call for
+    dealt, run_models = [], annotate.run_models
+    monkeypatch.setattr(annotation, "ITEMS_PER_TASK", 6)
+    monkeypatch.setattr(annotate, "run_models", lambda claimed, media, model, tasks=None: dealt.append(tasks) or run_models(claimed, media, model, tasks))
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    catalog.commit({"media": media, "work_items": items})
+    model = lambda pdf: pdf["relative_path"]
+    assert annotation.run_batch(catalog, model, 20, now) == {"done": 20, "failed": 0} and annotation.run_batch(catalog, model, 20, now) == {"done": 9, "failed": 0}
+    assert annotation.run_batch(catalog, model, 20, now) == {"done": 0, "failed": 0} and dealt == [4, 2, 1]
