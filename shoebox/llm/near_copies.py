@@ -287,7 +287,8 @@ def links(rows: DataFrame, sets_of, share: float = 0.8, reach: int = 3) -> DataF
             for table in (met, sketches, open_):
                 discard(table)
             return found
-        if step == PIVOT_ROUNDS or size.p <= 4 * size.m or (before is not None and size.p >= 0.9 * before):
+        # the first round connects most; another one costs as much and pays for larger groups only
+        if step == PIVOT_ROUNDS or size.p <= (16 if step else 4) * size.m or (before is not None and size.p >= 0.9 * before):
             break
         before = size.p
         # one member of each shingle, another one in each round; first the one with the least that others lack
