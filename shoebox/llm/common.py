@@ -80,8 +80,12 @@ def give_back() -> None:
         trim(0)
 
 
-# Rows and bytes of the batches that jobs under ``lean_batches`` send to Python.
-LEAN = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+# Rows and bytes of the batches that jobs under ``lean_batches`` send to Python, and rows of
+# those they read: a reader holds the texts of a batch in one array, which doubles as it grows.
+LEAN = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "1024",
+}
 
 
 @contextmanager

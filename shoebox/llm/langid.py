@@ -20,7 +20,8 @@ from shoebox.llm.common import fresh, id_text, small_batches
 NOTHING = "und"
 SLOTS = 1 << 21
 HASHES = 2
-SLICE_CHARS = 1 << 19
+# characters looked at together: some 200 bytes of working arrays for each
+SLICE_CHARS = 1 << 17
 _GRAM = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _letters: list[np.ndarray] = []
 

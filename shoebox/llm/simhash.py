@@ -22,7 +22,8 @@ from shoebox.llm.common import components, fresh, small_batches, stored
 P1, P2, P3, P4, P5 = (
     11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261,
 )
-SLICE_BYTES = 1 << 21
+# bytes of text looked at together; working arrays take several times that
+SLICE_BYTES = 1 << 19
 SLICE_SHINGLES = 1 << 19
 
 

@@ -9,6 +9,7 @@ one directory holds the files) are salted here, independent of settings.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +67,8 @@ def with_position(df: DataFrame, order: list[Column] | None = None, name: str =
     for row in sorted(counts, key=lambda r: r["_part"]):
         starts.append((row["_part"], before))
         before += row["_n"]
-    offsets = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    # from Arrow columns: a list of rows would be read by Python workers of a daemon of its own
+    part_of, start_of = (pa.array([s[k] for s in starts], pa.int64()) for k in (0, 1))
+    offsets = df.sparkSession.createDataFrame(pa.table({"_part": part_of, "_start": start_of}))
     numbered = pinned.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     return numbered.withColumn(name, F.col("_start") + place + 1).drop("_mid", "_part", "_start")

@@ -58,6 +58,13 @@ def test_positions(spark):
     assert sorted((r.v, r.position) for r in kept.collect()) == [(4_999 - i, 1 + i) for i in reversed(range(5_000))]
 
 
+def test_positions_need_no_python_on_executors(spark):
+    got = skew.with_position(spark.range(100).repartition(4), [F.col("id").desc()])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan [_part" in plan and "ExistingRDD[_part" not in plan
+    assert sorted((r.id, r.position) for r in got.collect()) == [(i, 100 - i) for i in range(100)]
+
+
 def test_hot_folder_scope(make, spark):
     """A folder with a third of the files."""
     from shoebox.operators import browse
