@@ -5,17 +5,20 @@ pairs, and those that are near are links.  Near sets whose fingerprints lie furt
 are found by a prefix filter, among texts that are not linked yet: in any one order of all shingles, two sets whose Jaccard similarity is at least ``share``
 meet in the first ``n - ceil(share * n) + 1`` shingles of each, so the
 candidates hold every near pair.  Each candidate is confirmed on the whole sets.  The
-order is by hash, with the shingles that are common in a sample last; it decides how
-many candidates there are, never which pairs are found.
+order is by hash, with the shingles last that are common in a sample or that more than a
+few of all texts have among their first; it decides how many candidates there are, never
+which pairs are found.
 """
 
 from __future__ import annotations
 
+import operator
 from fractions import Fraction
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,10 @@ FEW = 8
 LEAST_SKETCH, SKETCH_SHARE = 512, 2
 # a shingle is common from so many texts of the sample, and so many are remembered
 LEAST_COMMON, MOST_COMMON = 3, 1 << 16
+# so many shingles are remembered that more than FEW of all texts have early (16 bytes each)
+MOST_SHARED = 1 << 20
+# shingles kept past the prefix, to take the place of shared ones: one for so many in it, and so many more
+SPARE_SHARE, SPARE = 4, 8
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[tuple[int, np.ndarray]]:
@@ -99,13 +106,108 @@ def _with_sets(docs: DataFrame, keep: list[str], text: str, shingle: int, part=l
     return rows.mapInArrow(run, schema)
 
 
-def _common(docs: DataFrame, text: str, shingle: int, sample: int) -> np.ndarray:
-    """The shingles found most often in about ``sample`` texts, by hash, ascending in count."""
+class _Order:
+    """An order of all shingles: by hash those that are not listed, then the listed ones by
+    how many texts are taken to have them, the most if a hash is listed again."""
+
+    def __init__(self, *lists: tuple[np.ndarray, np.ndarray]):
+        hashes, texts = (np.concatenate(x) for x in zip(*lists, strict=True))
+        by_hash = np.lexsort((-texts, hashes))
+        hashes, texts = hashes[by_hash], texts[by_hash]
+        once = np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]
+        self.hashes, texts = hashes[once], texts[once]
+        self.ranks = np.empty(len(self.hashes), np.int64)
+        self.ranks[np.lexsort((self.hashes, texts))] = np.arange(len(self.hashes))
+
+    def place(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash is or would be in the list, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(found), np.int64), np.zeros(len(found), bool)
+        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
+        return at, self.hashes[at] == found
+
+    def first(self, found: np.ndarray, length: int) -> np.ndarray:
+        """The first ``length`` of a set's hashes, which ascend."""
+        at, listed = self.place(found)
+        last = found[listed][np.argsort(self.ranks[at[listed]])]
+        return np.r_[found[~listed], last][:length]
+
+
+def _prefix(n, least: Fraction):
+    """How many shingles of a set of ``n`` have to meet."""
+    return (n + n * -least.numerator // least.denominator + 1) * (n > 0)
+
+
+def _common(docs: DataFrame, text: str, shingle: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles found most often in about ``sample`` texts, by hash, and how many of all
+    texts that makes."""
     share = min(1.0, sample / max(docs.count(), 1))
     some = docs.where(F.pmod(F.xxhash64(text, F.lit(1)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select(text)
     counts = _with_sets(some, [], text, shingle).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-    most = counts.where(F.col("c") >= LEAST_COMMON).orderBy(F.desc("c"), "h").limit(MOST_COMMON).collect()
-    return np.array([r.h for r in reversed(most)], dtype=np.int64)
+    most = counts.where(F.col("c") >= LEAST_COMMON).orderBy(F.desc("c"), "h").limit(MOST_COMMON).toArrow()
+    return most["h"].to_numpy(), most["c"].to_numpy() / share
+
+
+def _shared(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most of all texts keep, by hash, and how many do, if more than
+    ``FEW``; copies of a text are one.  A sample of fixed size leaves those out that are as
+    rare in it as they are many in a large input."""
+    kept = rows.select("key", F.explode("hashes").alias("h"))
+    texts = F.count(F.lit(1)).alias("c")
+    many = stored(kept.groupBy("h").agg(texts).where(F.col("c") > FEW).select("h"), "near-many")
+    # what the test lets through beside them is of few rows
+    counts = kept.where(_filter_of(many, "h", "h")).distinct().groupBy("h").agg(texts)
+    most = counts.where(F.col("c") > FEW).orderBy(F.desc("c"), "h").limit(MOST_SHARED).toArrow()
+    discard(many)
+    return most["h"].to_numpy(), most["c"].to_numpy()
+
+
+def _split(rows: DataFrame, order, least: Fraction) -> tuple[DataFrame, DataFrame]:
+    """``(key, n, hashes)``, the prefix in ``order`` (broadcast) of each text of which ``rows``
+    keep enough that is not listed, and the keys of the other texts."""
+
+    def of(batch):
+        key, n = (batch.column(i).to_numpy() for i in range(2))
+        sizes, found = pc.list_value_length(batch.column(2)).to_numpy(), batch.column(2).flatten().to_numpy()
+        wanted = _prefix(n.astype(np.int64), least)
+        free = ~order.value.place(found)[1]
+        upto, ends = np.r_[0, np.cumsum(free)], np.cumsum(sizes, dtype=np.int64)
+        before = upto[ends - sizes]
+        enough = upto[ends] - before >= wanted
+        return key, n, sizes, found, wanted, free, upto[:-1] - np.repeat(before, sizes), enough
+
+    def short(batches):
+        for batch in batches:
+            key, *_, enough = of(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(key[~enough])], names=["key"])
+
+    def rest(batches):
+        for batch in batches:
+            key, n, sizes, found, wanted, free, place, enough = of(batch)
+            kept = free & (place < np.repeat(wanted, sizes)) & np.repeat(enough, sizes)
+            ends = np.r_[0, np.cumsum(wanted[enough])].astype(np.int32)
+            hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[kept]))
+            yield pa.RecordBatch.from_arrays([pa.array(key[enough]), pa.array(n[enough]), hashes], names=["key", "n", "hashes"])
+
+    slim = rows.select("key", "n", "hashes")
+    keys = stored(slim.mapInArrow(short, "key long").distinct(), "near-short")
+    return slim.mapInArrow(rest, "key long, n int, hashes array<bigint>"), keys
+
+
+def _prefixes(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], sets_of, least: Fraction) -> DataFrame:
+    """``(key, n, hashes)``: the prefixes of all texts in one order, in which the shingles come
+    last that are ``common`` or that more than ``FEW`` texts have in what ``rows`` keep of them.
+    Where that leaves too little, the prefix is of the whole set and reaches beyond what is
+    kept of other texts; so what many of these sets have comes last too."""
+    spark = rows.sparkSession
+    lists = [common, _shared(rows)]
+    _, keys = _split(rows, spark.sparkContext.broadcast(_Order(*lists)), least)
+    whole = stored(sets_of(keys), "near-whole")
+    order = spark.sparkContext.broadcast(_Order(*lists, _shared(whole)))
+    for table in (keys, whole):
+        discard(table)
+    own, keys = _split(rows, order, least)
+    return own.unionByName(sets_of(keys, lambda found: order.value.first(found, _prefix(len(found), least))))
 
 
 def _enough(inner: Column, n: Column, m: Column, least: Fraction) -> Column:
@@ -238,18 +340,18 @@ def told(rows: DataFrame, reach: int = 3) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(rows: DataFrame, sets_of, share: float = 0.8, reach: int = 3) -> DataFrame:
+def links(rows: DataFrame, prefixes: DataFrame, sets_of, share: float = 0.8, reach: int = 3) -> DataFrame:
     """Confirmed pairs ``(a, b)`` of keys that connect all keys that near pairs connect.
 
-    ``rows`` has ``key``, ``n``, ``sketch``, ``fingerprint`` and ``hashes``, the prefix in the
-    common order; ``sets_of(keys)`` gives whole sets.  What SimHash proposes is confirmed first.
+    ``rows`` has ``key``, ``n``, ``sketch`` and ``fingerprint``; ``prefixes`` has ``key``, ``n`` and
+    ``hashes``, the prefix in one order; ``sets_of(keys)`` gives whole sets.  What SimHash proposes is confirmed first.
     Then all texts of a shingle that few share meet, unless they are connected already.
     Those of other shingles first meet one of them each, in rounds; only members that no
     confirmed pair connects meet each other after that, so a large group of copies
     costs its size and not its square.
     """
     least = Fraction(str(share))
-    met = stored(_met(rows.select("key", "n", F.posexplode("hashes").alias("pos", "h")), least), "near-met")
+    met = stored(_met(prefixes.select("key", "n", F.posexplode("hashes").alias("pos", "h")), least), "near-met")
     sketches = stored(rows.select("key", "n", "sketch").dropDuplicates(["key"]), "near-sketches")
     found = _confirmed(stored(told(rows, reach), "near-told"), sketches, sets_of, least)
     roots = components(found, "near-components")
@@ -264,10 +366,10 @@ def links(rows: DataFrame, sets_of, share: float = 0.8, reach: int = 3) -> DataF
             discard(table)
         return found
 
-    def pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
+    def pairs_of(left: DataFrame, right: DataFrame, apart) -> DataFrame:
         rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         near = _enough(rest.cast("long"), F.col("x.n"), F.col("y.n"), least)
-        pairs = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & near)
+        pairs = left.alias("x").join(right.alias("y"), (F.col("x.h") == F.col("y.h")) & apart(F.col("x.label"), F.col("y.label")) & near)
         return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
     before = None
@@ -295,8 +397,8 @@ def links(rows: DataFrame, sets_of, share: float = 0.8, reach: int = 3) -> DataF
         order = F.struct(F.col("pos") if step == 0 else F.lit(0).alias("pos"), F.xxhash64("key", F.lit(step)).alias("by"))
         pivot = open_.groupBy("h").agg(F.min(order).alias("_least"))
         pivots = open_.join(pivot, "h").where(order == F.col("_least")).drop("_least")
-        found = found.unionByName(_confirmed(pairs_of(pivots, open_), sketches, sets_of, least))
-    found = found.unionByName(_confirmed(pairs_of(open_, open_), sketches, sets_of, least))
+        found = found.unionByName(_confirmed(pairs_of(pivots, open_, operator.ne), sketches, sets_of, least))
+    found = found.unionByName(_confirmed(pairs_of(open_, open_, operator.lt), sketches, sets_of, least))
     for table in (met, sketches, open_):
         discard(table)
     return found
@@ -315,34 +417,27 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     least = Fraction(str(share))
     spark = docs.sparkSession
     common = _common(docs.select(text), text, shingle, sample)
-    by_hash = np.argsort(common)
-    order = spark.sparkContext.broadcast((common[by_hash], by_hash))
-
-    def prefix(found: np.ndarray) -> np.ndarray:
-        n = len(found)
-        length = n - -(-n * least.numerator // least.denominator) + 1 if n else 0
-        hashes, ranks = order.value
-        if not len(hashes) or not n:
-            return found[:length]
-        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-        frequent = hashes[at] == found
-        last = found[frequent][np.argsort(ranks[at[frequent]])]
-        return np.r_[found[~frequent], last][:length]
+    sampled = spark.sparkContext.broadcast(_Order(common))
+
+    def early(found: np.ndarray) -> np.ndarray:
+        length = _prefix(len(found), least)
+        return sampled.value.first(found, length + length // SPARE_SHARE + SPARE)
 
     print_, id_ = fresh(docs.columns, "_print"), fresh(docs.columns, "_id")
     keyed = docs.withColumn(id_, F.coalesce(F.col(doc_id).cast("string"), F.lit("-"))).withColumn(print_, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     slim = keyed.select(F.col(doc_id).alias("doc_id"), F.col(id_).alias("id"), F.col(print_).alias("print"), F.col(text).alias("text"))
-    rows = stored(_with_sets(slim, ["doc_id", "id", "print"], "text", shingle, prefix), "near-rows")
+    rows = stored(_with_sets(slim, ["doc_id", "id", "print"], "text", shingle, early), "near-rows")
 
-    def sets_of(keys: DataFrame) -> DataFrame:
+    def sets_of(keys: DataFrame, part=lambda found: found) -> DataFrame:
         one = rows.join(keys, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "print")).alias("one")).select("one.id", "one.print")
         one = stored(one.withColumn("term", F.xxhash64("id", "print")), "near-wanted")
         # of the other texts only a few get as far as the join
         some = slim.select("id", "print", "text").withColumn("term", F.xxhash64("id", "print")).where(_filter_of(one, "term"))
         texts = some.join(one, ["id", "print"], "left_semi").dropDuplicates(["id", "print"])
-        return _with_sets(texts, [], "text", shingle).drop("sketch", "fingerprint")
+        return _with_sets(texts, [], "text", shingle, part).drop("sketch", "fingerprint")
 
-    roots = components(stored(links(rows, sets_of, share, reach), "near-all"), "near-components")
+    prefixes = _prefixes(rows, common, sets_of, least)
+    roots = components(stored(links(rows, prefixes, sets_of, share, reach), "near-all"), "near-components")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "print", "id")).alias("first")
     # copies meet by key before the few linked keys meet their roots
     copies = rows.groupBy("key").agg(first).join(roots.withColumnRenamed("node", "key"), "key", "left")

@@ -4,6 +4,8 @@ import random
 import re
 from fractions import Fraction
 
+import numpy as np
+
 import corpus_pipeline
 from shoebox.llm import near_copies, simhash
 from tests.llm import plain
@@ -85,6 +87,61 @@ def test_texts_too_far_along_in_a_common_shingle_do_not_meet(spark):
     assert sorted((r.h, r.key, r.n, r.pos) for r in met) == sorted(early[:10]) and all(r.other is None for r in met)
 
 
+def met_of(spark, monkeypatch, rows, **options):
+    """Ids that stay, and what met by shingles."""
+    seen, met = [], near_copies._met
+
+    def watched(postings, least):
+        out = met(postings, least)
+        seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(near_copies, "_met", watched)
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), **options)
+    return sorted(r.doc_id for r in kept.collect()), seen
+
+
+def test_shingles_that_a_small_sample_misses_do_not_bring_texts_together(spark, monkeypatch):
+    rng = random.Random(3)
+    line = [f"line{i}" for i in range(30)]
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(150)]
+        rows.append((k, " ".join([*words[:60], *line, *words[60:]])))
+    rows.append((40, rows[7][1].replace("line3 ", "other ")))
+    kept, met = met_of(spark, monkeypatch, rows, sample=1)
+    assert kept == list(range(40))
+    assert {(r.key, r.other) for r in met if r.other is None} == set() and len({frozenset((r.key, r.other)) for r in met}) == 1
+
+
+def test_groups_are_those_of_all_pairs_without_a_sample(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(texts())]
+    kept, _ = met_of(spark, monkeypatch, rows, sample=1)
+    assert sorted(map(str, kept)) == least_ids(rows)
+
+
+def test_prefixes_are_the_first_in_one_order_of_whole_sets(spark, monkeypatch):
+    rng, least, orders = random.Random(4), Fraction(4, 5), []
+    sets = {key: sorted(rng.sample(range(400), rng.choice([0, 1, 7, 60, 90]))) for key in range(40)}
+    sets |= {key: sorted([*rng.sample(range(400, 420), 12), *rng.sample(range(1000, 9000), 60), *rng.sample(range(9000, 9012), 10)]) for key in range(40, 80)}
+    common = np.arange(0, 400, 4), np.arange(100)
+    wanted = {k: n - -(-n * 4 // 5) + 1 if (n := len(s)) else 0 for k, s in sets.items()}
+    whole = spark.createDataFrame([(k, len(s), s) for k, s in sets.items()], "key long, n int, hashes array<bigint>")
+    rows = spark.createDataFrame([(k, len(s), s[: wanted[k] + 6]) for k, s in sets.items()], whole.schema)
+    asked = []
+
+    def sets_of(keys, part=lambda found: found):
+        asked.append([r.key for r in keys.collect()])
+        return spark.createDataFrame([(k, len(sets[k]), [int(h) for h in part(np.array(sets[k]))]) for k in asked[-1]], whole.schema)
+
+    made = near_copies._Order.__init__
+    monkeypatch.setattr(near_copies._Order, "__init__", lambda order, *lists: orders.append(order) or made(order, *lists))
+    found = near_copies._prefixes(rows, common, sets_of, least).collect()
+    assert 0 < len(asked[0]) <= len(asked[1]) < 80 and len(found) == 80
+    assert len(orders[0].hashes) < len(orders[1].hashes) and set(common[0].tolist()) <= set(orders[0].hashes.tolist())
+    assert {r.key: r.hashes for r in found} == {k: orders[1].first(np.array(s, np.int64), wanted[k]).tolist() for k, s in sets.items()}
+
+
 def test_tiny_tables(spark):
     df = spark.createDataFrame([(5, "a b c d")], "doc_id long, text string")
     assert near_copies.keep_one(df).count() == 1 and near_copies.keep_one(df.limit(0)).count() == 0
