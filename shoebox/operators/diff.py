@@ -39,11 +39,12 @@ def compare(listing: DataFrame, media: DataFrame) -> DataFrame:
     return both.withColumn("action", action).drop("_listed")
 
 
-def assign_folders(files: DataFrame, folders: DataFrame, root_id: Column) -> DataFrame:
+def assign_folders(files: DataFrame, folders: DataFrame, root_id: Column, rows: int = 0) -> DataFrame:
     """``folder_id`` of each ``path``: the folder of its parent directory, else
-    the import root.  One directory may hold a large share of the files."""
+    the import root.  One directory may hold a large share of the files.  ``rows`` is how
+    many folders there are, where that is known."""
     known = folders.select(F.col("path").alias("_dir"), F.col("id").alias("_folder"))
-    placed = lookup_join(files.withColumn("_dir", paths.parent_dir("path")), known, "_dir", "left", ["path"])
+    placed = lookup_join(files.withColumn("_dir", paths.parent_dir("path")), known, "_dir", "left", ["path"], rows)
     return placed.withColumn("folder_id", F.coalesce("_folder", root_id)).drop("_dir", "_folder")
 
 

@@ -20,6 +20,15 @@ from shoebox.session import checkpointed
 HOT_KEYS = 1_000
 # rows one sub-key of a hot key should get
 ROWS_PER_SALT = 1_000_000
+# Counted rows up to which the planner may hand one side of a join whole to every task.
+FEW_ROWS = 100_000
+
+
+def dealt(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join whose ``rows`` have been counted: many are dealt by key, as the other
+    side is, whatever the planner takes them for.  It goes by the bytes of files, and sorted
+    paths take a hundred times as many in memory, in the driver's first."""
+    return side if rows <= FEW_ROWS else side.hint("merge")
 
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame:
@@ -32,20 +41,20 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame:
     return top.where(F.col("_n") > ROWS_PER_SALT).select(key, salts.alias("_salts"))
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str, salt_on: list[str]) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str, salt_on: list[str], rows: int = 0) -> DataFrame:
     """Join many rows to a table whose ``key`` is unique, spreading hot keys.
 
     Left rows of a hot key are spread over its sub-keys by a hash of their own columns
     ``salt_on`` (stable, so a recomputed task lands rows in the same place), and only the
     lookup rows of hot keys are repeated.  ``how`` is one of inner, left, left_semi,
-    left_anti.
+    left_anti; ``rows`` is how many ``right`` has, where that is known (``dealt``).
     """
     hot = F.broadcast(hot_keys(left, key))
     salt = F.pmod(F.xxhash64(*salt_on), F.col("_salts")).cast("int")
     spread = left.join(hot, key, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    return spread.join(repeated, [key, "_salt"], how).drop("_salt")
+    return spread.join(dealt(repeated, rows), [key, "_salt"], how).drop("_salt")
 
 
 def with_position(df: DataFrame, order: list[Column] | None = None, name: str = "position") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoebox.operators.skew import dealt
 from shoebox.schemas import TABLES
 
 KEY = {"folders": "path", "media": "absolute_path", "configs": "name", "values": "id", "work_items": "id"}
@@ -65,7 +66,7 @@ class Catalog:
             return base
         rows = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("_version", T.LongType())])).parquet(*folders[1:])
         latest = rows.groupBy(key).agg(F.max_by(F.struct(*schema.names), "_version").alias("_row")).select("_row.*")
-        return replace_rows(base, latest, key)
+        return replace_rows(base, latest, key, sum(n for _, n in held[1:]))
 
     def commit(
         self, tables: dict[str, DataFrame] | None = None, changes: dict[str, DataFrame] | None = None,
@@ -116,6 +117,6 @@ class Catalog:
         self.state = state
 
 
-def replace_rows(old: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Old rows with ``rows`` put in their place, matched by a unique key."""
-    return old.join(rows.select(key), key, "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))
+def replace_rows(old: DataFrame, rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Old rows with ``rows``, ``n`` at most, put in their place, matched by a unique key."""
+    return old.join(dealt(rows.select(key), n), key, "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shoebox.functions import paths, times
 from shoebox.operators import changes, changeset, diff, fingerprint, hierarchy
+from shoebox.operators.skew import dealt
 from shoebox.plans.ingest import stored
 from shoebox.schemas import CHANGE_EVENTS, MEDIA, timestamp
 from shoebox.sources import filetree
@@ -101,31 +102,36 @@ def apply_changes(
     roots = F.broadcast(imports).join(folders.select(F.col("path").alias("root"), F.col("id").alias("root_id")), "root")
     live = stored(resolved.join(F.broadcast(roots.select("root", "root_id")), "root"), "live")
 
-    # missing parents appear as complete folders under their import
+    # tables lie in ranges of their key, so a batch from one corner of a tree reads the files of that corner
+    ends = live.agg(F.min("path").alias("low"), F.max("path").alias("high"), F.count(F.lit(1)).alias("n")).first()
+
+    # missing parents appear as complete folders under their import; only folders above the batch's files are looked up
     files = live.where(F.col("kind") == "upsert").select("path", "root", F.lit(False).alias("is_dir"))
-    met = hierarchy.directories_of(files, F.col("root"), "root").join(F.broadcast(imports), "root")
+    met = stored(hierarchy.directories_of(files, F.col("root"), "root"), "directories")
+    n_met = met.count()
+    tops = imports.select(F.explode(F.array("root", paths.parent_dir("root"))).alias("path"))
+    near = stored(folders.select("path", "id").join(dealt(met.select("path").unionByName(tops), n_met), "path", "left_semi"), "near-folders")
+    n_near = near.count()
     fresh = stored(
         hierarchy.derive_folders(
-            met, folders, now, scan_complete=True, exclude=F.col("exclude"), include=F.col("include"),
+            met.join(F.broadcast(imports), "root"), dealt(near, n_near), now, scan_complete=True, exclude=F.col("exclude"), include=F.col("include"),
             thumbnail_cache_mode=F.col("mode"), thumbnail_cache_folder=F.col("folder"), thumbnail_cache_fallback=F.col("fallback"),
         ).dropDuplicates(["path"]),
         "folders",
     )
-    new_folders = folders.unionByName(fresh.select(*folders.columns))
+    near_or_fresh = near.unionByName(fresh.select("path", "id"))
 
     upserts = live.where((F.col("kind") == "upsert") & paths.is_supported("path", heif))
     printed = stored(printer(upserts.select("path")), "fingerprints")
-    ok = printed.where(F.col("error").isNull())
-    placed = diff.assign_folders(ok.join(live.drop("kind", "rule_no"), "path"), new_folders, F.col("root_id"))
+    ok = printed.where(F.col("error").isNull()).join(dealt(live.drop("kind", "rule_no"), ends.n), "path")
+    placed = diff.assign_folders(ok, near_or_fresh, F.col("root_id"), n_near + n_met)
 
-    # tables lie in ranges of their key, so a batch from one corner of a tree reads the files of that corner
-    ends = live.agg(F.min("path").alias("low"), F.max("path").alias("high")).first()
     old = catalog.read("media").where(F.col("absolute_path").between(F.lit(ends.low), F.lit(ends.high)))
-    held = old.join(live.select(F.col("path").alias("absolute_path"), "kind"), "absolute_path")
+    held = old.join(dealt(live.select(F.col("path").alias("absolute_path"), "kind"), ends.n), "absolute_path")
     keep = held.select("absolute_path", F.col("id").alias("_id"), F.col("folder_id").alias("_folder"),
                        F.col("relative_path").alias("_relative"), F.col("created_at").alias("_created"))
     written = (
-        placed.withColumn("absolute_path", F.col("path")).join(keep, "absolute_path", "left").select(
+        placed.withColumn("absolute_path", F.col("path")).join(dealt(keep, ends.n), "absolute_path", "left").select(
             F.coalesce("_id", F.xxhash64("absolute_path")).alias("id"), F.coalesce("_folder", "folder_id").alias("folder_id"),
             F.coalesce("_relative", "relative_path").alias("relative_path"), "absolute_path", "content_hash", "width", "height",
             "format", F.col("size").alias("file_size"), F.col("mtime").alias("modified_at"),

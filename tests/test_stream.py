@@ -1,10 +1,11 @@
 import datetime as dt
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from shoebox.operators import changes
+from shoebox.operators import changes, skew
 from shoebox.plans import ingest
 from shoebox.schemas import CHANGE_EVENTS
 from shoebox.sources.catalog import Catalog
@@ -117,3 +118,37 @@ def test_unreadable_feed_is_reported(spark, tmp_path):
     query = watched.writeStream.format("memory").queryName("watched").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.path for r in spark.table("watched").collect()) == ["/one/a.png", "/two/c.png"]
+
+
+def test_large_sides_go_whole_to_no_task(spark, make, tmp_path, now, monkeypatch):
+    """Joins of a batch with many rows deal both sides, however few bytes of files they come from."""
+    monkeypatch.setattr(skew, "FEW_ROWS", 10)
+    broadcast, stored = set(), stream.stored
+
+    def seen(df, label):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        broadcast.update(re.sub("#\\d+L?", "", keys) for keys in re.findall(r"BroadcastHashJoin \[([^]]*)\]", plan))
+        return stored(df, label)
+
+    monkeypatch.setattr(stream, "stored", seen)
+    folders = [{"id": 1, "path": "/r"}, {"id": 900, "path": "/r/d3/only.png"}, *({"id": i, "parent_id": 1, "path": f"/r/d{i}"} for i in range(2, 400))]
+    media = [{"id": i, "folder_id": i, "absolute_path": f"/r/d{i}/old.png"} for i in range(2, 60)]
+    catalog = Catalog(spark, str(tmp_path / "catalog"))
+    catalog.commit({"folders": make.folders(folders), "media": make.media(media)})
+    batch = [("/r/d3/only.png", "create", True, False), ("/r/top.png", "create", True, False)]
+    batch += [(f"/r/d{i}/old.png", "remove" if i % 2 else "modify", True, False) for i in range(2, 40)] + [(f"/r/n{i}/m/x.png", "create", True, False) for i in range(20)]
+    stat = lambda files: files.select(
+        "path", F.lit(5).cast("bigint").alias("size"), now.alias("mtime"), F.lit("png").alias("format"), F.lit("h").alias("content_hash"),
+        F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("string").alias("error"),
+    )
+    rules = [{"rule_no": 1, "path": "/r"}, {"rule_no": 2, "path": "/r/d3/only.png"}]
+    done = stream.apply_batch(events(spark, batch), catalog, rules, now, "changes", 0, stat)
+    assert (done["upserted"], done["missing"], done["failed"]) == (41, 19, 0)
+    # import rules and the prefixes and folders that are hot: a few rows by construction
+    assert broadcast <= {"root", "_prefix", "_dir"}
+    after = catalog.read("media")
+    assert "BroadcastHashJoin" not in after._jdf.queryExecution().executedPlan().toString()
+    rows, paths = {r.absolute_path: r for r in after.collect()}, {r.path: r for r in catalog.read("folders").collect()}
+    assert len(rows) == 58 + 22 and len(paths) == 400 + 40 and paths["/r/n7/m"].parent_id == paths["/r/n7"].id and paths["/r/n7"].parent_id == 1
+    assert rows["/r/n7/m/x.png"].folder_id == paths["/r/n7/m"].id and rows["/r/top.png"].folder_id == 1 and rows["/r/d3/only.png"].folder_id == 3
+    assert all((r.id, r.folder_id, r.is_present) == (i, i, i >= 40 or i % 2 == 0) for i in range(2, 60) for r in [rows[f"/r/d{i}/old.png"]])
